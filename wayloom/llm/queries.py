@@ -12,6 +12,10 @@ from .exact_dedup import exact_groups
 from .fingerprints import compare_with_edits
 from .mixing import mix_counts
 from .packing import pack_documents
+from .quality import score_quality
+from .token_counts import count_tokens
+from .toxicity import score_toxicity
+from .warc import roundtrip
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,11 +41,31 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roundtrip(table(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
@@ -92,4 +116,15 @@ ORACLES = {
         SELECT q.doc_id, q.size, q.source_size, q.target, CAST(coalesce(t.n, 0) * q.size AS BIGINT) AS taken
         FROM queue q LEFT JOIN taken t ON q.doc_id = t.doc_id
     """,
+    "op7_warc": """
+        SELECT page_id,
+               strlen(coalesce(html, '')) AS payload_bytes,
+               sha1(coalesce(html, '')) AS payload_digest,
+               CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id < max(page_id) OVER same
+                    THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(coalesce(html, '')) >= 1000 AND page_id < max(page_id) OVER same
+                    THEN max(page_id) OVER same END AS refers_to
+        FROM pages
+        WINDOW same AS (PARTITION BY coalesce(html, ''))
+    """,
 }
