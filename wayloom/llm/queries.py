@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_groups
 from .fingerprints import compare_with_edits
 from .mixing import mix_counts
+from .near_dedup import near_groups
 from .packing import pack_documents
 from .quality import score_quality
 from .token_counts import count_tokens
@@ -28,6 +29,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
@@ -78,6 +84,36 @@ ORACLES = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op3_near_dedup": r"""
+        WITH RECURSIVE docs AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), shingled AS MATERIALIZED (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN []
+                                WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                                ELSE list_distinct([array_to_string(words[i : i + 3], ' ') FOR i IN range(1, len(words) - 2)]) END AS shingles
+            FROM docs
+        ), sizes AS MATERIALIZED (
+            SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM shingled
+        ), single AS MATERIALIZED (
+            SELECT doc_id, unnest(shingles) AS s FROM shingled
+        ), pairs AS MATERIALIZED (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+            FROM single a JOIN single b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY 1, 2
+        ), links AS MATERIALIZED (
+            SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * common >= 80 * (p.n + q.n - common)
+        ), reached AS (
+            SELECT doc_id AS node, doc_id AS low FROM sizes
+            UNION
+            SELECT l.y, r.low FROM reached r JOIN links l ON l.x = r.node WHERE r.low < l.y
+        )
+        SELECT s.doc_id, s.n AS n_shingles, min(r.low) AS component_id, s.doc_id = min(r.low) AS kept
+        FROM sizes s JOIN reached r ON r.node = s.doc_id
+        GROUP BY s.doc_id, s.n
+    """,
     "op5_mixing": r"""
         WITH docs AS (
             SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
