@@ -14,6 +14,7 @@ from .mixing import mix_counts
 from .near_dedup import near_groups
 from .packing import pack_documents
 from .quality import score_quality
+from .substring_dedup import repeated_passages
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
 from .warc import roundtrip
@@ -54,6 +55,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(table(spark, sf_dir, "pages"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
@@ -163,4 +169,25 @@ ORACLES = {
         FROM pages
         WINDOW same AS (PARTITION BY coalesce(html, ''))
     """,
+    "op8_substring_dedup": r"""
+        WITH docs AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS MATERIALIZED (
+            SELECT doc_id, unnest(range(1, len(words) - 48)) AS place,
+                   unnest([md5(array_to_string(words[i : i + 49], ' ')) FOR i IN range(1, len(words) - 48)]) AS w
+            FROM docs WHERE len(words) >= 50
+        ), firsts AS (
+            SELECT w, min(doc_id) AS first FROM windows GROUP BY w
+        ), repeats AS (
+            SELECT doc_id, place FROM windows JOIN firsts USING (w) WHERE first < doc_id
+        ), removed AS (
+            SELECT doc_id, list(DISTINCT word) AS gone
+            FROM (SELECT doc_id, unnest(range(place, place + 50)) AS word FROM repeats)
+            GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(CASE WHEN gone IS NULL THEN array_to_string(words, ' ')
+                           ELSE array_to_string([words[i] FOR i IN range(1, len(words) + 1) IF NOT list_contains(gone, i)], ' ') END) AS kept_sha256
+        FROM docs d LEFT JOIN removed r ON d.doc_id = r.doc_id
+    """,
 }
