@@ -74,7 +74,7 @@ def annotation_reason(identifier: Column, instructions: Column, actions: Column,
 
 def answer_of(conversations: Column) -> Column:
     """Text of the second turn, empty if there is none."""
-    return F.coalesce(F.try_element_at(conversations, F.lit(2))["value"], F.lit(""))
+    return F.coalesce(F.get(conversations, F.lit(1))["value"], F.lit(""))
 
 
 def mentions_stop(conversations: Column) -> Column:

@@ -88,7 +88,7 @@ def training_rows(df: DataFrame, history: int = 8, future: int = 6) -> DataFrame
 
 def answers_to_actions(samples: DataFrame, id_column: str = "id") -> DataFrame:
     """Episodes rebuilt from per-step samples: the first action of each answer but the last step's."""
-    parsed = samples.select(text.parse_step_id(F.col(id_column)).alias("p"), text.first_action(F.try_element_at("conversations", F.lit(2))["value"]).alias("action"))
+    parsed = samples.select(text.parse_step_id(F.col(id_column)).alias("p"), text.first_action(F.get("conversations", F.lit(1))["value"]).alias("action"))
     return regroup(parsed.select("p.episode", "p.step", "action").where("episode IS NOT NULL"), ["episode"], "step", "action", drop_last=True)
 
 
