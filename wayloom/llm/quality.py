@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,7 @@ def features(text: str) -> list[float]:
     shout = sum(c for w, c in counts.items() if len(w) > 2 and not _HALF_WORD.search(w) and w.isupper())
     odd = sum(c for w, c in counts.items() if not w.strip(b".,!?;:\"'()").isalpha() and w.isascii())
     top = counts.most_common(3)
+    echoes = sum(map(eq, words, words[1:]))
     long_words = sum(c for w, c in counts.items() if len(w) > 25)
     out = [
         upper / n, lower / n, digits / n, high / n, control / n,
@@ -53,7 +55,7 @@ def features(text: str) -> list[float]:
         float(not words), float(len(words) < 5),
     ]
     out += [np.sqrt(s / m) for s in symbols]
-    out += [np.log(len(counts) + 1) / np.log(m + 1), np.sqrt(shout / m), np.sqrt(repeated / n), np.sqrt(odd / m)]
+    out += [np.log(len(counts) + 1) / np.log(m + 1), np.sqrt(shout / m), np.sqrt(repeated / n), np.sqrt(odd / m), echoes / m, np.sqrt(echoes / m)]
     return [float(x) for x in out]
 
 
