@@ -37,6 +37,8 @@ SIMILARITY = (80, 100)  # intersection : union
 SKETCH = 32
 OVERLAP = 12
 BLOCK = 256
+#: Rows that are in some list, up to this many (8 bytes each), are picked by a broadcast of their ids; beyond it by a shuffle.
+BROADCAST_IDS = 1_000_000
 _COLUMNS = 4096
 
 
@@ -168,7 +170,9 @@ def near_groups(
     standing = with_words.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["id", "key"])
 
     lists = materialize(_lists(standing, k, overlap), "near-lists")
-    wanted = lists.select("id").distinct()
+    wanted = materialize(lists.select("id").distinct(), "near-wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     bodies = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     texts = materialize(bodies.join(wanted, "id", "left_semi"), "near-texts")
 
@@ -184,20 +188,24 @@ def near_groups(
     links = materialize(_compare(members.union(pivots).distinct(), texts, **options), "near-links")
     components = connected_components(links)
 
-    # Then long lists that are still in several components: the largest against all others.
+    # Then long lists that are still in several components: the largest against all others. Lists with the same
+    # largest component hold much the same rows, so they are taken together and each row is sent once.
     long_lists = lists.where(F.col("size") > block).join(components.select(F.col("node").alias("id"), "root"), "id", "left").select("list", "id", F.coalesce("root", "id").alias("root"))
     long_lists = materialize(long_lists, "near-long")
     counted = long_lists.groupBy("list", "root").agg(F.count("*").alias("c"))
-    open_lists = counted.groupBy("list").agg(F.count("*").alias("n_roots"), F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("total"), F.max("c").alias("most")).where("n_roots > 1")
+    open_lists = counted.groupBy("list").agg(F.count("*").alias("n_roots"), F.max(F.struct("c", "root"))["root"].alias("main")).where("n_roots > 1").select("list", "main")
+    again = materialize(long_lists.join(open_lists, "list").select("main", "id", "root").distinct(), "near-again")
     half = block // 2
-    o_chunks = F.ceil((F.col("total") - F.col("most")) / F.lit(half)).cast("long")
-    m_chunks = F.ceil(F.col("total") / F.lit(half)).cast("long")
-    again = long_lists.join(open_lists, "list").withColumn("o", o_chunks).withColumn("m", m_chunks)
+    chunked = lambda n: F.greatest(F.ceil(n / F.lit(half)), F.lit(1)).cast("long")
+    sizes = again.groupBy("main").agg(chunked(F.count_if(F.col("root") != F.col("main"))).alias("o"), chunked(F.count("*")).alias("m"))
+    again = again.join(sizes, "main")
     zero = F.lit(0).cast("long")
     others = again.where(F.col("root") != F.col("main")).select(
-        "list", F.explode(F.transform(F.sequence(zero, F.col("m") - 1), lambda j: F.pmod(F.xxhash64("id"), F.col("o")) * F.col("m") + j)).alias("part"), "id", F.lit(1).alias("role")
+        F.col("main").alias("list"), F.explode(F.transform(F.sequence(zero, F.col("m") - 1), lambda j: F.pmod(F.xxhash64("id"), F.col("o")) * F.col("m") + j)).alias("part"), "id", F.lit(1).alias("role")
+    )
+    rest = again.select(
+        F.col("main").alias("list"), F.explode(F.transform(F.sequence(zero, F.col("o") - 1), lambda i: i * F.col("m") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("m")))).alias("part"), "id", F.lit(2).alias("role")
     )
-    rest = again.select("list", F.explode(F.transform(F.sequence(zero, F.col("o") - 1), lambda i: i * F.col("m") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("m")))).alias("part"), "id", F.lit(2).alias("role"))
     more = materialize(_compare(others.union(rest), texts, **options), "near-more")
     if more.isEmpty():
         final = components
