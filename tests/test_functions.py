@@ -139,3 +139,11 @@ def test_draws_are_reproducible():
 def test_manual_episode(one):
     verbs = F.array(*map(F.lit, ("move_forward", "turn_left", "stop", "move_forward")))
     assert list(one(filters.manual_actions(verbs), filters.manual_reason(verbs, F.lit(3), F.lit("go")), filters.manual_reason(F.array(F.lit("jump")), F.lit(2), F.lit("go")))) == [[-1, 1, 2], None, "unknown_verb"]
+
+
+def test_fill_template(one):
+    assert one(text.fill_template("{a} of {b} {c}", a=F.lit(1), b=F.lit("x")))[0] == "1 of x {c}"
+
+
+def test_utc_text(one):
+    assert one(text.utc_text(F.lit(86399)))[0] == "1970-01-01T23:59:59Z"

@@ -152,3 +152,10 @@ def test_window_stream_matches_table(spark, tmp_path):
     query.stop()
     want = windows.tumbling_counts(windows.with_event_time(events), ["kind"], "10 minutes")
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_resume_state(spark):
+    df = spark.createDataFrame([("sample_0000007_a_b_0001",), ("sample_0000009_a_b_0002",), ("sample_0000003_c_0001",)], "id string")
+    assert list(metrics.resume_state(df).first()) == [9, 2]
+    with pytest.raises(Exception, match="malformed"):
+        metrics.resume_state(df.union(spark.createDataFrame([("odd",)], "id string"))).collect()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -382,6 +384,17 @@ def numbers_match(found: Column, expected: Column, tolerance: float = 0.01) -> C
 # Prompts and conversations
 
 
+def fill_template(template: str, **values: Column) -> Column:
+    """A template with ``{name}`` places filled by columns; any other brace stays. A null value gives null."""
+    parts = re.split(r"\{(" + "|".join(map(re.escape, values)) + r")\}", template) if values else [template]
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def utc_text(seconds: Column, pattern: str = "yyyy-MM-dd'T'HH:mm:ss'Z'") -> Column:
+    """Epoch seconds as text in UTC, whatever the session's zone."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.to_timestamp_ntz(F.timestamp_seconds(seconds).cast("string"))), pattern)
+
+
 def future_prompt(instruction: Column, future: int = 6) -> Column:
     """Prompt for the next actions of an episode (fixed wording)."""
     head = (

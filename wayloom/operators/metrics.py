@@ -145,3 +145,23 @@ def flatten_metrics(results: DataFrame, column: str = "results") -> DataFrame:
     tasks = results.select(F.explode(column).alias("task", "metrics"))
     flat = tasks.select("task", F.explode("metrics").alias("metric", "value"))
     return flat.where(~F.contains("metric", F.lit("alias")) & ~F.contains("metric", F.lit("stderr"))).select(F.concat_ws("_", "task", "metric").alias("name"), "value")
+
+
+def stair_frames(details: Column) -> Column:
+    """How many frames of a details list show stairs."""
+    return F.size(F.filter(details, lambda d: F.coalesce(d["has_stairs"], F.lit(False))))
+
+
+def resume_state(samples: DataFrame, id_column: str = "id") -> DataFrame:
+    """One row: the largest sample number and the number of finished trajectories, from ids ``sample_<n>_<traj>_<step>``.
+
+    A malformed id fails the job. The trajectories themselves are ``finished_trajectories``.
+    """
+    number = F.regexp_extract(id_column, r"^sample_(\d+)_(.+)_(\d+)$", 1).try_cast("long")
+    checked = samples.select(F.assert_true(number.isNotNull(), F.concat(F.lit("malformed id "), F.col(id_column))).alias("ok"), number.alias("n"), F.col(id_column))
+    rows = checked.where("ok IS NULL").agg(F.coalesce(F.max("n"), F.lit(-1)).alias("last_sample"))
+    return rows.join(F.broadcast(finished_trajectories(samples, id_column).agg(F.count("*").alias("n_finished"))), F.lit(True))  # single rows
+
+
+def finished_trajectories(samples: DataFrame, id_column: str = "id") -> DataFrame:
+    return samples.select(F.regexp_extract(id_column, r"^sample_(\d+)_(.+)_(\d+)$", 2).alias("traj_name")).distinct()

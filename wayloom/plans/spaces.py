@@ -107,6 +107,33 @@ def vector_steps(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", (d > 0.3).alias("far"), (geometry.height_diff(F.reverse(F.slice(e, 1, 2)), F.slice(e, 1, 2)) < 0).alias("falls"))
 
 
+@query(
+    """WITH facts AS (SELECT c_custkey, 1 + c_nationkey % 3 AS a, 1 + c_custkey % 3 AS b, 1 + c_custkey % 4 AS total, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal / 1000 ELSE 0.5 END AS climb FROM customer),
+    split AS (SELECT *, total <= 1 AND abs(climb) >= 1 AS pretend FROM facts)
+    SELECT c_custkey, CASE WHEN pretend THEN CASE WHEN climb > 0 THEN 1 ELSE 2 END ELSE a END AS start_floor, CASE WHEN pretend THEN CASE WHEN climb > 0 THEN 2 ELSE 1 END ELSE b END AS end_floor,
+        CASE WHEN pretend THEN 2 ELSE total END AS total_floors, CASE WHEN climb > 0 THEN 'up' ELSE 'down' END AS direction FROM split"""
+)
+def floor_annotations(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    climb = F.when(k % 4 == 0, F.col("c_acctbal") / 1000).otherwise(0.5)
+    floors = levels.floor_annotation((1 + F.col("c_nationkey") % 3).cast("long"), 1 + k % 3, 1 + k % 4, climb)
+    return table(spark, sf, "customer").select("c_custkey", floors.alias("f")).select("c_custkey", "f.*")
+
+
+_GRID = [(336, 672), (672, 336), (672, 672), (1008, 336), (336, 1008)]
+
+
+@query(
+    f"""WITH sizes AS (SELECT p_partkey, 200 + p_size * 17 AS w, 200 + (p_partkey % 37) * 23 AS h FROM part),
+    rated AS (SELECT p_partkey, w, h, unnest({[g[0] for g in _GRID]}) AS gw, unnest({[g[1] for g in _GRID]}) AS gh, unnest(range(0, {len(_GRID)})) AS place FROM sizes),
+    used AS (SELECT *, least(CAST(floor(w * least(gw / CAST(w AS DOUBLE), gh / CAST(h AS DOUBLE))) AS BIGINT) * CAST(floor(h * least(gw / CAST(w AS DOUBLE), gh / CAST(h AS DOUBLE))) AS BIGINT), w * h) AS used FROM rated)
+    SELECT p_partkey, arg_max(gw, (used, used - gw * gh, -place)) AS width, arg_max(gh, (used, used - gw * gh, -place)) AS height FROM used GROUP BY 1"""
+)
+def best_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    w, h = 200 + F.col("p_size") * 17, 200 + (F.col("p_partkey") % 37) * 23
+    return table(spark, sf, "part").select("p_partkey", geometry.best_resolution(w, h, _GRID).alias("r")).select("p_partkey", "r.*")
+
+
 _HASH = "md5({0} || '|42'), {0}"
 
 

@@ -226,3 +226,30 @@ def kway_merge_ids(spark: SparkSession, sf: str) -> DataFrame:
     rows = steps(spark, sf).select("event_id", (F.col("user_id") % 7).alias("shard"), "user_id", "step")
     out = dense_ordinals(rows, ["shard", "user_id", "step"], "sample_no")
     return out.select("event_id", "sample_no", F.format_string("sample_%07d_%d_%04d", "sample_no", "user_id", "step").alias("sample_id"))
+
+
+@query(
+    f"""WITH {TRAJECTORIES_SQL}, rows AS (SELECT user_id, s.step, n, actions FROM steps s JOIN trajectories USING (user_id) WHERE s.step < n - 1 AND user_id % 10 <> 0)
+    SELECT printf('traj%d_step_%d', user_id, step) AS id,
+        array_to_string([CASE coalesce(actions[step + 1 + j], 0) WHEN 1 THEN '↑' WHEN 2 THEN '←' WHEN 3 THEN '→' ELSE 'STOP' END FOR j IN range(1, 7)], '') AS answer,
+        array_to_string([printf('v%d/rgb/%03d.jpg', user_id, least(i, step + 1)) FOR i IN range(greatest(1, step - 6), greatest(1, step - 6) + 8)], ' ') AS image FROM rows"""
+)
+def training_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Training samples of annotated trajectories; every tenth has no instruction and gives none."""
+    k = F.col("user_id")
+    said = F.when(k % 10 == 0, F.array(F.lit("none"))).otherwise(F.array(F.lit(" walk on ")))
+    rows = trajectories(spark, sf).select(F.format_string("traj%d", k).alias("id"), F.format_string("v%d", k).alias("video"), said.alias("instructions"), "actions")
+    out = tr.training_rows(rows)
+    return out.select("id", F.get("conversations", F.lit(1))["value"].alias("answer"), F.array_join("image", " ").alias("image"))
+
+
+@query(
+    f"""WITH {TRAJECTORIES_SQL}, bundles AS (SELECT user_id, s.step, actions FROM steps s JOIN trajectories USING (user_id) WHERE s.step < n - user_id % 5)
+    SELECT user_id, step, 'Final Answer: ' || array_to_string([CASE coalesce(actions[step + j], 0) WHEN 1 THEN 'Move Forward' WHEN 2 THEN 'Turn Left' WHEN 3 THEN 'Turn Right' ELSE 'Stop' END FOR j IN range(1, 7)], ', ') AS answer,
+        len(CASE WHEN step + 1 <= 8 THEN range(0, step + 1) ELSE list_distinct([CAST(round_even(i * step / 7.0::DOUBLE, 0) AS BIGINT) FOR i IN range(0, 8)]) END) AS n_images FROM bundles"""
+)
+def step_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    """Step samples; trajectories lack up to four of their images."""
+    images = F.transform(sq.indices(F.col("n") - (F.col("user_id") % 5).cast("int")), lambda i: F.format_string("%d.jpg", i))
+    out = tr.step_bundles(trajectories(spark, sf).withColumn("images", images), "user_id")
+    return out.select("user_id", F.col("step").cast("long").alias("step"), "answer", F.size("image").cast("long").alias("n_images"))
