@@ -159,3 +159,34 @@ def test_resume_state(spark):
     assert list(metrics.resume_state(df).first()) == [9, 2]
     with pytest.raises(Exception, match="malformed"):
         metrics.resume_state(df.union(spark.createDataFrame([("odd",)], "id string"))).collect()
+
+
+def test_variants_and_instructions(spark):
+    df = spark.createDataFrame([("a", ["x", "y"], [1, 2, 3])], "id string, instructions array<string>, actions array<int>")
+    assert tr.per_instruction(df).count() == 6 and sorted(r["variant"] for r in tr.with_variants(df, 3).collect()) == [0, 1, 2]
+
+
+def test_reconstruction(spark):
+    stop = "Final Answer: " + ", ".join(["Stop"] * 6)
+    rows = [("s", [("human", "<image>\nInstruction: go on\nnow"), ("gpt", stop)], ["a.jpg"]), ("t", [("human", "Instruction: x\n"), ("gpt", "Final Answer: Stop")], [])]
+    out = tr.reconstruction(spark.createDataFrame(rows, "id string, conversations array<struct<from:string,value:string>>, image array<string>")).collect()
+    assert [r["id"] for r in out] == ["s_reconstruct"] and out[0]["conversations"][1]["value"] == "go on"
+
+
+def test_reports(spark):
+    rows = spark.createDataFrame([("a", ["1", "2"]), ("b", ["1"])], "id string, image array<string>")
+    report = metrics.build_report(rows, spark.createDataFrame([("z",)], "id string"), "id", "image").first()
+    assert (report["n_rows"], report["first_id"], report["last_id"], report["n_skipped"], report["skipped_examples"]) == (2, "a", "b", 1, ["z"]) and report["image_lengths"] == {1: 1, 2: 1}
+    nested = spark.createDataFrame([({"t": {"acc": 0.5, "acc_stderr": 0.1}},)], "results map<string,map<string,double>>")
+    assert [tuple(r) for r in metrics.flatten_metrics(nested).collect()] == [("t_acc", 0.5)]
+
+
+def test_listings(spark):
+    files = spark.createDataFrame([("/s/traj_10_x/2.jpg",), ("/s/traj_2_x/10.jpg",), ("/s/odd/1.jpg",), ("/s/traj_2_x/9.jpg",)], "path string")
+    assert [r["traj_name"] for r in listings.ordered_trajectories(files).collect()] == ["traj_2_x", "traj_10_x", "odd"]
+    assert [r["step"] for r in listings.ordered_images(files).where("traj_name = 'traj_2_x'").collect()] == [9, 10]
+    scenes = spark.createDataFrame([("/a/one.glb",), ("/a/one.navmesh",), ("/a/two.glb",)], "path string")
+    assert [r["scene"] for r in listings.complete_scenes(scenes).collect()] == ["one"]
+    other = spark.createDataFrame([("/b/one.basis.glb",), ("/b/three.basis.glb",)], "path string")
+    got = {r["scene"]: r["source"] for r in listings.scene_catalogue([("a", scenes.where("path LIKE '%glb'")), ("b", other)]).collect()}
+    assert got == {"one": "a", "two": "a", "three": "b"}

@@ -61,6 +61,21 @@ def explode_steps(df: DataFrame, actions: str = "actions", step: str = "step", a
     return df.select("*", F.posexplode(actions).alias(step, action))
 
 
+def strided(steps: DataFrame, step: str = "step", every: int = 5, most: int = 12) -> DataFrame:
+    """Every so many steps, at most ``most`` a trajectory."""
+    return steps.where((F.col(step) % every == 0) & (F.col(step) < every * most))
+
+
+def per_instruction(df: DataFrame, instructions: str = "instructions", actions: str = "actions") -> DataFrame:
+    """One row per step and instruction of each trajectory."""
+    return explode_steps(df, actions).select("*", F.posexplode(instructions).alias("instruction_no", "instruction"))
+
+
+def with_variants(df: DataFrame, n: int, column: str = "variant") -> DataFrame:
+    """Every row n times, with a variant number from 0: a cross join with a small range, without a join."""
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(column))
+
+
 def regroup(steps: DataFrame, keys: Sequence[str], step: str, action: str, drop_last: bool = False) -> DataFrame:
     """Action arrays rebuilt from steps. Keys hold episode, variant and instruction number, so that variants stay apart."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct(step, action))), lambda s: s[action])

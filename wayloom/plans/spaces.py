@@ -202,7 +202,7 @@ def length_batches(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def render_params(spark: SparkSession, sf: str) -> DataFrame:
     """Three variants of every supplier's episode: the cross join is an explode."""
-    rows = table(spark, sf, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("variant"))
+    rows = tr.with_variants(table(spark, sf, "supplier").select("s_suppkey"), 3)
     drawn = rows.select("s_suppkey", "variant", draws.render_params(F.col("s_suppkey"), F.col("variant"), height_jitter=0.3, hfov_jitter=20.0, resolutions=(224, 336, 448)).alias("p"))
     return drawn.select("s_suppkey", "variant", "p.*", draws.render_signature(F.col("p")).alias("signature"))
 

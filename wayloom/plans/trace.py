@@ -205,7 +205,7 @@ def fixed_rate_frames(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {STEPS_SQL} SELECT user_id, step, event_id FROM steps WHERE step % 5 = 0 AND step / 5 < 12")
 def stride_cap(spark: SparkSession, sf: str) -> DataFrame:
     """Every fifth step, at most twelve a trajectory: the twelfth is step 55."""
-    return steps(spark, sf).where((F.col("step") % 5 == 0) & (F.col("step") < 60)).select("user_id", "step", "event_id")
+    return tr.strided(steps(spark, sf)).select("user_id", "step", "event_id")
 
 
 @query(f"WITH {TRAJECTORIES_SQL} SELECT user_id, array_to_string(actions[:-2], ',') AS actions FROM trajectories")
