@@ -55,6 +55,19 @@ def _class(letter: str) -> int:
     return int(_TABLE[min(ord(letter), len(_TABLE) - 1)])
 
 
+def _blocks(texts: pd.Series, chars: int = 200_000) -> Iterator[np.ndarray]:
+    """Classes of whole texts, several to a block. Each text has two blanks before it and one after."""
+    parts, held = [], 0
+    for text in texts:
+        parts.append(_classes(f"  {text.lower()} "))
+        held += len(parts[-1])
+        if held >= chars:
+            yield np.concatenate(parts)
+            parts, held = [], 0
+    if parts:
+        yield np.concatenate(parts)
+
+
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Counts of character-class trigrams over all texts: at most 64^3 rows."""
     ship(docs.sparkSession)
@@ -62,24 +75,11 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(_ALPHABET**3, np.int64)
         for batch in batches:
-            for body in batch["body"]:
-                c = _classes(f"  {body.lower()} ")
-                total += np.bincount(c[:-2] * _ALPHABET**2 + c[1:-1] * _ALPHABET + c[2:], minlength=len(total)) if len(c) > 50_000 else 0
-                if len(c) <= 50_000:
-                    pending.append(c)
-                    if sum(map(len, pending)) > 200_000:
-                        flush(total, pending)
-            flush(total, pending)
+            for c in _blocks(batch["body"]):
+                total += np.bincount((c[:-2] * _ALPHABET + c[1:-1]) * _ALPHABET + c[2:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gram": at, "n": total[at]})
 
-    def flush(total: np.ndarray, parts: list[np.ndarray]) -> None:
-        if parts:
-            c = np.concatenate(parts)  # each part ends blank and begins with two blanks
-            total += np.bincount(c[:-2] * _ALPHABET**2 + c[1:-1] * _ALPHABET + c[2:], minlength=len(total))
-            parts.clear()
-
-    pending: list[np.ndarray] = []
     bodies = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     return bodies.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
