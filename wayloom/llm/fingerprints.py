@@ -76,7 +76,9 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The edited text has its last floor(n/2) code points replaced by the first
     as many (or all) of the next document in descending id order; after the
     last one comes the first. Rows with equal ids follow each other by text,
-    null ids come last. A table of one row is its own next document.
+    null ids come last. A table of one row is its own next document, an empty
+    one gives an empty result. A null text counts as empty; other columns of
+    ``df`` are not read.
 
     Ids are dealt into ranges that each fit a task. The first row of a range
     also goes to the range before it, so one shuffle brings all neighbours

@@ -161,7 +161,7 @@ def near_groups(
     component_id is the smallest id reachable through links; kept rows are
     those with that id. Ids are integers; rows that share an id each go with
     their own text. A row with a null id is its own component (null) and kept.
-    An empty table gives an empty result.
+    An empty table gives an empty result; other columns of ``df`` are not read.
     """
     options = {"shingle": shingle, "similarity": similarity, "k": k, "overlap": overlap}
     all_rows = materialize(sketches(df, id_col, text_col, shingle, k), "near-sketches")

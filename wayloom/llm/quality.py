@@ -133,7 +133,13 @@ def quality_score(model: dict[str, np.ndarray], text: Column) -> Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, score, predicted of every row of ``docs``, from its text alone."""
+    """id, held_out, score, predicted of every row of ``docs``, from its text alone.
+
+    A null text is scored as an empty one. A null id counts as empty text when
+    folds are dealt; repeated rows are scored one by one. Labels that are null
+    or have no document don't count, several of one document do. An empty table
+    gives an empty result; columns other than id and text are not read.
+    """
     model = fit_quality(docs, labels, id_col, text_col)
     return docs.select(F.col(id_col), (fold(F.col(id_col)) == 0).alias("held_out"), quality_score(model, F.col(text_col)).alias("score")).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")
@@ -141,6 +147,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text the classifier accepts, with all their columns."""
+    """Rows of ``docs`` whose text the classifier accepts (see ``score_quality``), with all their columns."""
     model = fit_quality(docs, labels, id_col, text_col)
     return docs.where(quality_score(model, F.col(text_col)) >= THRESHOLD)
