@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 PREFIX_CHARS = 96
-#: Surviving (length, prefix) keys up to this many (24 bytes each) are sent to
-#: the scan as a broadcast; beyond it every text is hashed in the scan instead.
+#: Shared lengths (8 bytes each) and (length, prefix) keys (16 bytes) up to this
+#: many are sent to the scan as a broadcast. Beyond it lengths are joined by a
+#: shuffle, and every text is hashed in the scan.
 BROADCAST_KEYS = 400_000
 
 
@@ -43,7 +44,9 @@ def exact_groups(
     )
     prefix = F.xxhash64(F.substring("body", 1, prefix_chars))
 
-    lengths = rows.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
+    lengths = materialize(rows.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len"), "exact-lengths")
+    if lengths.count() <= broadcast_keys:
+        lengths = F.broadcast(lengths)  # and so a very common length meets no task but the scan's
     keys = (
         rows.select("len", prefix.alias("pre"))
         .join(lengths, "len", "left_semi")
