@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 )
 def spl_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Results joined in order to their episodes, the last of each key, and summarised. Prices are summed exactly, in ten-thousandths."""
-    cents = lambda c: F.round(c * 100, 0).cast("decimal(18,0)")
+    cents = lambda c: F.round(c * 100, 0).cast("long")
     lines = (
         table(spark, sf, "lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
