@@ -35,3 +35,12 @@ def test_every_supplier_is_a_box(spark):
     assert {r["p_partkey"]: r["floor"] for r in plans.QUERIES["nearest_floor_all"](spark, FOLDER).collect()} == floors
     fallback = {r["p_partkey"]: (r["level"], r["found"]) for r in plans.QUERIES["level_fallback_all"](spark, FOLDER).collect()}
     assert {k: level for k, (level, found) in fallback.items() if found == "box"} == {k: level for k, (level, _) in want.items()}
+
+
+def test_every_line_is_parsed(spark):
+    want = []
+    for r in rows(spark, "lineitem"):
+        q, m = int(r["l_quantity"]), r["l_linenumber"] * 0.25
+        want.append((r["l_orderkey"], r["l_partkey"], r["l_linenumber"], r["l_suppkey"] % 2 == 0 or q == 180, q + m + 180))
+    got = plans.QUERIES["number_multiset_all"](spark, FOLDER).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r["ok"] for r in got} == {True, False}

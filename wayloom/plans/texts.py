@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as sq
@@ -224,11 +224,24 @@ def vertical_rules(spark: SparkSession, sf: str) -> DataFrame:
     SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey % 8 = 0 OR q = 180 AS ok, CASE WHEN l_suppkey % 8 = 0 THEN q + l_linenumber * 0.25 + 180 ELSE q + l_linenumber * 0.25 + 180 END::DOUBLE AS total FROM facts"""
 )
 def number_multiset(spark: SparkSession, sf: str) -> DataFrame:
-    """Do an instruction's numbers match its segments? Odd suppliers' segments lack the half circle that their text has."""
+    """Do an instruction's numbers match its segments? Suppliers with a multiple of 4 only; segments of the odd multiples lack the half circle that their text has."""
     rows = table(spark, sf, "lineitem").where("l_suppkey % 4 = 0")
+    return _numbers_matched(rows, F.col("l_suppkey") % 8 == 0)
+
+
+@query(
+    """WITH facts AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+    SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey % 2 = 0 OR q = 180 AS ok, q + l_linenumber * 0.25::DOUBLE + 180 AS total FROM facts"""
+)
+def number_multiset_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``number_multiset`` over all lines. Odd suppliers' segments lack the half circle that their text has."""
+    return _numbers_matched(table(spark, sf, "lineitem"), F.col("l_suppkey") % 2 == 0)
+
+
+def _numbers_matched(rows: DataFrame, whole: Column) -> DataFrame:
     q, m = F.col("l_quantity").cast("long"), F.col("l_linenumber") * F.lit(0.25)
     said = F.concat(F.lit("Go "), text.format_meters(m), F.lit(" meters, turn "), q.cast("string"), F.lit(" degrees and make half a circle."))
-    expected = F.when(F.col("l_suppkey") % 8 == 0, F.array(F.lit(180.0), q.cast("double"), m)).otherwise(F.array(q.cast("double"), m, q.cast("double")))
+    expected = F.when(whole, F.array(F.lit(180.0), q.cast("double"), m)).otherwise(F.array(q.cast("double"), m, q.cast("double")))
     found = text.numbers_in(said)
     return rows.select("l_orderkey", "l_partkey", "l_linenumber", text.numbers_match(found, expected).alias("ok"), F.aggregate(found, F.lit(0.0), lambda s, x: s + x).alias("total"))
 
