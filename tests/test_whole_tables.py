@@ -44,3 +44,21 @@ def test_every_line_is_parsed(spark):
         want.append((r["l_orderkey"], r["l_partkey"], r["l_linenumber"], r["l_suppkey"] % 2 == 0 or q == 180, q + m + 180))
     got = plans.QUERIES["number_multiset_all"](spark, FOLDER).collect()
     assert sorted(map(tuple, got)) == sorted(want) and {r["ok"] for r in got} == {True, False}
+
+
+def test_sources_are_merged_over_all_customers(spark):
+    groups = {}
+    for r in rows(spark, "customer"):
+        groups.setdefault((r["c_nationkey"], r["c_mktsegment"]), []).append(r["c_name"])
+    said = {k: [min(v), max(v), "shared"] for k, v in groups.items() if len(v) % 3}
+    order = ("MACHINERY", "BUILDING", "HOUSEHOLD")
+    first, joined = {}, {}
+    for nation in {n for n, _ in said}:
+        sources = [s for s in order if (nation, s) in said]
+        if sources:
+            first[nation] = (",".join(said[nation, sources[0]]), sources[0])
+            joined[nation] = (",".join(dict.fromkeys(x for s in sources for x in said[nation, s])), ",".join(sources))
+    got = plans.QUERIES["priority_merge_all"](spark, FOLDER).collect()
+    assert {r["c_nationkey"]: (r["said"], r["source"]) for r in got} == first and len({s for _, s in first.values()}) > 1
+    got = plans.QUERIES["priority_concat_all"](spark, FOLDER).collect()
+    assert {r["c_nationkey"]: (r["said"], r["sources"]) for r in got} == joined
