@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayloom import plans
+from wayloom.functions import text
+from wayloom.operators import trajectories as tr
+from wayloom.plans.base import trajectories
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,3 +65,12 @@ def test_sources_are_merged_over_all_customers(spark):
     assert {r["c_nationkey"]: (r["said"], r["source"]) for r in got} == first and len({s for _, s in first.values()}) > 1
     got = plans.QUERIES["priority_concat_all"](spark, FOLDER).collect()
     assert {r["c_nationkey"]: (r["said"], r["sources"]) for r in got} == joined
+
+
+def test_sentences_have_every_segment(spark):
+    actions = trajectories(spark, FOLDER)
+    segments = tr.segments_of(F.col("actions"))
+    numbers = F.transform(segments, lambda s: F.coalesce(s["meters"], s["degrees"].cast("double")))
+    joined = plans.QUERIES["precise_sentences"](spark, FOLDER).join(actions, "user_id").select(F.size(segments).alias("n"), text.numbers_match(text.numbers_in(F.col("said")), numbers).alias("ok"))
+    got = joined.collect()
+    assert len(got) == actions.count() and all(r["ok"] for r in got) and max(r["n"] for r in got) > 6

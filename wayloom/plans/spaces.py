@@ -236,7 +236,7 @@ def render_params(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def precise_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    rows = trajectories(spark, sf).select("user_id", F.slice(tr.segments_of(F.col("actions")), 1, 6).alias("segments"))
+    rows = trajectories(spark, sf).select("user_id", tr.segments_of(F.col("actions")).alias("segments"))
     return rows.select("user_id", draws.precise_instruction(F.col("user_id"), F.col("segments")).alias("said"))
 
 
