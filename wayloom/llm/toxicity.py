@@ -35,8 +35,17 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¥": "y", "(": "c", "*": "aeiou",
 }
 _EDGE = ".,!?;:\"'()[]{}<>|*#%&-_/\\+=~^`…«»“”„‘’"
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!])(?:(?:[ ]|[.\-_*·~]{1,2})(?:[^\W_]|[@$!])){3,}(?![^\W_])")
-_RUN = re.compile(r"(.)\1\1")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!])(?:(?:\s+|[.\-_*·~]{1,2})(?:[^\W_]|[@$!])){2,}(?![^\W_])")
+_WIDE = re.compile(r"\s{2,}")
+_RUN = re.compile(r"([^\W\d_])\1")
+#: Punctuation that may also be a letter, and what stands alone as a word next to a spaced one.
+_EITHER = "".join(c for c in _EDGE if c in LOOKALIKES)
+_NEVER = "".join(c for c in _EDGE if c not in LOOKALIKES)
+_BEFORE, _AFTER = re.compile(f"[{re.escape(_EITHER)}]*$"), re.compile(f"[{re.escape(_EITHER)}]*")
+_ALONE = "aeiouyr"
+#: Symbols (runs of one count once) at each end of a word, and lone letters at each end of a spaced run, that are tried.
+_ENDS = 3
+_SAME = re.compile(r"(.)\1*")
 _ALPHABET = 64  # a..z are 1..26, other letters share 27..63, anything else is 0
 _TABLE = np.zeros(0x3000, np.int64)
 for _c in range(0x80, 0x3000):
@@ -84,6 +93,14 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return bodies.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _joined(text: tuple | None) -> str:
+    parts = []
+    while text:
+        text, part = text
+        parts.append(part)
+    return "".join(reversed(parts))
+
+
 class Restorer:
     """Most likely intended spelling of a suspicious one."""
 
@@ -98,17 +115,18 @@ class Restorer:
         self.cost = -np.log((grams + 4 * two) / (grams.sum(axis=2, keepdims=True) + 4))
         self.seen: dict[str, str] = {}
 
-    def word(self, written: str) -> str:
-        """Viterbi over (last two letters); runs of a letter may stand for one or two of it."""
-        if written in self.seen:
-            return self.seen[written]
+    def word(self, written: str, breaks: bool = False) -> str:
+        """Viterbi over (last two letters); runs of a letter may stand for one or two of it. With ``breaks``, blanks may be put between letters."""
+        known = f" {written}" if breaks else written
+        if known in self.seen:
+            return self.seen[known]
         cells: list[tuple[str, int]] = []
         for c in written:
             if cells and cells[-1][0] == c:
                 cells[-1] = (c, cells[-1][1] + 1)
             else:
                 cells.append((c, 1))
-        beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # texts are linked backwards
         for c, n in cells:
             options = []
             if c.isalpha():
@@ -116,7 +134,7 @@ class Restorer:
             options += [(x, self.SWAP) for x in LOOKALIKES.get(c, "")]
             if not options:
                 options = [("", self.KEEP_SYMBOL if c.isalnum() else 0.5)]
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for letter, price in options:
                 for times in (1, 2) if n > 1 and letter else (1,):
                     extra = price + (self.REPEAT if times != n else 0.0)
@@ -127,38 +145,65 @@ class Restorer:
                             total += self.cost[x, y, z]
                             x, y = y, z
                         if (x, y) not in after or total < after[x, y][0]:
-                            after[x, y] = (total, text + letter * times)
+                            after[x, y] = (total, (text, letter * times))
+            if breaks:
+                for (x, y), (cost, text) in list(after.items()):
+                    total = cost + self.cost[x, y, 0]
+                    if y and ((y, 0) not in after or total < after[y, 0][0]):
+                        after[y, 0] = (total, (text, " "))
             beam = after
-        best = min((cost + self.cost[a, b, 0], text) for (a, b), (cost, text) in beam.items())[1]
+        best = min((cost + (self.cost[a, b, 0] if b or not breaks else 0.0), _joined(text)) for (a, b), (cost, text) in beam.items())[1]
         if len(self.seen) > 200_000:
             self.seen.clear()
-        self.seen[written] = best
+        self.seen[known] = best
         return best
 
+    def edged(self, token: str) -> set[str]:
+        """Restored spellings of a word whose first or last letters are written as punctuation."""
+        token = token.strip(_NEVER)
+        core = token.strip(_EDGE)
+        if core == token or len(core) < 2 or not any(c.isalpha() for c in core):
+            return set()
+        at = token.index(core)
+        fore = _BEFORE.search(token[:at]).group()
+        back = _AFTER.match(token[at + len(core) :]).group()
+        fore = [m.group() for m in _SAME.finditer(fore)][-_ENDS:]
+        back = [m.group() for m in _SAME.finditer(back)][:_ENDS]
+        ends = [(i, j) for i in range(len(fore) + 1) for j in range(len(back) + 1) if i or j]
+        return {self.word("".join(fore[len(fore) - i :]) + core + "".join(back[:j])) for i, j in ends}
+
+    def spaced(self, written: str) -> set[str]:
+        """Restored words of letters that are parted by blanks or marks; neighbours of one letter may belong to them or not."""
+        out: set[str] = set()
+        for part in {written, *_WIDE.split(written)}:
+            letters = "".join(c for c in part if c.isalnum() or c in "@$!")
+            if len(letters) < 3:
+                continue
+            out.update(self.word(letters, breaks=True).split())
+            first = next((i for i, c in enumerate(letters[:_ENDS]) if c not in _ALONE), _ENDS)
+            last = next((i for i, c in enumerate(letters[: -_ENDS - 1 : -1]) if c not in _ALONE), _ENDS)
+            out.update(self.word(letters[i : len(letters) - j]) for i in range(first + 1) for j in range(last + 1) if len(letters) - i - j >= 3)
+        return out
+
     def words(self, text: str) -> set[str]:
         """Plain words of a text, lower-cased, with suspicious spellings restored."""
         low = text.lower()
         out: set[str] = set()
-        runs = bool(_RUN.search(low))
         for token in set(low.split()):
             if not token.isalpha():
                 core = token.strip(_EDGE)
+                out |= self.edged(token)
                 if not core.isalpha():
-                    tail = token.lstrip(_EDGE).rstrip(".,;:?\"'")
                     if len(core) > 1 and any(c.isalpha() for c in core):
                         out.add(self.word(core))
-                        if tail != core and len(tail) - len(core) <= 2:
-                            out.add(self.word(tail))
                         out.update(p for p in re.split(r"[\W_]+", core) if len(p) > 2 and p.isalpha())
                     continue
                 token = core
             out.add(token)
-            if runs and _RUN.search(token):
+            if _RUN.search(token):
                 out.add(self.word(token))
         for spaced in _SPACED.finditer(low):
-            letters = [c for c in spaced.group() if c.isalnum() or c in "@$!"]
-            if len(letters) >= 4:
-                out.add(self.word("".join(letters)))
+            out |= self.spaced(spaced.group())
         return out
 
     def features(self, text: str) -> set[str]:
