@@ -29,3 +29,8 @@ def test_obfuscations_are_decoded(restore, written, meant):
 
 def test_plain_neighbours_stay_whole(restore):
     assert restore.words("b a s s (class)") >= {"bass", "class"} and "ass" not in restore.words("b a s s")
+
+
+def test_runs_are_decided_as_in_the_lattice(restore):
+    for word in ("stuupid", "idiiot", "coool", "ffield", "messss", "aallooss", "classs", "goodd", "oo", "bookkeeper"):
+        assert restore.unrepeated(word) == restore.word(word)

@@ -45,7 +45,7 @@ _BEFORE, _AFTER = re.compile(f"[{re.escape(_EITHER)}]*$"), re.compile(f"[{re.esc
 _ALONE = "aeiouyr"
 #: Symbols (runs of one count once) at each end of a word, and lone letters at each end of a spaced run, that are tried.
 _ENDS = 3
-_SAME = re.compile(r"(.)\1*")
+_SAME, _REPEATED = re.compile(r"(.)\1*"), re.compile(r"(.)\1+")
 _ALPHABET = 64  # a..z are 1..26, other letters share 27..63, anything else is 0
 _TABLE = np.zeros(0x3000, np.int64)
 for _c in range(0x80, 0x3000):
@@ -158,11 +158,25 @@ class Restorer:
         self.seen[known] = best
         return best
 
-    def edged(self, token: str) -> set[str]:
+    def unrepeated(self, letters: str) -> str:
+        """``word`` of letters alone: each run is decided by its neighbours, as its last letter is the same either way."""
+
+        def run(m: re.Match) -> str:
+            a = _class(letters[m.start() - 1]) if m.start() else 0
+            b = _class(letters[m.end()]) if m.end() < len(letters) else 0
+            c, cost = _class(m.group(1)), self.cost
+            double = cost[a, c, c] + cost[c, c, b] + (self.REPEAT if m.end() - m.start() > 2 else 0.0)
+            return m.group(1) * (1 if cost[a, c, b] + self.REPEAT <= double else 2)
+
+        if letters not in self.seen:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[letters] = _REPEATED.sub(run, letters)
+        return self.seen[letters]
+
+    def edged(self, token: str, core: str) -> set[str]:
         """Restored spellings of a word whose first or last letters are written as punctuation."""
-        token = token.strip(_NEVER)
-        core = token.strip(_EDGE)
-        if core == token or len(core) < 2 or not any(c.isalpha() for c in core):
+        if len(core) < 2 or not any(c.isalpha() for c in core):
             return set()
         at = token.index(core)
         fore = _BEFORE.search(token[:at]).group()
@@ -191,8 +205,9 @@ class Restorer:
         out: set[str] = set()
         for token in set(low.split()):
             if not token.isalpha():
-                core = token.strip(_EDGE)
-                out |= self.edged(token)
+                core, token = token.strip(_EDGE), token.strip(_NEVER)
+                if token != core:
+                    out |= self.edged(token, core)
                 if not core.isalpha():
                     if len(core) > 1 and any(c.isalpha() for c in core):
                         out.add(self.word(core))
@@ -201,7 +216,7 @@ class Restorer:
                 token = core
             out.add(token)
             if _RUN.search(token):
-                out.add(self.word(token))
+                out.add(self.unrepeated(token))
         for spaced in _SPACED.finditer(low):
             out |= self.spaced(spaced.group())
         return out
