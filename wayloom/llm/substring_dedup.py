@@ -1,8 +1,9 @@
-"""Repeated passages by relative Lempel-Ziv parsing.
+"""Repeated passages by winnowing and a join of window hashes.
 
-Every document is factored against all documents with smaller ids: its factors
-are the longest runs of words whose every ``window``-word window starts in an
-earlier document, and words in factors are duplicates.
+Words are duplicates when they lie in a ``window``-word window that starts in a
+document with a smaller id. This replaces relative Lempel-Ziv parsing: no
+longest match or reference position is kept, and one stretch ("factor") may be
+made of windows of several documents.
 
 1. Reference blocks. In each stretch of ``window`` words the ``anchor``-word
    run with the smallest hash is an anchor (winnowing). Equal windows have
@@ -12,10 +13,8 @@ earlier document, and words in factors are duplicates.
    the smallest document that has it. Within a chunk of documents, later
    holders of a window are settled on the spot, so a passage that is in very
    many documents is sent once per chunk.
-3. Parsing. Each document is parsed greedily from left to right: a factor
-   starts at the first window that an earlier document has and grows while the
-   next window is one too. Every window across a factor's end is looked up, so
-   that a word is left only if no window over it repeats.
+3. Merging. Every window of a reference block is looked up, and those that an
+   earlier document has are merged where they overlap or touch.
 
 Documents with the same words as an earlier one are one factor each and take
 no part. Hashes of windows have 64 bits.
@@ -73,7 +72,7 @@ def anchors(hashes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, n
 def factors(repeats: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Factors (first word, end) of a document from the windows that an earlier one has.
 
-    Greedy parse: runs of repeating windows, joined where they overlap.
+    Runs of repeating windows, joined where they overlap or touch.
     """
     at = np.flatnonzero(repeats)
     if not len(at):
