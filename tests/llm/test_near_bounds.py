@@ -1,0 +1,15 @@
+"""Similarities that near_groups takes."""
+
+import pytest
+
+from wayloom.llm.near_dedup import near_groups
+
+from .corpus import frame
+
+
+def test_lower_similarities_are_refused(spark):
+    docs = frame(spark)
+    for low in ((50, 100), (79, 100), (3, 4)):
+        with pytest.raises(ValueError, match="0.8"):
+            near_groups(docs, similarity=low)
+    assert near_groups(docs, similarity=(4, 5)).columns == ["doc_id", "n_shingles", "component_id", "kept"]

@@ -156,13 +156,15 @@ def near_groups(
     """One row per input row: id, n_shingles, component_id, kept.
 
     Texts are linked when 100 * intersection >= 80 * union of their shingle
-    sets (``similarity``); a text with fewer words than a shingle has its whole
+    sets (``similarity``, no less than 0.8); a text with fewer words than a shingle has its whole
     sequence as one, a text without words (or null) is linked with nothing.
     component_id is the smallest id reachable through links; kept rows are
     those with that id. Ids are integers; rows that share an id each go with
     their own text. A row with a null id is its own component (null) and kept.
     An empty table gives an empty result; other columns of ``df`` are not read.
     """
+    if similarity[0] * SIMILARITY[1] < SIMILARITY[0] * similarity[1]:
+        raise ValueError("the candidate rules find every link only from a similarity of 0.8 on")
     options = {"shingle": shingle, "similarity": similarity, "k": k, "overlap": overlap}
     all_rows = materialize(sketches(df, id_col, text_col, shingle, k), "near-sketches")
     with_words = all_rows.where("n > 0 AND id IS NOT NULL")
