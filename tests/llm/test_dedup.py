@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from wayloom.llm import exact_dedup, near_dedup, substring_dedup
+from wayloom.llm import common, exact_dedup, near_dedup, substring_dedup
 from wayloom.llm.components import connected_components
 
 from .corpus import COLUMNS, components, documents, frame, sentence, words
@@ -17,24 +17,30 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("broadcast", [0, 10**6])
-def test_exact(spark, broadcast):
+@pytest.mark.parametrize(("hot", "broadcast"), [(256, "10MB"), (2, "-1")])
+def test_exact(spark, hot, broadcast, monkeypatch):
+    """Also with groups of three rows dealt over tasks, and without broadcasts by size."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     rows = documents()
     groups = defaultdict(list)
     for r in rows:
         groups[r[1] or ""].append(r[0])
     want = {r[0]: (max(groups[r[1] or ""]), len(groups[r[1] or ""]), r[0] == max(groups[r[1] or ""]), sha(r[1] or "")) for r in rows}
-    got = exact_dedup.exact_groups(frame(spark, clashing=True), digests=True, broadcast_keys=broadcast).collect()
+    got = exact_dedup.exact_groups(frame(spark, clashing=True), digests=True).collect()
     assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got} == want and len(got) == len(rows)
-    left = exact_dedup.exact_dedup(frame(spark, clashing=True), broadcast_keys=broadcast)
+    left = exact_dedup.exact_dedup(frame(spark, clashing=True))
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, w in want.items() if w[2]) and "size" in left.columns
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_exact_odd_rows(spark):
     df = spark.createDataFrame([(None, "x"), (1, "x"), (2, "y"), (2, "y"), (None, "z")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df).collect()), key=str)
     assert got == sorted([(None, 1, 2, False), (1, 1, 2, True), (2, 2, 2, True), (2, 2, 2, True), (None, None, 1, True)], key=str)
-    assert exact_dedup.exact_groups(df.limit(0), digests=True).count() == 0
+    assert exact_dedup.exact_groups(df.limit(0), digests=True).count() == 0 and exact_dedup.exact_dedup(df.limit(0)).count() == 0
+    left = exact_dedup.exact_dedup(df.union(spark.createDataFrame([(2, "only"), (0, "y"), (0, "own")], df.schema)))
+    assert sorted((tuple(r) for r in left.collect()), key=str) == sorted([(1, "x"), (2, "y"), (None, "z"), (2, "only"), (0, "own")], key=str)
     same = [(1, "a" * 200 + "b"), (2, "a" * 200 + "c"), (3, "a" * 200 + "b")]  # equal length and prefix
     assert {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_groups(spark.createDataFrame(same, "doc_id long, text string")).collect()} == {1: 3, 2: 2, 3: 3}
 

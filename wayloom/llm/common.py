@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +14,22 @@ BLANKS = "\t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
+    """A folder that all executors share, below ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, notebooks on one machine) gets a
-    folder of its own.
+    A session that names none but has a checkpoint folder (tests, notebooks)
+    uses that; without either there is no place that is known to be shared,
+    which is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = os.path.join(tempfile.gettempdir(), "checkpoints")
+        given = sc._jsc.sc().getCheckpointDir()
+        configured = given.get() if given.isDefined() else None
+    if not configured and sc.master.startswith("local"):
+        # One process is all there is, so its warehouse folder is shared.
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{configured.rstrip('/')}/wayloom-{sc.applicationId}"
 
 
@@ -46,6 +52,57 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot when it has more rows than this, or than this fraction of all rows.
+HOT_ROWS, HOT_FRACTION = 256, 20_000
+
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, rows: int) -> DataFrame:
+    """(keys, parts) of the keys with too many rows for one task.
+
+    ``counts`` has one row per key and its number of rows ``n``; ``rows`` is
+    the sum of ``n``, or more. At most 20,000 keys can be hot, which is what
+    bounds the broadcast of this table.
+    """
+    most = max(HOT_ROWS, rows // HOT_FRACTION)
+    return counts.where(F.col(n) > most).select(*keys, F.ceil(F.col(n) / F.lit(most)).cast("int").alias("__parts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, how: str = "inner", spread: Sequence[str] = ()) -> DataFrame:
+    """``left.join(right, keys, how)`` with the rows of hot keys dealt over several tasks.
+
+    ``hot`` comes from ``hot_keys`` over the left side. A hot key's left rows
+    are dealt by the hash of ``spread`` (all columns if none are named), its
+    right rows are repeated once per part. ``how``: inner, left, left_semi or
+    left_anti. Which side is broadcast, if any, is Spark's choice by size.
+    """
+    hot = F.broadcast(hot)
+    part = F.pmod(F.xxhash64(*(spread or left.columns)), F.col("__parts"))
+    dealt = left.join(hot, list(keys), "left").withColumn("__salt", F.coalesce(part, F.lit(0)).cast("int")).drop("__parts")
+    parts = F.when(F.col("__parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1))
+    repeated = right.join(hot, list(keys), "left").withColumn("__salt", F.explode(parts)).drop("__parts")
+    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
+
+
+def without_repeats(df: DataFrame, repeats: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
+    """``df`` with one row of each (id, text) pair that ``repeats`` (id, h) lists.
+
+    Rows that repeat both id and text are one document; which of them stays
+    is of no account. There are none in most tables, which costs nothing.
+    """
+    if repeats.isEmpty():
+        return df
+    marked = df.withColumn("__h", text_hash)
+    pairs = repeats.select(F.col("id").alias("__id"), F.col("h").alias("__rh"))
+    same = marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__rh"))
+    once = marked.join(pairs, same, "left_semi").dropDuplicates([id_col, "__h"])
+    return marked.join(pairs, same, "left_anti").unionByName(once).drop("__h")
+
+
+def text_hash(text: Column) -> Column:
+    """64-bit hash that tells the texts of one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

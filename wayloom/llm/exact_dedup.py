@@ -1,8 +1,9 @@
 """Exact duplicates by progressive refinement, in DataFrame functions only.
 
 Rows are grouped by byte length, then by the hash of a short prefix, then by
-SHA-256. Each step looks only at rows that still share a group, and the full
-text is hashed only where length and prefix are shared.
+SHA-256. The first two steps work on a narrow table that one scan yields; the
+full text is hashed only where length and prefix are shared (or where its
+digest is asked for, and then in that same scan).
 """
 
 from __future__ import annotations
@@ -10,89 +11,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_keys, materialize, salted_join, text_hash, without_repeats
 
 PREFIX_CHARS = 96
-#: Shared lengths (8 bytes each) and (length, prefix) keys (16 bytes) up to this
-#: many are sent to the scan as a broadcast. Beyond it lengths are joined by a
-#: shuffle, and every text is hashed in the scan.
-BROADCAST_KEYS = 400_000
-
-
-def exact_groups(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    *,
-    prefix_chars: int = PREFIX_CHARS,
-    broadcast_keys: int = BROADCAST_KEYS,
-    digests: bool = False,
-) -> DataFrame:
+
+
+def _refine(df: DataFrame, id_col: str, text_col: str, prefix_chars: int, digests: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, h, sha) whose length and prefix others share, and the rest; ``sha`` of the rest is null unless asked for."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).alias("id"), text.alias("body"))
+    step = [F.octet_length("body").alias("len"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("pre")]
+    sha = F.sha2(F.col("body").cast("binary"), 256).alias("sha")
+    narrow = materialize(rows.select("id", text_hash(F.col("body")).alias("h"), *step, *([sha] if digests else [])), "exact-rows")
+
+    total = narrow.count()
+    lengths = materialize(narrow.groupBy("len").agg(F.count("*").alias("n")).where("n > 1"), "exact-lengths")
+    of_length = salted_join(narrow.select("len", "pre", "h"), lengths.select("len"), ["len"], hot_keys(lengths, ["len"], "n", total), "left_semi", ["pre", "h"])
+    keys = materialize(of_length.groupBy("len", "pre").agg(F.count("*").alias("n")).where("n > 1"), "exact-keys")
+    hot = hot_keys(keys, ["len", "pre"], "n", total)
+    keys = keys.select("len", "pre")
+    alone = salted_join(narrow, keys, ["len", "pre"], hot, "left_anti", ["id", "h"])
+    if digests:
+        shared = salted_join(narrow, keys, ["len", "pre"], hot, "left_semi", ["id", "h"])
+    else:
+        texts = rows.select("id", "body", *step)
+        shared = salted_join(texts, keys, ["len", "pre"], hot, "left_semi", ["id", "body"]).select("id", text_hash(F.col("body")).alias("h"), sha)
+        alone = alone.withColumn("sha", F.lit(None).cast("string"))
+    return materialize(shared.select("id", "h", "sha"), "exact-shared"), alone.select("id", "h", "sha")
+
+
+def _decide(df: DataFrame, id_col: str, text_col: str, prefix_chars: int, digests: bool) -> DataFrame:
+    """id, h, keep_id, group_size, sha of every row."""
+    shared, alone = _refine(df, id_col, text_col, prefix_chars, digests)
+    groups = materialize(shared.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "exact-groups")
+    found = salted_join(shared, groups, ["sha"], hot_keys(groups, ["sha"], "group_size", shared.count()), "inner", ["id", "h"])
+    single = alone.withColumn("keep_id", F.col("id")).withColumn("group_size", F.lit(1).cast("long"))
+    return found.unionByName(single)
+
+
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prefix_chars: int = PREFIX_CHARS, digests: bool = False) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept and, with
     ``digests``, text_sha256.
 
     Texts are equal when their UTF-8 bytes are; a null text counts as empty.
-    The largest id of a group stays. Rows that share an id share its fate, a
-    null id stays only in a group that has no other id. An empty table gives
-    an empty result. Other columns of ``df`` are not read.
+    The largest id of a group stays. Rows that share an id are judged by
+    their own texts, and ``kept`` holds for all rows of a group that have its
+    largest id; a null id stays only in a group that has no other id. An
+    empty table gives an empty result. Other columns of ``df`` are not read,
+    and ids may be of any type that has an order.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(
-        F.col(id_col).alias("id"),
-        text.alias("body"),
-        F.octet_length(text).alias("len"),
+    found = _decide(df, id_col, text_col, prefix_chars, digests)
+    return found.select(
+        F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("keep_id").eqNullSafe(F.col("id")).alias("kept"), *([F.col("sha").alias("text_sha256")] if digests else [])
     )
-    prefix = F.xxhash64(F.substring("body", 1, prefix_chars))
-
-    lengths = materialize(rows.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len"), "exact-lengths")
-    if lengths.count() <= broadcast_keys:
-        lengths = F.broadcast(lengths)  # and so a very common length meets no task but the scan's
-    keys = (
-        rows.select("len", prefix.alias("pre"))
-        .join(lengths, "len", "left_semi")
-        .groupBy("len", "pre")
-        .agg(F.count("*").alias("n"))
-        .where("n > 1")
-        .select(F.col("len").alias("k_len"), F.col("pre").alias("k_pre"))
-    )
-    keys = materialize(keys, "exact-keys")
-    rows = rows.withColumn("pre", prefix)
-    if keys.count() <= broadcast_keys:
-        rows = rows.join(F.broadcast(keys), (F.col("len") == F.col("k_len")) & (F.col("pre") == F.col("k_pre")), "left")
-        survives = F.col("k_len").isNotNull()
-    else:
-        survives = F.lit(True)
-    sha = F.sha2(F.col("body"), 256)
-    hashed = rows.select(
-        "id",
-        survives.alias("survives"),
-        (sha if digests else F.when(survives, sha)).alias("sha"),
-        F.concat_ws(":", "len", "pre").alias("alone"),
-    )
-    groups = (
-        hashed.where("survives")
-        .groupBy(F.col("sha").alias("g_sha"))
-        .agg(F.max("id").alias("g_keep"), F.count("*").alias("g_size"))
-        .where("g_size > 1")
-    )
-    # A row that was settled early joins on a key of its own, so that nulls do not meet in one task.
-    found = hashed.withColumn("key", F.when(F.col("survives"), F.col("sha")).otherwise(F.col("alone"))).join(
-        groups, F.col("key") == F.col("g_sha"), "left"
-    )
-    grouped = F.col("g_size").isNotNull()
-    keep = F.when(grouped, F.col("g_keep")).otherwise(F.col("id"))
-    columns = [
-        F.col("id").alias(id_col),
-        keep.alias("keep_id"),
-        F.coalesce("g_size", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col("id")).alias("kept"),
-    ]
-    return found.select(*columns, *([F.col("sha").alias("text_sha256")] if digests else []))
-
-
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns (see ``exact_groups``)."""
-    dropped = (
-        exact_groups(df, id_col, text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("__dropped")).distinct()
-    )
-    return df.join(dropped, df[id_col].eqNullSafe(dropped["__dropped"]), "left_anti")
+
+
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """Of each group of equal texts one row with all its columns (see ``exact_groups``): of the largest id.
+
+    Rows with equal ids and different texts don't share their fate. Of rows
+    that repeat both id and text one stays. Null texts are equal to empty
+    ones; an empty table gives an empty one.
+    """
+    found = materialize(_decide(df, id_col, text_col, prefix_chars, False).where("group_size > 1").select("id", "h", "keep_id"), "exact-found")
+    kept = F.col("keep_id").eqNullSafe(F.col("id"))
+    repeats = found.where(kept).groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select("id", "h")
+    dropped = found.where(~kept).select(F.col("id").alias("__dropped"), F.col("h").alias("__h")).distinct()
+    rest = df.join(dropped, F.col(id_col).eqNullSafe(F.col("__dropped")) & (text_hash(df[text_col]) == F.col("__h")), "left_anti")
+    return without_repeats(rest, materialize(repeats, "exact-repeats"), id_col, text_hash(F.col(text_col)))
