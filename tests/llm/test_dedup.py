@@ -1,6 +1,7 @@
 """Exact, near and substring dedup against brute force."""
 
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -50,27 +51,35 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def brute_near(rows, k):
+def brute_near(rows, k, similarity=(80, 100)):
     sets = {r[0]: shingles(r[1], k) for r in rows}
-    ids = sorted(sets)
-    links = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    ids, (share, whole) = sorted(sets), similarity
+    links = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if sets[a] and sets[b] and whole * len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b])]
     roots = components(ids, links)
     return {i: (len(sets[i]), roots[i], roots[i] == i) for i in ids}
 
 
-@pytest.mark.parametrize(("shingle", "block"), [(4, 256), (5, 256), (4, 4)])
-def test_near(spark, shingle, block):
-    """With a block of four rows, lists are compared in many chunks and again from their largest component."""
+def edited(rng, base, most, tag="y"):
+    copy = list(base)
+    for _ in range(rng.randrange(1, most)):
+        copy[rng.randrange(len(copy))] = f"{tag}{rng.randrange(10**6)}"
+    return " ".join(copy)
+
+
+@pytest.mark.parametrize(("shingle", "block", "hot", "similarity"), [(4, 256, 256, (80, 100)), (5, 256, 256, (80, 100)), (4, 4, 2, (80, 100)), (4, 256, 256, (1, 2)), (4, 4, 2, (9, 10)), (5, 256, 256, (1, 1))])
+def test_near(spark, shingle, block, hot, similarity, monkeypatch):
+    """With a block of four rows, lists are compared in many chunks, again by wide sketches, and in pools."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     rng = random.Random(5)
     rows = documents()
     base = sentence(rng, 90, 5000).split(" ")
+    passage = sentence(rng, 60, 5000)
     for i in range(60):  # a large group around one text, not all of it within the threshold of each other
-        copy = list(base)
-        for _ in range(rng.randrange(1, 7)):
-            copy[rng.randrange(len(copy))] = f"y{rng.randrange(10**6)}"
-        rows.append((2000 + i, " ".join(copy), "en", "a", 0))
-    got = near_dedup.near_groups(frame(spark, rows, clashing=True), shingle=shingle, block=block).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_near(rows, shingle) and len(got) == len(rows)
+        rows.append((2000 + i, edited(rng, base, 7), "en", "a", 0))
+    for i in range(40):  # one passage makes up half of texts that have nothing else in common
+        rows.append((3000 + i, f"{sentence(rng, 30, 10**6)} {passage} {sentence(rng, 20 + i, 10**6)}", "en", "a", 0))
+    got = near_dedup.near_groups(frame(spark, rows, clashing=True), shingle=shingle, block=block, wide=64, similarity=similarity).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == brute_near(rows, shingle, similarity) and len(got) == len(rows)
 
 
 def test_near_odd_rows(spark):
@@ -79,6 +88,50 @@ def test_near_odd_rows(spark):
     assert got == sorted([(None, None, True), (1, 1, True), (3, 1, False), (3, 1, False), (4, 4, True)], key=str)
     assert near_dedup.near_groups(df.limit(0)).count() == 0
     assert sorted(r["doc_id"] or 0 for r in near_dedup.near_dedup(df).collect()) == [0, 1, 4]
+    for low in ((0, 100), (101, 100)):
+        with pytest.raises(ValueError, match="similarity"):
+            near_dedup.near_groups(df, similarity=low)
+
+
+def test_near_repeated_ids(spark):
+    """Rows that share an id go with their own text; full repeats are one document."""
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(3, x), (5, x), (5, y), (2, x + " end"), (3, z), (7, z), (7, z), (9, y + " end"), (11, "single"), (11, "single"), (11, None), (11, None)]
+    left = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in left) == sorted([(2, x + " end"), (5, y), (3, z), (11, "single"), (11, "")])
+
+
+def test_near_large_groups(spark, monkeypatch):
+    """Ten thousand copies, as many texts without words, and a large group of near copies."""
+    rng = random.Random(9)
+    base = sentence(rng, 60, 10**6).split(" ")
+    rows = [(i, "one text that very many rows have") for i in range(10_000)] + [(20_000 + i, " " * (i % 3)) for i in range(10_000)]
+    rows += [(40_000 + i, edited(rng, base, 2)) for i in range(700)] + [(50_000 + i, sentence(rng, 20, 10**6)) for i in range(50)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and all(got[i] == 0 for i in range(10_000)) and all(got[i] == i for i in range(20_000, 30_000))
+    small = [r for r in rows if r[0] >= 40_000]
+    assert {i: got[i] for i, _ in small} == {i: w[1] for i, w in brute_near(small, 5).items()}
+
+
+def test_least_shared():
+    for k, similarity in ((32, (80, 100)), (256, (4, 5)), (32, (1, 2)), (8, (1, 1)), (4, (1, 10))):
+        c, p = near_dedup.least_shared(k, similarity), similarity[0] / similarity[1]
+        tail = lambda upto: sum(math.comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(upto))  # noqa: E731, B023
+        assert c == 1 or tail(c) <= near_dedup.MISSED
+        assert tail(c + 1) > near_dedup.MISSED
+
+
+def test_union_shares():
+    rng, k = np.random.default_rng(3), 8
+    sets = [np.unique(rng.integers(1, 60, size).astype(np.uint64)) for size in (3, 5, 20, 30, 30, 40)]
+    padded = np.full((len(sets), k), near_dedup._PAD)
+    for row, s in zip(padded, sets):
+        row[: min(k, len(s))] = s[:k]
+    for i, one in enumerate(sets):
+        size, both = near_dedup.union_shares(padded[i], padded, k)
+        for j, other in enumerate(sets):
+            lowest = sorted(set(one[:k]) | set(other[:k]))[:k]
+            assert (size[j], both[j]) == (len(lowest), len([v for v in lowest if v in one and v in other]))
 
 
 def test_shared_counts():

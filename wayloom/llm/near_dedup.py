@@ -3,43 +3,53 @@
 1. Each text's set of word shingles is hashed; the k smallest hashes are its
    sketch. Texts with the same set form a class; one row stands for it.
 2. Inverted lists of retained values bring together rows whose sketches
-   overlap. Two sets with a Jaccard likeness of 0.8 share at least
-   ``OVERLAP`` of the k smallest values of their union (all but about 2 in
-   10^8 pairs; sets of at most k shingles are whole in their sketch, so there
-   it is certain). So a row only needs the lists of its rarest values, all but
-   ``OVERLAP - 1`` of them: values that no other sketch has come first and
-   cost nothing, and very common ones are left out.
-3. Lists are compared in blocks of bounded size. In a block the sketch overlap
-   filters, then whole shingle sets verify, and a block only returns links
-   that join two of its components, never all pairs.
-4. Lists longer than a block are first compared in chunks that all hold the
-   same pivot. Afterwards only rows outside the list's largest component are
-   compared with the rest of it, block by block, so that no link is lost.
+   overlap. Two sets that are alike enough share at least ``least_shared`` of
+   the k smallest values of their union (all but 3 in 10^8 pairs; sets of at
+   most k shingles are whole in their sketch, so there it is certain). So a
+   row only needs the lists of its rarest values, all but that many less one:
+   values that no other sketch has come first and cost nothing, and very
+   common ones are left out.
+3. Lists are compared in blocks of bounded size. In a block the overlap of
+   sketches proposes pairs, the union sketch of a pair (the k smallest values
+   of both) estimates its likeness and filters, and whole shingle sets verify.
+   Pairs that are already in one component are skipped, so a block does one
+   row's worth of work per row of a group of copies, and returns the links of
+   a spanning forest, never all pairs.
+4. Lists longer than a block are compared in chunks that all hold the same
+   pivot. Rows of such lists that are still in several components afterwards
+   get a second, eight times wider sketch. Lists of its rarest values tell
+   apart rows that merely share a passage: only rows with two thirds of their
+   shingles in common still meet.
+5. What is open even then is compared exactly: rows outside a list's largest
+   component against all rows of like size, block by block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import materialize
+from .common import hot_keys, materialize, salted_join, text_hash, without_repeats
 from .components import connected_components
 from .wordhash import run_hashes, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = (80, 100)  # intersection : union
-SKETCH = 32
-OVERLAP = 12
+SKETCH, WIDE_SKETCH = 32, 256
+#: Share of linked pairs whose union sketch may show less than ``least_shared`` common values.
+MISSED = 3e-8
 BLOCK = 256
-#: Rows that are in some list, up to this many (8 bytes each), are picked by a broadcast of their ids; beyond it by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to this many rows that are in some list (about 64 bytes each) are picked by a broadcast; beyond it by a shuffle.
+BROADCAST_ROWS = 300_000
 _COLUMNS = 4096
+_PAD = np.uint64(2**64 - 1)
 
 
 def shingle_set(text: str, shingle: int) -> np.ndarray:
@@ -50,8 +60,25 @@ def shingle_set(text: str, shingle: int) -> np.ndarray:
     return np.unique(run_hashes(word_hashes(words), min(shingle, len(words))))
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, k: int) -> DataFrame:
-    """id, n (set size), key (128-bit hash of the set), sketch (k smallest hashes) of each row."""
+def least_shared(k: int, similarity: tuple[int, int]) -> int:
+    """How many of the k smallest values of their union two sets of that likeness share, but for ``MISSED`` of all pairs.
+
+    Each of the k is shared with the likeness as its probability, and drawing
+    without repetition only narrows the spread, so the binomial tail bounds it.
+    """
+    p = similarity[0] / similarity[1]
+    if p >= 1:
+        return k
+    below = 0.0
+    for c in range(k + 1):
+        below += math.comb(k, c) * p**c * (1 - p) ** (k - c)
+        if below > MISSED:
+            return max(1, c)
+    return k
+
+
+def sketches(df: DataFrame, shingle: int, k: int) -> DataFrame:
+    """id, h, n (set size), key (128-bit hash of the set), sketch (k smallest hashes) of rows (id, h, body)."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,23 +89,25 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, k: int) ->
                 n.append(len(hashes))
                 keys.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
                 kept.append(hashes[:k].astype(np.int64))
-            yield pd.DataFrame({"id": batch["id"], "n": np.array(n, np.int64), "key": keys, "sketch": kept})
+            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "n": np.array(n, np.int64), "key": keys, "sketch": kept})
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return rows.mapInPandas(run, "id long, n long, key string, sketch array<long>")
+    return df.select("id", "h", "body").mapInPandas(run, "id long, h long, n long, key string, sketch array<long>")
 
 
-def _lists(rows: DataFrame, k: int, overlap: int) -> DataFrame:
-    """(list, id, size): inverted lists of retained values, each membership once."""
+def _lists(rows: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """(list, id, size): inverted lists of retained values of rows (id, n, sketch), each membership once."""
+    share, whole = similarity
+    total = rows.count() * k
     postings = rows.select("id", "n", F.explode("sketch").alias("value"))
-    common = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = postings.join(common, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    enough = F.least(F.lit(overlap), F.floor((F.col("n") * 4 + 4) / 5)).cast("int")
+    common = materialize(postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "near-common")
+    met = salted_join(postings, common, ["value"], hot_keys(common, ["value"], "df", total), "inner", ["id"])
+    shared = met.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    enough = F.least(F.lit(least_shared(k, similarity)), F.ceil(F.col("n") * share / whole)).cast("int")
     rarest = shared.withColumn("take", F.size("shared") - enough + 1).where("take > 0").select("id", F.explode(F.slice("shared", F.lit(1), F.col("take"))["value"]).alias("value"))
     rarest = materialize(rarest, "near-postings")
     by_value = rarest.groupBy("value").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", "id") % (1 << 40)).alias("y")).where("size > 1")
-    chosen = by_value.groupBy("size", "x", "y").agg(F.min("value").alias("value"))
-    return rarest.join(chosen.select("value", "size"), "value").select(F.col("value").alias("list"), "id", "size")
+    chosen = materialize(by_value.groupBy("size", "x", "y").agg(F.min("value").alias("value")).select("value", "size"), "near-chosen")
+    return salted_join(rarest, chosen, ["value"], hot_keys(chosen, ["value"], "size", total), "inner", ["id"]).select(F.col("value").alias("list"), "id", "size")
 
 
 def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -100,131 +129,224 @@ def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     return out.astype(np.int64)
 
 
-def block_links(ids: np.ndarray, texts: list[str], left: np.ndarray, right: np.ndarray, *, shingle: int, similarity: tuple[int, int], k: int, overlap: int) -> list[tuple[int, int]]:
-    """Links between rows of ``left`` and of ``right`` that join what isn't joined yet."""
-    sets = [shingle_set(t, shingle) for t in texts]
-    n = np.array([len(s) for s in sets])
-    enough = np.minimum(overlap, (4 * n + 4) // 5)
-    hopeful = _shared_counts([s[:k] for s in sets], left, right) >= np.minimum(enough[left][:, None], enough[right][None, :])
-    hopeful &= ids[left][:, None] != ids[right][None, :]
+def union_shares(one: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the k smallest values of the union of a sketch with each of others: how many, and how many are in both.
+
+    Sketches are sorted rows of width k, padded at the end.
+    """
+    merged = np.sort(np.concatenate([np.broadcast_to(one, others.shape), others], axis=1), axis=1)
+    real = merged != _PAD
+    twice = np.zeros(merged.shape, bool)
+    twice[:, 1:] = (merged[:, 1:] == merged[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~twice, axis=1)
+    return np.minimum(rank[:, -1], k), (twice & (rank <= k)).sum(axis=1)
+
+
+def block_links(
+    ids: np.ndarray, roots: np.ndarray, n: np.ndarray, kept: list[np.ndarray], texts: list[str], left: np.ndarray, right: np.ndarray, *, shingle: int, similarity: tuple[int, int], k: int
+) -> list[tuple[int, int]]:
+    """Links between rows of ``left`` and of ``right`` that join components (``roots``) not joined yet."""
     share, whole = similarity
+    least = least_shared(k, similarity)
+    kept = [np.asarray(s).astype(np.uint64) for s in kept]
+    enough = np.minimum(least, -(-n * share // whole))
     nl, nr = n[left][:, None], n[right][None, :]
+    hopeful = _shared_counts(kept, left, right) >= np.minimum(enough[left][:, None], enough[right][None, :])
     hopeful &= whole * np.minimum(nl, nr) >= share * np.maximum(nl, nr)
-    rows, columns = np.flatnonzero(hopeful.any(axis=1)), np.flatnonzero(hopeful.any(axis=0))
-    if not len(rows):
-        return []
-    involved = np.unique(np.concatenate([left[rows], right[columns]]))
-    place = np.zeros(len(sets), np.int64)
-    place[involved] = np.arange(len(involved))
-    both = _shared_counts([sets[i] for i in involved], place[left[rows]], place[right[columns]])
-    union = nl[rows] + nr[:, columns] - both
-    linked = hopeful[np.ix_(rows, columns)] & (whole * both >= share * union)
-    parent = {int(i): int(i) for i in ids}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    padded = np.full((len(kept), k), _PAD)
+    for row, s in zip(padded, kept):
+        row[: len(s)] = s
+    component = roots.copy()
+    sets: dict[int, np.ndarray] = {}
+
+    def whole_set(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(texts[i], shingle)
+        return sets[i]
 
     links = []
-    for i, j in zip(*np.nonzero(linked)):
-        a, b = int(ids[left[rows[i]]]), int(ids[right[columns[j]]])
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            links.append((a, b))
+    for row, i in enumerate(left):
+        to = right[hopeful[row] & (component[right] != component[i])]
+        if not len(to):
+            continue
+        size, both = union_shares(padded[i], padded[to], k)
+        to = to[both >= np.where(size < k, -(-size * share // whole), least)]
+        if not len(to):
+            continue
+        own, theirs = whole_set(i), [whole_set(j) for j in to]
+        joined = np.concatenate(theirs)
+        at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+        common = np.add.reduceat((own[at] == joined).astype(np.int64), np.concatenate([[0], np.cumsum([len(t) for t in theirs])[:-1]]))
+        for j, c in zip(to, common):
+            if whole * c >= share * (n[i] + n[j] - c) and component[i] != component[j]:
+                component[component == component[j]] = component[i]
+                links.append((int(ids[i]), int(ids[j])))
     return links
 
 
-def _compare(blocks: DataFrame, texts: DataFrame, **options) -> DataFrame:
-    """Links (a, b) within blocks: rows (list, part, id, role), role 1: left, 2: right, 3: both."""
+def _compare(blocks: DataFrame, rows: DataFrame, texts: DataFrame, **options) -> DataFrame:
+    """Links (a, b) within blocks: rows (list, part, id, root, role), role 1: left, 2: right, 3: both."""
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["id", "role", "body"])
+        group = group.drop_duplicates(["id", "role"])
         role = group["role"].to_numpy()
-        links = block_links(group["id"].to_numpy(), group["body"].tolist(), np.flatnonzero(role & 1), np.flatnonzero(role & 2), **options)
+        links = block_links(
+            group["id"].to_numpy(), group["root"].to_numpy(), group["n"].to_numpy(), group["sketch"].tolist(), group["body"].tolist(), np.flatnonzero(role & 1), np.flatnonzero(role & 2), **options
+        )
         return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
-    with_text = blocks.join(texts, "id").select("list", "part", "id", "role", "body")
-    return with_text.groupBy("list", "part").applyInPandas(run, "a long, b long")
+    # All three are dealt by id, and rows meet their sketch and text there; a row is in few lists, so no id is hot.
+    whole = blocks.join(rows.select("id", "n", "sketch"), "id").join(texts.select("id", "body"), "id")
+    return whole.groupBy("list", "part").applyInPandas(run, "a long, b long")
 
 
-def near_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, k: int = SKETCH, overlap: int = OVERLAP, block: int = BLOCK
-) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
-
-    Texts are linked when 100 * intersection >= 80 * union of their shingle
-    sets (``similarity``, no less than 0.8); a text with fewer words than a shingle has its whole
-    sequence as one, a text without words (or null) is linked with nothing.
-    component_id is the smallest id reachable through links; kept rows are
-    those with that id. Ids are integers; rows that share an id each go with
-    their own text. A row with a null id is its own component (null) and kept.
-    An empty table gives an empty result; other columns of ``df`` are not read.
-    """
-    if similarity[0] * SIMILARITY[1] < SIMILARITY[0] * similarity[1]:
-        raise ValueError("the candidate rules find every link only from a similarity of 0.8 on")
-    options = {"shingle": shingle, "similarity": similarity, "k": k, "overlap": overlap}
-    all_rows = materialize(sketches(df, id_col, text_col, shingle, k), "near-sketches")
-    with_words = all_rows.where("n > 0 AND id IS NOT NULL")
-    classes = with_words.groupBy("key").agg(F.min("id").alias("rep"))
-    standing = with_words.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["id", "key"])
-
-    lists = materialize(_lists(standing, k, overlap), "near-lists")
-    wanted = materialize(lists.select("id").distinct(), "near-wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    bodies = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    texts = materialize(bodies.join(wanted, "id", "left_semi"), "near-texts")
-
-    # First all lists, in chunks; each chunk of a long list also holds the list's smallest id.
+def _chunks(lists: DataFrame, block: int) -> DataFrame:
+    """(list, part, id, root, role) of lists (list, id, size, root); each chunk of a long list also holds the list's smallest id."""
     chunks = F.ceil(F.col("size") / F.lit(block)).cast("long")
-    members = lists.select("list", F.pmod(F.xxhash64("id"), chunks).alias("part"), "id", F.lit(3).alias("role"))
+    members = lists.select("list", F.pmod(F.xxhash64("id"), chunks).alias("part"), "id", "root", F.lit(3).alias("role"))
     pivots = (
         lists.where(F.col("size") > block)
         .groupBy("list", "size")
-        .agg(F.min("id").alias("id"))
-        .select("list", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("part"), "id", F.lit(3).alias("role"))
-    )
-    links = materialize(_compare(members.union(pivots).distinct(), texts, **options), "near-links")
-    components = connected_components(links)
-
-    # Then long lists that are still in several components: the largest against all others. Lists with the same
-    # largest component hold much the same rows, so they are taken together and each row is sent once.
-    long_lists = lists.where(F.col("size") > block).join(components.select(F.col("node").alias("id"), "root"), "id", "left").select("list", "id", F.coalesce("root", "id").alias("root"))
-    long_lists = materialize(long_lists, "near-long")
-    counted = long_lists.groupBy("list", "root").agg(F.count("*").alias("c"))
-    open_lists = counted.groupBy("list").agg(F.count("*").alias("n_roots"), F.max(F.struct("c", "root"))["root"].alias("main")).where("n_roots > 1").select("list", "main")
-    again = materialize(long_lists.join(open_lists, "list").select("main", "id", "root").distinct(), "near-again")
-    half = block // 2
-    chunked = lambda n: F.greatest(F.ceil(n / F.lit(half)), F.lit(1)).cast("long")
-    sizes = again.groupBy("main").agg(chunked(F.count_if(F.col("root") != F.col("main"))).alias("o"), chunked(F.count("*")).alias("m"))
-    again = again.join(sizes, "main")
-    zero = F.lit(0).cast("long")
-    others = again.where(F.col("root") != F.col("main")).select(
-        F.col("main").alias("list"), F.explode(F.transform(F.sequence(zero, F.col("m") - 1), lambda j: F.pmod(F.xxhash64("id"), F.col("o")) * F.col("m") + j)).alias("part"), "id", F.lit(1).alias("role")
-    )
-    rest = again.select(
-        F.col("main").alias("list"), F.explode(F.transform(F.sequence(zero, F.col("o") - 1), lambda i: i * F.col("m") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("m")))).alias("part"), "id", F.lit(2).alias("role")
-    )
-    more = materialize(_compare(others.union(rest), texts, **options), "near-more")
-    if more.isEmpty():
-        final = components
-    else:
-        final = connected_components(links.union(more))
-
-    member = all_rows.select("id", "n", "key").join(classes, "key", "left").withColumn("node", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")))
-    found = member.join(final, "node", "left").select("id", "n", F.coalesce("root", "node").alias("component"))
-    return found.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNull(), None).otherwise(F.col("component")).alias("component_id"),
-        F.when(F.col("id").isNull(), True).otherwise(F.col("id") == F.col("component")).alias("kept"),
+        .agg(F.min(F.struct("id", "root")).alias("p"))
+        .select("list", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("part"), "p.id", "p.root", F.lit(3).alias("role"))
     )
+    return members.union(pivots).distinct()
+
+
+def _open(lists: DataFrame, components: DataFrame, rows: int) -> DataFrame:
+    """(list, id, size, root, main) of the lists that are in several components; main is the largest one's root."""
+    rooted = materialize(lists.select("list", "id", "size").join(components.select(F.col("node").alias("id"), "root"), "id", "left").select("list", "id", "size", F.coalesce("root", "id").alias("root")), "near-rooted")
+    counted = rooted.groupBy("list", "size", "root").agg(F.count("*").alias("c"))
+    open_lists = materialize(counted.groupBy("list", "size").agg(F.count("*").alias("roots"), F.max(F.struct("c", "root"))["root"].alias("main")).where("roots > 1"), "near-open")
+    return salted_join(rooted, open_lists.select("list", "main"), ["list"], hot_keys(open_lists, ["list"], "size", rows), "inner", ["id"])
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns: one of each component."""
-    dropped = near_groups(df, id_col, text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("__dropped")).distinct()
-    return df.join(dropped, df[id_col] == dropped["__dropped"], "left_anti")
+def _pools(open_rows: DataFrame, block: int, similarity: tuple[int, int], rows: int) -> DataFrame:
+    """Blocks that compare rows outside a largest component with all rows of like size.
+
+    Lists with the same largest component hold much the same rows, so they
+    are taken together and each row is sent once. Sizes of linked sets are at
+    most 1 / similarity apart, so rows meet in their own band of sizes and the
+    two next to it.
+    """
+    share, whole = similarity
+    band = F.col("n") if share == whole else F.floor(F.log("n") / F.lit(math.log(whole / share) * 1.0001))
+    half, zero = block // 2, F.lit(0).cast("long")
+    pooled = materialize(open_rows.select("main", "id", "root", band.cast("long").alias("band")).distinct(), "near-pools")
+    own = pooled.where(F.col("root") != F.col("main"))
+    others = own.select("main", "id", "root", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.lit(1).alias("role"))
+    sides = others.unionByName(pooled.withColumn("role", F.lit(2)))
+    chunked = lambda role: F.greatest(F.ceil(F.count_if(F.col("role") == role) / F.lit(half)), F.lit(1)).cast("long")
+    sizes = sides.groupBy("main", "band").agg(chunked(1).alias("o"), chunked(2).alias("m"), F.count("*").alias("size"), F.countDistinct("role").alias("roles"))
+    sizes = materialize(sizes.where("roles = 2").drop("roles"), "near-bands")
+    sides = salted_join(sides, sizes.drop("size"), ["main", "band"], hot_keys(sizes, ["main", "band"], "size", rows), "inner", ["id", "role"])
+    across = F.transform(F.sequence(zero, F.col("m") - 1), lambda j: F.pmod(F.xxhash64("id"), F.col("o")) * F.col("m") + j)
+    down = F.transform(F.sequence(zero, F.col("o") - 1), lambda i: i * F.col("m") + F.pmod(F.xxhash64("id", F.lit(7)), F.col("m")))
+    return sides.select(F.xxhash64("main", "band").alias("list"), F.explode(F.when(F.col("role") == 1, across).otherwise(down)).alias("part"), "id", "root", "role")
+
+
+def _links(classes: DataFrame, texts_of, shingle: int, similarity: tuple[int, int], k: int, wide: int, block: int) -> DataFrame:
+    """(node, root) of the linked classes (id, n, sketch). ``texts_of(ids)`` gives (id, body)."""
+    options = {"shingle": shingle, "similarity": similarity}
+    lists = materialize(_lists(classes, k, similarity), "near-lists")
+    texts = texts_of(lists.select("id").distinct())
+    rows = lists.count()
+    first = _compare(_chunks(lists.withColumn("root", F.col("id")), block), classes, texts, k=k, **options)
+    components = connected_components(materialize(first, "near-links"))
+
+    pending = materialize(_open(lists.where(F.col("size") > block), components, rows).select("id").distinct(), "near-pending")
+    if pending.isEmpty():
+        return components
+    again = sketches(texts.join(pending, "id", "left_semi").withColumn("h", F.lit(0).cast("long")), shingle, wide)
+    again = materialize(again.select("id", "n", "sketch"), "near-wide")
+    lists = materialize(_lists(again, wide, similarity), "near-wide-lists")
+    rows = lists.count()
+    still = materialize(_open(lists, components, rows), "near-still")
+    stars = lambda done: done.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    second = materialize(_compare(_chunks(still, block), again, texts, k=wide, **options), "near-links")
+    components = connected_components(stars(components).union(second))
+
+    left = materialize(_open(still.where(F.col("size") > block).drop("root", "main"), components, rows).join(again.select("id", "n"), "id"), "near-left")
+    if left.isEmpty():
+        return components
+    third = materialize(_compare(_pools(left, block, similarity, rows), again, texts, k=wide, **options), "near-links")
+    return connected_components(stars(components).union(third))
+
+
+def _decide(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int], k: int, wide: int, block: int) -> DataFrame:
+    """id, h, n, component of every row; the component of a null id is null."""
+    body: Column = F.coalesce(F.col(text_col), F.lit(""))
+    bodies = df.select(F.col(id_col).cast("long").alias("id"), text_hash(body).alias("h"), body.alias("body"))
+    all_rows = materialize(sketches(bodies, shingle, k), "near-sketches")
+    counted = F.col("id").isNotNull() & (F.col("n") > 0)
+
+    # A class is a distinct set; its first row's text stands for it, and that row's id names it.
+    same_set = all_rows.where(counted).groupBy("key").agg(F.min(F.struct("id", "h")).alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(same_set.select("key", F.col("f.id").alias("rep"), F.col("f.h").alias("h"), "copies", "n", "sketch"), "near-classes")
+    clashes = materialize(classes.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep"), "near-clashes")
+    named = clashes.isEmpty()
+    if named:
+        classes = classes.withColumn("id", F.col("rep"))
+    else:  # sets whose first rows share an id get numbers of their own, so that none is taken for the other
+        clash = classes.join(clashes.withColumn("clash", F.lit(True)), "rep", "left")
+        classes = materialize(clash.withColumn("id", F.when(F.col("clash"), F.xxhash64("key")).otherwise(F.col("rep"))).drop("clash"), "near-classes")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = materialize(classes.select("id", F.col("rep").alias("w_id"), F.col("h").alias("w_h")).join(ids, "id", "left_semi"), "near-wanted")
+        n = wanted.count()
+        if n <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        source = bodies.select(F.col("id").alias("b_id"), F.col("h").alias("b_h"), "body")
+        texts = materialize(source.join(wanted, (F.col("b_id") == F.col("w_id")) & (F.col("b_h") == F.col("w_h"))).select("id", "body"), "near-texts")
+        # Only where rows repeat both id and text are there more.
+        return texts if texts.count() == n else materialize(texts.dropDuplicates(["id"]), "near-texts")
+
+    components = _links(classes.select("id", "n", "sketch"), texts_of, shingle, similarity, k, wide, block)
+    rooted = classes.select("key", "id", "rep", "copies").join(components, F.col("id") == F.col("node"), "left").select("key", "rep", "copies", F.coalesce("root", "id").alias("component"))
+    if not named:
+        rooted = materialize(rooted, "near-rooted")
+        names = materialize(rooted.groupBy("component").agg(F.min("rep").alias("name"), F.count("*").alias("c")), "near-names")
+        rooted = salted_join(rooted, names.drop("c"), ["component"], hot_keys(names, ["component"], "c", rooted.count()), "inner", ["key"]).withColumn("component", F.col("name"))
+    rooted = materialize(rooted.select("key", "copies", "component"), "near-classes")
+    hot = hot_keys(rooted, ["key"], "copies", all_rows.count())
+    found = salted_join(all_rows.where(counted).select("id", "h", "n", "key"), rooted.select("key", "component"), ["key"], hot, "inner", ["id", "h"]).drop("key")
+    alone = all_rows.where(~counted).select("id", "h", "n", F.col("id").alias("component"))
+    return found.unionByName(alone)
+
+
+def near_groups(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, k: int = SKETCH, wide: int = WIDE_SKETCH, block: int = BLOCK
+) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept.
+
+    Texts are linked when their shingle sets have a Jaccard likeness of at
+    least ``similarity`` (intersection : union); a text with fewer words than
+    a shingle has its whole sequence as one, a text without words (or null) is
+    linked with nothing. component_id is the smallest id reachable through
+    links; kept rows are those with that id. Ids are integers; rows that share
+    an id each go with their own text. A row with a null id is its own
+    component (null) and kept, and links nothing. An empty table gives an
+    empty result; other columns of ``df`` are not read.
+    """
+    if not 0 < similarity[0] <= similarity[1]:
+        raise ValueError("a similarity lies above 0 and is at most 1")
+    found = _decide(df, id_col, text_col, shingle, similarity, k, wide, block)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def near_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, k: int = SKETCH, wide: int = WIDE_SKETCH, block: int = BLOCK
+) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id (see ``near_groups``).
+
+    Rows without words stay, rows with a null id too. Rows with equal ids and
+    different texts don't share their fate: those whose own text is in a
+    component of a smaller id go. Rows that repeat both id and text are one
+    document, of which one row stays.
+    """
+    found = materialize(_decide(df, id_col, text_col, shingle, similarity, k, wide, block).where("id IS NOT NULL"), "near-found")
+    kept = F.col("id") == F.col("component")
+    repeats = found.where(kept).groupBy("id", "h").agg(F.count("*").alias("c")).where("c > 1").select("id", "h")
+    dropped = found.where(~kept).select(F.col("id").alias("__dropped"), F.col("h").alias("__h")).distinct()
+    rest = df.join(dropped, (df[id_col] == F.col("__dropped")) & (text_hash(df[text_col]) == F.col("__h")), "left_anti")
+    return without_repeats(rest, materialize(repeats, "near-repeats"), id_col, text_hash(F.col(text_col)))
