@@ -1,9 +1,11 @@
 """Token counts, fingerprints, WARC, the classifiers and the pipeline."""
 
+import gzip
 import hashlib
 import math
 import os
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -118,7 +120,7 @@ def test_warc(spark):
         revisit = len(body) >= 1000 and i < top
         want[i] = (len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", top if revisit else None)
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("body", F.lit(2))
-    got = warc.roundtrip(df).collect()
+    got = warc.roundtrip(df.repartition(5).orderBy(F.rand(3))).collect()
     assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got} == want and len(got) == len(rows)
 
 
@@ -134,6 +136,37 @@ def test_warc_odd_rows(spark, tmp_path):
     assert sorted(bytes(c["response"]["payload"]) for c in captures) == [b"", b"a", b"a", b"b" * 2000, b"b" * 2000]
 
 
+@pytest.mark.parametrize("file_bytes", [1, 4_000, 10**9])
+def test_warc_files(spark, tmp_path, file_bytes):
+    """Each record is a gzip member; files are rolled by bytes; a page longer than 16 MB comes back whole."""
+    rows = [*pages(), (80, "u", "long " * 4_000_000)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "a"), file_bytes=file_bytes)
+    sizes = []
+    for file in (tmp_path / "a").rglob("*.txt"):
+        data, members, raw = file.read_bytes(), 0, 0
+        while data:
+            one = zlib.decompressobj(31)
+            block = one.decompress(data)
+            found = list(warc.parse_records(block))
+            assert len(found) <= 1
+            members, raw, data = members + len(found), raw + len(block), one.unused_data
+        sizes.append((members, raw))
+    assert sum(m for m, _ in sizes) == 3 * len(rows) and all(m % 3 == 0 and (raw <= file_bytes or m == 3) for m, raw in sizes)
+    whole = {c["key"]: c["response"] for c in warc.assemble(warc.read_warc(spark, str(tmp_path / "a"))).collect()}
+    assert {i: bytes(c["payload"]).decode() for i, c in whole.items()} == {r[0]: r[2] or "" for r in rows} and all(c["digest_agrees"] for c in whole.values())
+
+
+def test_warc_reader(tmp_path):
+    """Members, one member for all, and plain bytes read alike; a wrong length is refused."""
+    records = [b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: %d\r\n\r\n" % len(b) + b + b"\r\n\r\n" for b in (b"", b"a\r\n\r\nWARC/1.1", b"x" * 3_000_000)]
+    want = [b"", b"a\r\n\r\nWARC/1.1", b"x" * 3_000_000]
+    for data in (b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records)), b"".join(records)):
+        assert [b for _, b in warc.parse_records(warc.unpacked(data))] == want
+    for bad in (records[1][:-3], b"nothing", records[0].replace(b": 0", b": 1")):
+        with pytest.raises(ValueError, match="byte"):
+            list(warc.parse_records(bad))
+
+
 def labelled(spark, seed=0):
     """Clean prose, shouted prose with symbols (label 0), and clean prose with a few words that mark it as toxic."""
     rng = random.Random(seed)
