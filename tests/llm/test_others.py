@@ -60,15 +60,24 @@ def brute_sketch(text, k=fingerprints.SHINGLE_WORDS, scale=fingerprints.SCALE):
 
     hashes = [chain([w.encode()]).to_bytes(8, "little", signed=True) for w in words(text)]
     if not hashes:
-        return set()
+        return set(), None
     rolled = [chain(hashes[i : i + k]) for i in range(max(1, len(hashes) - k + 1))]
-    return {h for h in rolled if h < -(2**63) + 2**64 // scale} | {min(rolled)}
+    return {h for h in rolled if h < -(2**63) + 2**64 // scale}, min(rolled)
 
 
-def test_fingerprints(spark):
+def sketch_likeness(a, b):
+    return len(a[0] & b[0]) / len(a[0] | b[0]) if a[0] | b[0] else float(a[1] == b[1])
+
+
+def shown(found):
+    return "" if found[1] is None else f"{found[1] % 2**64:016X}" + "".join(f"{h % 2**32:08X}" for h in sorted(found[0]))
+
+
+@pytest.mark.parametrize("range_bytes", [fingerprints.RANGE_BYTES, 3000])
+def test_fingerprints(spark, range_bytes):
     rows = documents()
     df = frame(spark, rows, clashing=True)
-    got = {r["doc_id"]: r for r in fingerprints.compare_with_edits(df).collect()}
+    got = {r["doc_id"]: r for r in fingerprints.compare_with_edits(df, range_bytes=range_bytes).collect()}
     order = sorted(rows, key=lambda r: -r[0])
     assert len(got) == len(rows)
     for r, nxt in zip(order, order[1:] + order[:1]):
@@ -76,11 +85,10 @@ def test_fingerprints(spark):
         half = len(text) // 2
         edited = text[: len(text) - half] + other[:half]
         a, b, c = (brute_sketch(t) for t in (text, edited, other))
-        like = lambda x, y: 1.0 if not x and not y else len(x & y) / len(x | y)
         g = got[r[0]]
         assert (g["n_chars"], g["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert g["near_edited"] == pytest.approx(like(a, b)) and g["near_next"] == pytest.approx(like(a, c))
-        assert g["fingerprint"] == "".join(f"{h % 2**64:016X}" for h in sorted(a)) and g["edited_fingerprint"] == "".join(f"{h % 2**64:016X}" for h in sorted(b))
+        assert g["near_edited"] == pytest.approx(sketch_likeness(a, b)) and g["near_next"] == pytest.approx(sketch_likeness(a, c))
+        assert (g["fingerprint"], g["edited_fingerprint"]) == (shown(a), shown(b))
 
 
 def test_fingerprint_odd_tables(spark):
@@ -89,17 +97,24 @@ def test_fingerprint_odd_tables(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     repeats = spark.createDataFrame([(None, "x", None, None, 0)] * 2 + [(3, "a b", None, None, 0)] * 3 + [(3, "c", None, None, 0)], COLUMNS)
     assert fingerprints.compare_with_edits(repeats).count() == 6
+    assert [r["least"] is None for r in fingerprints.fingerprint_documents(spark.createDataFrame([(1, None, None, None, 0), (2, " ", None, None, 0), (3, "a", None, None, 0)], COLUMNS)).orderBy("doc_id").collect()] == [True, True, False]
 
 
-def test_sketches_merge(spark):
+def test_fingerprints_merge(spark):
+    """The fingerprint of a union is the merged fingerprints, and a part of a long text is wholly contained in it."""
     rng = random.Random(1)
-    long, short = sentence(rng, 4000, 10**6), None
-    short = " ".join(long.split(" ")[500:900])
-    row = spark.createDataFrame([(long, short)], "l string, s string").select(
-        fingerprints.containment(fingerprints.sketch(F.col("s")), fingerprints.sketch(F.col("l"))), fingerprints.containment(fingerprints.sketch(F.col("l")), fingerprints.sketch(F.col("s")))
-    )
-    inside, covered = row.first()
-    assert inside == 1.0 and covered == pytest.approx(0.1, abs=0.03)
+    rows = []
+    for i in range(60):
+        whole = sentence(rng, rng.choice((3, 12, 400, 4000)), 10**6).split(" ")
+        first, n = rng.randrange(len(whole)), len(whole)
+        cut = rng.randrange(5, n) if n > 10 else n
+        rows.append((i, " ".join(whole), " ".join(whole[first : first + 300]), " ".join(whole[:cut]), " ".join(whole[max(0, cut - 4) :])))
+    df = spark.createDataFrame(rows, "i long, whole string, part string, head string, tail string")
+    of = {c: fingerprints.fingerprint(F.col(c)) for c in ("whole", "part", "head", "tail")}
+    whole_again = fingerprints.merge(of["head"], of["tail"])  # every shingle of five words lies in one of the two, or both
+    got = df.where("size(split(whole, ' ')) > 10").select((whole_again == of["whole"]).alias("same"), fingerprints.containment(of["part"], of["whole"]).alias("inside"), F.size(F.split("part", " ")).alias("n")).collect()
+    assert len(got) > 30 and all(r["same"] for r in got)
+    assert all(r["inside"] in (None, 1.0) for r in got if r["n"] >= 5)
 
 
 def pages():
