@@ -66,10 +66,12 @@ def edited(rng, base, most, tag="y"):
     return " ".join(copy)
 
 
-@pytest.mark.parametrize(("shingle", "block", "hot", "similarity"), [(4, 256, 256, (80, 100)), (5, 256, 256, (80, 100)), (4, 4, 2, (80, 100)), (4, 256, 256, (1, 2)), (4, 4, 2, (9, 10)), (5, 256, 256, (1, 1))])
-def test_near(spark, shingle, block, hot, similarity, monkeypatch):
-    """With a block of four rows, lists are compared in many chunks, again by wide sketches, and in pools."""
+@pytest.mark.parametrize(("shingle", "block", "hot", "few", "similarity"), [(4, 256, 256, 4, (80, 100)), (4, 4, 2, 0, (80, 100)), (5, 4, 2, 10, (80, 100)), (4, 256, 256, 4, (1, 2)), (4, 4, 2, 0, (9, 10)), (5, 256, 256, 4, (1, 1))])
+def test_near(spark, shingle, block, hot, few, similarity, monkeypatch):
+    """With a block of four rows, lists are compared in many chunks, in pools, and by wide sketches (always with ``few`` of 0)."""
     monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "BUNDLE", 4 * block)
     rng = random.Random(5)
     rows = documents()
     base = sentence(rng, 90, 5000).split(" ")
@@ -165,14 +167,41 @@ def brute_passages(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "anchor"), [(50, 10), (12, 4), (6, 6)])
-def test_passages(spark, window, anchor, monkeypatch):
+def brute_factors(rows, window):
+    """Greedy parse of every document against the reference: all windows where they occur first."""
+    split, first, out = {r[0]: words(r[1]) for r in rows}, {}, {}
+    for i, w in sorted(split.items()):
+        for at in range(len(w) - window + 1):
+            first.setdefault(tuple(w[at : at + window]), (i, at))
+    for i, w in split.items():
+        out[i], at = [], 0
+        while at + window <= len(w):
+            source, place = first[tuple(w[at : at + window])]
+            length = 0
+            while source < i and at + length + window <= len(w) and first[tuple(w[at + length : at + length + window])] == (source, place + length):
+                length += 1
+            if length:
+                out[i].append((at, at + length - 1 + window, source, place))
+            at += max(length, 1)
+    return out
+
+
+@pytest.mark.parametrize(("window", "anchor", "chunks"), [(50, 10, 1), (12, 4, 1), (6, 6, 4)])
+def test_passages(spark, window, anchor, chunks, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     rows = documents(3)
-    got = substring_dedup.repeated_passages(frame(spark, rows, clashing=True), window=window, anchor=anchor, keep_text=True).collect()
+    table = frame(spark, rows, clashing=True).repartition(chunks)
+    got = substring_dedup.repeated_passages(table, window=window, anchor=anchor, keep_text=True).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_passages(rows, window) and len(got) == len(rows)
+    split, want = {r[0]: words(r[1]) for r in rows}, brute_factors(rows, window)
     for r in got:
         assert sha(" ".join(words(r["kept_text"]))) == r["kept_sha256"]
         assert sum(r["spans"][1::2]) - sum(r["spans"][::2]) == r["n_removed"]
+        found = [tuple(r["factors"][at : at + 4]) for at in range(0, len(r["factors"]), 4)]
+        for first, end, source, place in found:
+            assert source < r["doc_id"] and end - first >= window and split[r["doc_id"]][first:end] == split[source][place : place + end - first]
+        if chunks == 1 and r["kept_text"]:  # copies are one factor of their original
+            assert found == want[r["doc_id"]]
 
 
 def test_passages_odd_rows(spark):
@@ -181,6 +210,9 @@ def test_passages_odd_rows(spark):
     got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()), key=str)
     assert got == sorted([(None, 60, 0), (5, 60, 0), (5, 60, 0), (7, 61, 60), (8, 0, 0)], key=str)
     assert substring_dedup.repeated_passages(spark.createDataFrame([], COLUMNS)).count() == 0
+    twice = [(5, text, None, None, None), (5, "other", None, None, None), (None, "nobody's", None, None, None), (7, text + " end", None, None, None)]
+    got = sorted((str(r["doc_id"]), r["kept_text"]) for r in substring_dedup.repeated_passages(frame(spark, twice), keep_text=True).collect())
+    assert got == sorted([("5", text), ("5", "other"), ("None", "nobody's"), ("7", "end")])
 
 
 def test_sliding_argmin(monkeypatch):
@@ -193,7 +225,10 @@ def test_sliding_argmin(monkeypatch):
 
 
 def test_factors():
-    repeats = np.zeros(400, bool)
-    repeats[[0, 1, 5, 60, 300]] = True
-    assert substring_dedup.factors(repeats, 50) == [(0, 55), (60, 110), (300, 350)]
-    assert substring_dedup.factors(np.zeros(0, bool), 50) == []
+    source, place = np.zeros(400, np.int64), np.full(400, -1)
+    place[[0, 1, 2, 5, 60, 61, 300]] = [7, 8, 9, 10, 3, 5, 0]
+    source[[60, 61]] = 4
+    found = substring_dedup.factors(source, place, 50)
+    assert found == [(0, 52, 0, 7), (5, 55, 0, 10), (60, 110, 4, 3), (61, 111, 4, 5), (300, 350, 0, 0)]
+    assert substring_dedup.merged(found) == [(0, 55), (60, 111), (300, 350)]
+    assert substring_dedup.factors(source[:0], place[:0], 50) == [] and substring_dedup.merged([]) == []

@@ -25,11 +25,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     state, rows = None, edges.count()
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        stars = materialize(both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")), "stars")
+        stars = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
         least = stars.select("a", F.least("a", "low").alias("low"))
         large = salted_join(both, least, ["a"], hot_keys(stars, ["a"], "n", 2 * rows), "inner", ["b"]).where("b > a")
         # A row's b is a larger neighbour of a; it is linked with a's smallest neighbour (or a) instead.
-        large = materialize(large.select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "large")
+        large = large.select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         edges = materialize(small.union(least.select("a", F.col("low").alias("b"))).where("a > b").distinct(), "links")

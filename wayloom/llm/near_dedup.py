@@ -16,12 +16,13 @@
    row's worth of work per row of a group of copies, and returns the links of
    a spanning forest, never all pairs.
 4. Lists longer than a block are compared in chunks that all hold the same
-   pivot. Rows of such lists that are still in several components afterwards
-   get a second, eight times wider sketch. Lists of its rarest values tell
-   apart rows that merely share a passage: only rows with two thirds of their
-   shingles in common still meet.
-5. What is open even then is compared exactly: rows outside a list's largest
-   component against all rows of like size, block by block.
+   pivot. Where such a list is in several components afterwards, the rows
+   outside its largest one are compared with all its rows of like size, block
+   by block, as long as they are few.
+5. Many such rows mean a passage that texts share without being alike. They
+   get a second, eight times wider sketch, and lists of its rarest values:
+   only rows with two thirds of their shingles in common still meet. What is
+   open even then is compared as in 4, however much it is.
 """
 
 from __future__ import annotations
@@ -45,7 +46,9 @@ SIMILARITY = (80, 100)  # intersection : union
 SKETCH, WIDE_SKETCH = 32, 256
 #: Share of linked pairs whose union sketch may show less than ``least_shared`` common values.
 MISSED = 3e-8
-BLOCK = 256
+BLOCK, BUNDLE = 256, 1024
+#: Components of open lists whose other rows fill at most this many half blocks are compared with all of them at once.
+FEW = 4
 #: Up to this many rows that are in some list (about 64 bytes each) are picked by a broadcast; beyond it by a shuffle.
 BROADCAST_ROWS = 300_000
 _COLUMNS = 4096
@@ -77,8 +80,8 @@ def least_shared(k: int, similarity: tuple[int, int]) -> int:
     return k
 
 
-def sketches(df: DataFrame, shingle: int, k: int) -> DataFrame:
-    """id, h, n (set size), key (128-bit hash of the set), sketch (k smallest hashes) of rows (id, h, body)."""
+def sketches(df: DataFrame, shingle: int, k: int, carried: str = "h long") -> DataFrame:
+    """id, a carried column, n (set size), key (128-bit hash of the set), sketch (k smallest hashes) of rows with id and body."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,9 +92,10 @@ def sketches(df: DataFrame, shingle: int, k: int) -> DataFrame:
                 n.append(len(hashes))
                 keys.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
                 kept.append(hashes[:k].astype(np.int64))
-            yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "n": np.array(n, np.int64), "key": keys, "sketch": kept})
+            yield pd.DataFrame({"id": batch["id"], name: batch[name], "n": np.array(n, np.int64), "key": keys, "sketch": kept})
 
-    return df.select("id", "h", "body").mapInPandas(run, "id long, h long, n long, key string, sketch array<long>")
+    name = carried.split()[0]
+    return df.select("id", *dict.fromkeys((name, "body"))).mapInPandas(run, f"id long, {carried}, n long, key string, sketch array<long>")
 
 
 def _lists(rows: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
@@ -143,9 +147,9 @@ def union_shares(one: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 def block_links(
-    ids: np.ndarray, roots: np.ndarray, n: np.ndarray, kept: list[np.ndarray], texts: list[str], left: np.ndarray, right: np.ndarray, *, shingle: int, similarity: tuple[int, int], k: int
+    ids: np.ndarray, roots: np.ndarray, n: np.ndarray, kept: list[np.ndarray], texts: list[str], left: np.ndarray, right: np.ndarray, *, shingle: int, similarity: tuple[int, int], k: int, sets: dict[int, np.ndarray]
 ) -> list[tuple[int, int]]:
-    """Links between rows of ``left`` and of ``right`` that join components (``roots``) not joined yet."""
+    """Links between rows of ``left`` and of ``right`` that join components (``roots``) not joined yet. ``sets`` keeps shingle sets by id."""
     share, whole = similarity
     least = least_shared(k, similarity)
     kept = [np.asarray(s).astype(np.uint64) for s in kept]
@@ -153,16 +157,17 @@ def block_links(
     nl, nr = n[left][:, None], n[right][None, :]
     hopeful = _shared_counts(kept, left, right) >= np.minimum(enough[left][:, None], enough[right][None, :])
     hopeful &= whole * np.minimum(nl, nr) >= share * np.maximum(nl, nr)
+    if not hopeful.any():
+        return []
     padded = np.full((len(kept), k), _PAD)
     for row, s in zip(padded, kept):
         row[: len(s)] = s
     component = roots.copy()
-    sets: dict[int, np.ndarray] = {}
 
     def whole_set(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = shingle_set(texts[i], shingle)
-        return sets[i]
+        if ids[i] not in sets:
+            sets[ids[i]] = shingle_set(texts[i], shingle)
+        return sets[ids[i]]
 
     links = []
     for row, i in enumerate(left):
@@ -184,20 +189,30 @@ def block_links(
     return links
 
 
-def _compare(blocks: DataFrame, rows: DataFrame, texts: DataFrame, **options) -> DataFrame:
-    """Links (a, b) within blocks: rows (list, part, id, root, role), role 1: left, 2: right, 3: both."""
+def _compare(blocks: DataFrame, texts: DataFrame, **options) -> DataFrame:
+    """Links (a, b) within blocks: rows (list, part, id, root, role), role 1: left, 2: right, 3: both; texts (id, n, sketch, body).
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["id", "role"])
-        role = group["role"].to_numpy()
-        links = block_links(
-            group["id"].to_numpy(), group["root"].to_numpy(), group["n"].to_numpy(), group["sketch"].tolist(), group["body"].tolist(), np.flatnonzero(role & 1), np.flatnonzero(role & 2), **options
-        )
-        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+    Blocks are dealt into bundles of about ``BUNDLE`` rows, because most are far too small for a group of their own.
+    """
 
-    # All three are dealt by id, and rows meet their sketch and text there; a row is in few lists, so no id is hot.
-    whole = blocks.join(rows.select("id", "n", "sketch"), "id").join(texts.select("id", "body"), "id")
-    return whole.groupBy("list", "part").applyInPandas(run, "a long, b long")
+    def run(bundle: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((bundle["part"], bundle["list"]))
+        lists, parts = bundle["list"].to_numpy()[order], bundle["part"].to_numpy()[order]
+        ids, roots, n, role = (bundle[c].to_numpy()[order] for c in ("id", "root", "n", "role"))
+        kept, texts = bundle["sketch"].to_numpy()[order], bundle["body"].to_numpy()[order]
+        starts = np.flatnonzero(np.concatenate([[True], (lists[1:] != lists[:-1]) | (parts[1:] != parts[:-1]), [True]]))
+        links, sets = set(), {}
+        for first, end in zip(starts[:-1], starts[1:]):
+            of = slice(first, end)
+            links.update(block_links(ids[of], roots[of], n[of], kept[of], texts[of], np.flatnonzero(role[of] & 1), np.flatnonzero(role[of] & 2), sets=sets, **options))
+        return pd.DataFrame(sorted(links), columns=["a", "b"], dtype=np.int64)
+
+    blocks = materialize(blocks, "near-blocks")
+    bundles = max(1, math.ceil(blocks.count() / BUNDLE))
+    whole = blocks.join(texts.select("id", "n", "sketch", "body"), "id")  # a row is in few blocks, so no id is hot
+    bundle = F.pmod(F.xxhash64("list", "part"), F.lit(bundles))
+    whole = whole.withColumn("bundle", bundle).repartition(math.ceil(bundles / 4), "bundle")
+    return whole.groupBy("bundle").applyInPandas(run, "a long, b long")
 
 
 def _chunks(lists: DataFrame, block: int) -> DataFrame:
@@ -232,7 +247,7 @@ def _pools(open_rows: DataFrame, block: int, similarity: tuple[int, int], rows:
     share, whole = similarity
     band = F.col("n") if share == whole else F.floor(F.log("n") / F.lit(math.log(whole / share) * 1.0001))
     half, zero = block // 2, F.lit(0).cast("long")
-    pooled = materialize(open_rows.select("main", "id", "root", band.cast("long").alias("band")).distinct(), "near-pools")
+    pooled = materialize(open_rows.select("main", "id", "root", band.cast("long").alias("band")), "near-pools")
     own = pooled.where(F.col("root") != F.col("main"))
     others = own.select("main", "id", "root", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.lit(1).alias("role"))
     sides = others.unionByName(pooled.withColumn("role", F.lit(2)))
@@ -246,31 +261,42 @@ def _pools(open_rows: DataFrame, block: int, similarity: tuple[int, int], rows:
 
 
 def _links(classes: DataFrame, texts_of, shingle: int, similarity: tuple[int, int], k: int, wide: int, block: int) -> DataFrame:
-    """(node, root) of the linked classes (id, n, sketch). ``texts_of(ids)`` gives (id, body)."""
+    """(node, root) of the linked classes (id, n, sketch). ``texts_of(ids)`` gives (id, n, sketch, body)."""
     options = {"shingle": shingle, "similarity": similarity}
     lists = materialize(_lists(classes, k, similarity), "near-lists")
     texts = texts_of(lists.select("id").distinct())
     rows = lists.count()
-    first = _compare(_chunks(lists.withColumn("root", F.col("id")), block), classes, texts, k=k, **options)
-    components = connected_components(materialize(first, "near-links"))
-
-    pending = materialize(_open(lists.where(F.col("size") > block), components, rows).select("id").distinct(), "near-pending")
-    if pending.isEmpty():
-        return components
-    again = sketches(texts.join(pending, "id", "left_semi").withColumn("h", F.lit(0).cast("long")), shingle, wide)
-    again = materialize(again.select("id", "n", "sketch"), "near-wide")
-    lists = materialize(_lists(again, wide, similarity), "near-wide-lists")
-    rows = lists.count()
-    still = materialize(_open(lists, components, rows), "near-still")
-    stars = lambda done: done.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    second = materialize(_compare(_chunks(still, block), again, texts, k=wide, **options), "near-links")
-    components = connected_components(stars(components).union(second))
 
-    left = materialize(_open(still.where(F.col("size") > block).drop("root", "main"), components, rows).join(again.select("id", "n"), "id"), "near-left")
-    if left.isEmpty():
-        return components
-    third = materialize(_compare(_pools(left, block, similarity, rows), again, texts, k=wide, **options), "near-links")
-    return connected_components(stars(components).union(third))
+    def linked(components: DataFrame | None, blocks: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+        links = materialize(_compare(blocks, texts, k=k, **options), "near-links")
+        if components is None:
+            return connected_components(links)
+        return components if links.isEmpty() else connected_components(components.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+    def pooled(lists: DataFrame, texts: DataFrame) -> DataFrame:
+        """(main, id, root, n): rows of open long lists with the root of the list's largest component."""
+        found = _open(lists.where(F.col("size") > block), components, rows).select("main", "id", "root").distinct()
+        return materialize(found.join(texts.select("id", "n"), "id").select("main", "id", "root", "n"), "near-pooled")
+
+    components = linked(None, _chunks(lists.withColumn("root", F.col("id")), block), texts, k)
+    opened = pooled(lists, texts)
+    mains = opened.groupBy("main").agg(F.count_if(F.col("root") != F.col("main")).alias("others"), F.count("*").alias("size"))
+    mains = materialize(mains.withColumn("few", F.col("others") <= FEW * (block // 2)), "near-mains")
+    hot = hot_keys(mains, ["main"], "size", rows)
+    any_few, any_many = mains.agg(F.max(F.col("few")), F.max(~F.col("few"))).first()
+    if any_few:
+        few = salted_join(opened, mains.where("few").select("main"), ["main"], hot, "left_semi", ["id"])
+        components = linked(components, _pools(few, block, similarity, rows), texts, k)
+    if any_many:
+        many = salted_join(opened, mains.where("NOT few").select("main"), ["main"], hot, "left_semi", ["id"]).select("id").distinct()
+        texts = materialize(sketches(texts.join(many, "id", "left_semi"), shingle, wide, "body string"), "near-wide")
+        lists = materialize(_lists(texts, wide, similarity), "near-lists")
+        rows = lists.count()
+        components = linked(components, _chunks(_open(lists, components, rows), block), texts, wide)
+        opened = pooled(lists, texts)
+        if not opened.isEmpty():
+            components = linked(components, _pools(opened, block, similarity, rows), texts, wide)
+    return components
 
 
 def _decide(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int], k: int, wide: int, block: int) -> DataFrame:
@@ -297,7 +323,8 @@ def _decide(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
         if n <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         source = bodies.select(F.col("id").alias("b_id"), F.col("h").alias("b_h"), "body")
-        texts = materialize(source.join(wanted, (F.col("b_id") == F.col("w_id")) & (F.col("b_h") == F.col("w_h"))).select("id", "body"), "near-texts")
+        found = source.join(wanted, (F.col("b_id") == F.col("w_id")) & (F.col("b_h") == F.col("w_h"))).select("id", "body")
+        texts = materialize(found.join(classes.select("id", "n", "sketch"), "id"), "near-texts")
         # Only where rows repeat both id and text are there more.
         return texts if texts.count() == n else materialize(texts.dropDuplicates(["id"]), "near-texts")
 

@@ -7,7 +7,7 @@ import xxhash
 
 #: Word hashes that a Python worker keeps.
 CACHE_WORDS = 800_000
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.array([0x9E3779B97F4A7C15], np.uint64)  # arrays wrap around silently, scalars warn
 
 
 class WordHashes(dict):
