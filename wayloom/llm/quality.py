@@ -2,7 +2,8 @@
 
 Trusted positives and unlabelled web text fit a logistic model that minimises
 the non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled)
-- prior * R-(positives)). The class prior is estimated from the labels.
+- prior * R-(positives)). The class prior is estimated from the positives and
+the unlabelled texts alone; no negative label is read.
 """
 
 from __future__ import annotations
@@ -59,8 +60,20 @@ def features(text: str) -> list[float]:
     return [float(x) for x in out]
 
 
+def nnpu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Risk of the positives, estimated risk of the negatives, and the gradient of each, with logistic loss.
+
+    Rows of ``p`` and ``u`` end with a 1 for the bias.
+    """
+    zp, zu = np.clip(p @ w, -30, 30), np.clip(u @ w, -30, 30)
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return positive, negative, -prior * ((1 - sp) @ p) / len(p), (su @ u) / len(u) - prior * (sp @ p) / len(p)
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights (last: bias) that minimise the non-negative risk with logistic loss, by Adam on whole samples.
+    """Weights (last: bias) that minimise the non-negative risk, by Adam on whole samples.
 
     While the estimated negative risk is below nothing, the step goes against
     it instead, which is what keeps the estimate from being overfitted.
@@ -74,23 +87,43 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, step
     w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     for t in range(1, steps + 1):
-        zp, zu = np.clip(p @ w, -30, 30), np.clip(u @ w, -30, 30)
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        toward = -prior * ((1 - sp) @ p) / len(p)
-        away = (su @ u) / len(u) - prior * (sp @ p) / len(p)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        _, negative, toward, away = nnpu_risk(w, p, u, prior)
         g = (toward + away if negative >= 0 else -away) + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled rows, from both samples alone; one half if there are too few.
+
+    Half of each sample fits a classifier of positives against unlabelled
+    rows. On the other halves, the unlabelled rows that score above a
+    threshold, as a share, are at least the prior times the positives that do:
+    the quotient is smallest where hardly a negative scores so high. The
+    threshold is the one with the smallest upper confidence bound.
+    """
+    rng = np.random.default_rng(0)
+    p, u = (x[rng.permutation(len(x))] for x in (positive, unlabelled))
+    if min(len(p), len(u)) < 40:
+        return 0.5
+    fit_p, fit_u, p, u = p[: len(p) // 2], u[: len(u) // 2], p[len(p) // 2 :], u[len(u) // 2 :]
+    w = fit_nnpu(fit_p, fit_u, 0.5)
+    sp, su = np.sort(p @ w[:-1]), np.sort(u @ w[:-1])
+    cuts = np.quantile(sp, np.linspace(0, 0.99, 400))
+    above_p, above_u = 1 - np.searchsorted(sp, cuts) / len(sp), 1 - np.searchsorted(su, cuts) / len(su)
+    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
+    best = np.argmin((above_u + slack) / above_p)
+    return float(min(0.99, max(0.01, above_u[best] / above_p[best])))
+
+
 def _sampled_features(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     """Features of the sampled rows; the sample's bound is what bounds the broadcast and what is collected."""
     picked = sample.select(F.col(id_col).alias("__pick")).distinct()
     chosen = docs.join(F.broadcast(picked), docs[id_col] == picked["__pick"], "left_semi").select(_features(F.col(text_col)).alias("x"))
     rows = chosen.limit(POSITIVES + UNLABELLED).toPandas()["x"]
-    return np.array(rows.tolist(), dtype=float).reshape(len(rows), -1) if len(rows) else np.zeros((0, len(features(""))))
+    x = np.array(rows.tolist(), dtype=float).reshape(len(rows), -1) if len(rows) else np.zeros((0, len(features(""))))
+    return x[np.lexsort(x.T)]  # in whatever order rows arrive
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -99,16 +132,14 @@ def _features(text: pd.Series) -> pd.Series:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
-    """Model from labels outside fold 0 and unlabelled texts of ``docs``.
+    """Model from positive labels outside fold 0 and unlabelled texts of ``docs``.
 
-    Labels that are null, or of a null id, don't count. Without any label the
-    prior is one half.
+    Labels that are null, or of a null id, don't count. Without enough
+    positives the prior is one half.
     """
     ship(docs.sparkSession)
-    trusted = labels.where((fold(F.col(id_col)) != 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    n, ones = trusted.agg(F.count("*"), F.sum((F.col(label_col) == 1).cast("long"))).first()
-    prior = min(0.99, max(0.01, (ones or 0) / n)) if n else 0.5
-    positives = thin(trusted.where(F.col(label_col) == 1), id_col, POSITIVES, ones or 0, 1)
+    trusted = labels.where((fold(F.col(id_col)) != 0) & (F.col(label_col) == 1) & F.col(id_col).isNotNull())
+    positives = thin(trusted, id_col, POSITIVES, trusted.count(), 1)
     unlabelled = thin(docs.select(id_col).where(F.col(id_col).isNotNull()), id_col, UNLABELLED, docs.count(), 2)
     p = _sampled_features(docs, positives, id_col, text_col)
     u = _sampled_features(docs, unlabelled, id_col, text_col)
@@ -116,7 +147,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     mean = both.mean(axis=0) if len(both) else np.zeros(both.shape[1])
     spread = np.where((s := both.std(axis=0) if len(both) else np.ones(both.shape[1])) > 1e-9, s, 1.0)
     scale = lambda x: np.clip((x - mean) / spread, -6, 6)
-    return {"mean": mean, "spread": spread, "weights": fit_nnpu(scale(p), scale(u), prior), "prior": np.array([prior])}
+    p, u = scale(p), scale(u)
+    prior = class_prior(p, u)
+    return {"mean": mean, "spread": spread, "weights": fit_nnpu(p, u, prior), "prior": np.array([prior])}
 
 
 def quality_score(model: dict[str, np.ndarray], text: Column) -> Column:
