@@ -1,5 +1,8 @@
 """Spellings that reach the decoder of op10."""
 
+import itertools
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -34,3 +37,47 @@ def test_plain_neighbours_stay_whole(restore):
 def test_runs_are_decided_as_in_the_lattice(restore):
     for word in ("stuupid", "idiiot", "coool", "ffield", "messss", "aallooss", "classs", "goodd", "oo", "bookkeeper"):
         assert restore.unrepeated(word) == restore.word(word)
+
+
+def enumerated(restore, written, breaks):
+    """Cheapest way through the lattice, by trying every path."""
+    runs = [(c, len(list(g))) for c, g in itertools.groupby(written)]
+    cells = []
+    for c, n in runs:
+        options = [(c, 0.0)] if c.isalpha() else []
+        options += [(x, restore.SWAP) for x in toxicity.LOOKALIKES.get(c, "")]
+        if not options:
+            options = [("", restore.KEEP_SYMBOL if c.isalnum() else 0.5)]
+        paths = []
+        for letter, price in options:
+            for times in (1, 2) if n > 1 and letter else (1,):
+                for blank in ("", " ") if breaks else ("",):
+                    paths.append((letter * times, blank, price + (restore.REPEAT if times != n else 0.0)))
+        cells.append(paths)
+    best = (float("inf"), "")
+    for path in itertools.product(*cells):
+        text, total, ok = "", 0.0, True
+        context = (0, 0)
+        for letters, blank, price in path:
+            total += price
+            for c in letters:
+                total += restore.cost[*context, toxicity._class(c)]
+                context = (context[1], toxicity._class(c))
+            if blank:
+                ok &= context[1] != 0  # no blank after a blank
+                total += restore.cost[*context, 0]
+                context = (context[1], 0)
+            text += letters + blank
+        if context[1] or not breaks:
+            total += restore.cost[*context, 0]
+        if ok:
+            best = min(best, (total, text))
+    return best
+
+
+@pytest.mark.parametrize("breaks", [False, True])
+def test_decoding_is_the_best_path(restore, breaks):
+    rng, letters = random.Random(7), "aeloscd01$@!|(*x%9"
+    for _ in range(300):
+        written = "".join(rng.choice(letters) * rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randrange(1, 5)))
+        assert restore.word(written, breaks) == enumerated(restore, written, breaks)[1], written

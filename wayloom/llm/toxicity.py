@@ -21,10 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .common import materialize
 from .sampling import fold, thin
 
-#: Bounds of the labelled sample (toxic and clean rows) and of the lexicon that is kept from it.
-TOXIC_ROWS, CLEAN_ROWS, LEXICON = 8_000, 24_000, 20_000
+#: Bounds of the labelled sample (toxic and clean rows).
+TOXIC_ROWS, CLEAN_ROWS = 8_000, 24_000
+#: A lexicon entry occurs in at least so many toxic rows of the sample, and in this share of them; its weight is more than LEAST_WEIGHT.
+SUPPORT, SUPPORT_SHARE, LEAST_WEIGHT = 3, 0.001, 1.5
 THRESHOLD = 0.5
 #: Shortest and longest word starts that have weights.
 STARTS = (4, 5, 6)
@@ -292,15 +295,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         yield pd.DataFrame([("", rows[True], rows[False]), *((f, with_[f], without[f]) for f in with_.keys() | without.keys())], columns=["f", "t", "c"])
 
     counted = sample.where("half").select("body", "toxic").mapInPandas(count, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    kept = counted.where("f = '' OR t >= 3").orderBy((F.col("f") == "").desc(), F.desc(F.col("t") / (F.col("c") + 1)), F.desc("t"), "f").limit(LEXICON).toPandas()
-    if not len(kept) or kept["f"][0] != "":
+    counted = materialize(counted, "toxic-counts")
+    rows = counted.where("f = ''").first()
+    if rows is None:
         return model
-    toxic_rows, clean_rows = max(1, kept["t"][0]), max(1, kept["c"][0])
-    weights = {}
-    for f, t, c in kept.iloc[1:].itertuples(index=False):
-        odds = math.log((t + 0.1) / (toxic_rows + 1)) - math.log((c + 0.5) / (clean_rows + 1))
-        if odds > 1.5:
-            weights[f] = odds
+    toxic_rows, clean_rows = max(1, rows["t"]), max(1, rows["c"])
+    odds = F.log((F.col("t") + 0.1) / (toxic_rows + 1)) - F.log((F.col("c") + 0.5) / (clean_rows + 1))
+    supported = counted.where((F.col("f") != "") & (F.col("t") >= max(SUPPORT, SUPPORT_SHARE * toxic_rows)))
+    # Support bounds the lexicon: at most 1 / SUPPORT_SHARE times the distinct words of an average toxic row.
+    weights = {r["f"]: r["w"] for r in supported.select("f", odds.alias("w")).where(F.col("w") > LEAST_WEIGHT).toLocalIterator()}
     model["weights"] = weights
     lexicon = spark.sparkContext.broadcast(weights)
 
