@@ -239,6 +239,38 @@ def test_nnpu_separates():
     assert (score(positive) > 0.5).mean() > 0.95 and (score(negative) < 0.5).mean() > 0.95
 
 
+def plain_risks(w, positive, unlabelled, prior):
+    """The two parts of the risk, row by row."""
+    loss = lambda x, y: math.log1p(math.exp(-y * (sum(a * b for a, b in zip(x, w)) + w[-1])))
+    mean = lambda rows, y: sum(loss(r, y) for r in rows) / len(rows)
+    return prior * mean(positive, 1), mean(unlabelled, -1) - prior * mean(positive, -1)
+
+
+def test_nnpu_is_the_plain_risk():
+    rng = np.random.default_rng(4)
+    positive, unlabelled, w = rng.normal(0.5, 1, (20, 3)), rng.normal(0, 1, (30, 3)), rng.normal(0, 1, 4)
+    p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (positive, unlabelled))
+    part, negative, toward, away = quality.nnpu_risk(w, p, u, 0.4)
+    assert (part, negative) == pytest.approx(plain_risks(w, positive, unlabelled, 0.4))
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-5
+        more, less = plain_risks(w + step, positive, unlabelled, 0.4), plain_risks(w - step, positive, unlabelled, 0.4)
+        assert (toward[k], away[k]) == pytest.approx(((more[0] - less[0]) / 2e-5, (more[1] - less[1]) / 2e-5), abs=1e-6)
+    fitted = quality.fit_nnpu(positive, unlabelled, 0.4, decay=0.0)
+    risk = lambda w: (lambda a, b: a + max(0.0, b))(*plain_risks(w, positive, unlabelled, 0.4))
+    assert all(risk(fitted) <= risk(fitted + 0.05 * rng.normal(0, 1, 4)) + 1e-3 for _ in range(50))
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_class_prior(prior):
+    rng = np.random.default_rng(0)
+    one = lambda n: rng.normal(1.5, 1, (n, 3))
+    n = round(6000 * prior)
+    unlabelled = np.vstack([one(n), rng.normal(-1.5, 1, (6000 - n, 3))])
+    assert quality.class_prior(one(4000), unlabelled) == pytest.approx(prior, abs=0.04)
+    assert quality.class_prior(one(10), unlabelled) == 0.5
+
+
 def test_range_buckets(spark):
     df = spark.range(0, 5000).select((F.col("id") * 977 % 100003).alias("k"))
     got = df.withColumn("b", common.range_bucket(df, "k", 40)).groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n")).orderBy("b").collect()
