@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayloom.llm.common import materialize, table
+from wayloom.llm.common import materialize, table, working_tables
 from wayloom.llm.exact_dedup import exact_dedup
 from wayloom.llm.mixing import mix_documents
 from wayloom.llm.near_dedup import near_dedup
@@ -16,27 +16,30 @@ from wayloom.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text the classifier accepts."""
+    """Documents whose text the classifier accepts; a null text is judged as an empty one, a null or repeated id by its own text."""
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the largest doc_id) of each group of equal texts."""
+    """One document (the largest doc_id) of each group of equal texts; null texts equal empty ones, and a null id stays only among null ids."""
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group of near duplicates: five-word shingles, 0.8 or more."""
+    """One document (the smallest doc_id) of each group of near duplicates: five-word shingles, 0.8 or more.
+
+    Documents without words and those with a null id stay.
+    """
     return near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; those without words never. A null source is a source."""
     return mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences. A document that the mix repeats is packed as often."""
+    """Pieces of documents and their places in sequences. A document that the mix repeats is packed as often; a null text is one piece."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -53,8 +56,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
+    """All stages over ``documents``; each result is written as Parquet and read again, and what a stage wrote besides is deleted.
+
+    An empty table gives an empty result, and other columns go through all stages but the last.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with working_tables(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,14 +44,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (written := _written.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``materialize`` writes in its body, but for the last one, which is the body's result."""
+    token = _written.set([])
+    try:
+        yield
+        for path in _written.get()[:-1]:
+            _delete(spark, path)
+    finally:
+        _written.reset(token)
+
+
 def release(spark: SparkSession) -> None:
-    """Delete what ``materialize`` has written in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what ``materialize`` has written in this application; results that were not read yet are lost."""
+    _delete(spark, shared_dir(spark))
 
 
 #: A key is hot when it has more rows than this, or than this fraction of all rows.
