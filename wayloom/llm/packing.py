@@ -28,8 +28,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Distinct space-separated chunks whose ids a Python worker keeps.
 CACHE_CHUNKS = 400_000
-#: Pieces of one length that one task ranks, about.
-RANK_GROUP = 100_000
+#: Pieces of one length that one task ranks, about: this many, or this fraction of all pieces if that is more.
+RANK_GROUP, RANK_FRACTION = 512, 20_000
 
 _BEYOND_LATIN = re.compile("[İ-\U0010ffff]")
 _TAIL = ".,!?;:%*&$#|\"-()[]/"
@@ -209,7 +209,7 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     # Bounded by the capacity: a length takes from each run of bins once and splits at most one.
     plan = df.sparkSession.sparkContext.broadcast(moves)
 
-    groups = -(-max(histogram.values(), default=0) // RANK_GROUP)
+    groups = -(-max(histogram.values(), default=0) // max(RANK_GROUP, sum(histogram.values()) // RANK_FRACTION))
     ranked = pieces.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(max(1, groups))))
     sizes = ranked.groupBy("length", "part").count()
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
