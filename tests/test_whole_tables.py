@@ -24,19 +24,19 @@ def test_every_supplier_is_a_box(spark):
     for s in rows(spark, "supplier"):
         k, side = s["s_suppkey"], 1.0 + s["s_suppkey"] % 9
         low = (float(s["s_nationkey"]), float(k % 4), 0.0)
-        boxes.append((side**3, k, k % 2, k % 4, low, tuple(x + side for x in low)))
+        boxes.append((side**3, k, k % 10, k % 4, low, tuple(x + side for x in low)))
     want, floors = {}, {}
     for p in rows(spark, "part"):
         k, at = p["p_partkey"], (p["p_size"] / 2, float(p["p_size"] % 11), float(p["p_retailprice"]) - 900)
-        held = [b for b in boxes if b[2] == k % 2 and all(lo - m <= x <= hi + m for x, lo, hi, m in zip(at, b[4], b[5], (0.2, 0.5, 0.2)))]
+        held = [b for b in boxes if b[2] == k % 10 and all(lo - m <= x <= hi + m for x, lo, hi, m in zip(at, b[4], b[5], (0.2, 0.5, 0.2)))]
         if held:
             want[k] = min(held)[3], min(held)[1]
-        heights = {b[3] + 1: min(c[4][1] for c in boxes if c[2:4] == b[2:4]) * 3 for b in boxes if b[2] == k % 2}
+        heights = {b[3] + 1: min(c[4][1] for c in boxes if c[2:4] == b[2:4]) * 3 for b in boxes if b[2] == k % 10}
         floors[k] = min((abs(h - at[1]), floor) for floor, h in heights.items())[1]
-    got = {r["p_partkey"]: (r["level"], r["region"]) for r in plans.QUERIES["aabb_smallest_all"](spark, FOLDER).collect()}
+    got = {r["p_partkey"]: (r["level"], r["region"]) for r in plans.QUERIES["aabb_smallest"](spark, FOLDER).collect()}
     assert got == want and any(region % 5 for _, region in want.values())
-    assert {r["p_partkey"]: r["floor"] for r in plans.QUERIES["nearest_floor_all"](spark, FOLDER).collect()} == floors
-    fallback = {r["p_partkey"]: (r["level"], r["found"]) for r in plans.QUERIES["level_fallback_all"](spark, FOLDER).collect()}
+    assert {r["p_partkey"]: r["floor"] for r in plans.QUERIES["nearest_floor"](spark, FOLDER).collect()} == floors
+    fallback = {r["p_partkey"]: (r["level"], r["found"]) for r in plans.QUERIES["level_fallback"](spark, FOLDER).collect()}
     assert {k: level for k, (level, found) in fallback.items() if found == "box"} == {k: level for k, (level, _) in want.items()}
 
 
@@ -45,7 +45,7 @@ def test_every_line_is_parsed(spark):
     for r in rows(spark, "lineitem"):
         q, m = int(r["l_quantity"]), r["l_linenumber"] * 0.25
         want.append((r["l_orderkey"], r["l_partkey"], r["l_linenumber"], r["l_suppkey"] % 2 == 0 or q == 180, q + m + 180))
-    got = plans.QUERIES["number_multiset_all"](spark, FOLDER).collect()
+    got = plans.QUERIES["number_multiset"](spark, FOLDER).collect()
     assert sorted(map(tuple, got)) == sorted(want) and {r["ok"] for r in got} == {True, False}
 
 
@@ -61,9 +61,9 @@ def test_sources_are_merged_over_all_customers(spark):
         if sources:
             first[nation] = (",".join(said[nation, sources[0]]), sources[0])
             joined[nation] = (",".join(dict.fromkeys(x for s in sources for x in said[nation, s])), ",".join(sources))
-    got = plans.QUERIES["priority_merge_all"](spark, FOLDER).collect()
+    got = plans.QUERIES["priority_merge"](spark, FOLDER).collect()
     assert {r["c_nationkey"]: (r["said"], r["source"]) for r in got} == first and len({s for _, s in first.values()}) > 1
-    got = plans.QUERIES["priority_concat_all"](spark, FOLDER).collect()
+    got = plans.QUERIES["priority_concat"](spark, FOLDER).collect()
     assert {r["c_nationkey"]: (r["said"], r["sources"]) for r in got} == joined
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import written
+
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row of each key. Picked by a partial aggregate, so a hot key costs one row per task."""
@@ -125,10 +127,11 @@ def dense_ordinals(df: DataFrame, order: Sequence[str], column: str = "ordinal",
     """Consecutive numbers in a global order.
 
     Rows are range-sorted into partitions and numbered within; only a count per
-    partition reaches the driver, so no task sees all rows.
+    partition meets in one place, so no task sees all rows. The sorted rows are
+    written once, so their numbers don't depend on what runs again.
     """
     sorted_rows = df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    sorted_rows = sorted_rows.persist()
+    sorted_rows = written(sorted_rows, "ordinals")
     counts = sorted_rows.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = counts.select("__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + start).alias("__shift"))

@@ -17,9 +17,20 @@ def smallest_box(points: DataFrame, boxes: DataFrame, scene: str, point_id: str,
     """(point, level) of the smallest box that holds each point; of equal volumes the first region.
 
     Points have x, y, z; boxes have region, level, low, high. Points in no box are left out.
+
+    Boxes lie in cells of a grid as wide as they are (rounded up to a power of
+    two), at most two each way. Points look into their cell of each grid in
+    use, so a point meets the boxes around it, not all of its scene.
     """
     b = boxes.select(scene, "region", "level", "low", "high", geometry.box_volume(F.col("low"), F.col("high")).alias("volume"))
-    inside = points.join(b, scene).where(geometry.in_box(F.col("x"), F.col("y"), F.col("z"), F.col("low"), F.col("high"), across, upright))
+    low, high = (lambda i: F.get("low", F.lit(i)) - across), (lambda i: F.get("high", F.lit(i)) + across)
+    b = b.withColumn("__grid", F.ceil(F.log2(F.greatest(high(0) - low(0), high(2) - low(2), F.lit(1e-9)))).cast("int"))
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("__grid"))).cast("long")
+    cells = lambda i: F.sequence(cell(low(i)), cell(high(i)))
+    b = b.select("*", F.explode(cells(0)).alias("__cx")).select("*", F.explode(cells(2)).alias("__cz"))
+    grids = boxes.sparkSession.createDataFrame([(g,) for g in b.agg(F.collect_set("__grid")).first()[0]], "__grid int")  # exponents: some dozens at most
+    p = points.join(F.broadcast(grids)).withColumn("__cx", cell(F.col("x"))).withColumn("__cz", cell(F.col("z")))
+    inside = p.join(b, [scene, "__grid", "__cx", "__cz"]).where(geometry.in_box(F.col("x"), F.col("y"), F.col("z"), F.col("low"), F.col("high"), across, upright))
     return inside.groupBy(point_id).agg(F.min_by("level", F.struct("volume", "region")).alias("level"), F.min_by("region", F.struct("volume", "region")).alias("region"))
 
 

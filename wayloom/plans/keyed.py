@@ -203,13 +203,15 @@ _PRIORITY = ["MACHINERY", "BUILDING", "HOUSEHOLD"]
 
 
 def _by_nation(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of all customers; a source is missing in a nation where its number of customers is a multiple of three."""
     values = F.array(F.min("c_name"), F.max("c_name"), F.first(F.lit("shared")))
-    return table(spark, sf, "customer").where("c_custkey % 17 < 3").groupBy("c_nationkey", F.col("c_mktsegment").alias("source")).agg(values.alias("said"))
+    parts = table(spark, sf, "customer").groupBy("c_nationkey", F.col("c_mktsegment").alias("source")).agg(values.alias("said"), F.count("*").alias("n"))
+    return parts.where("n % 3 > 0").drop("n")
 
 
 _NATION_SQL = """parts AS (SELECT c_nationkey, c_mktsegment AS source, [min(c_name), max(c_name), 'shared'] AS said,
     list_position(['MACHINERY', 'BUILDING', 'HOUSEHOLD'], c_mktsegment) AS rank
-    FROM customer WHERE c_custkey % 17 < 3 AND c_mktsegment IN ('MACHINERY', 'BUILDING', 'HOUSEHOLD') GROUP BY 1, 2)"""
+    FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING', 'HOUSEHOLD') GROUP BY 1, 2 HAVING count(*) % 3 > 0)"""
 
 
 @query(f"WITH {_NATION_SQL} SELECT c_nationkey, array_to_string(arg_min(said, rank), ',') AS said, arg_min(source, rank) AS source FROM parts GROUP BY 1")
@@ -228,29 +230,6 @@ def priority_concat(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("c_nationkey", F.array_join("said", ",").alias("said"), F.array_join("sources", ",").alias("sources"))
 
 
-def _by_nation_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All customers; a source is missing in a nation where its number of customers is a multiple of three."""
-    values = F.array(F.min("c_name"), F.max("c_name"), F.first(F.lit("shared")))
-    parts = table(spark, sf, "customer").groupBy("c_nationkey", F.col("c_mktsegment").alias("source")).agg(values.alias("said"), F.count("*").alias("n"))
-    return parts.where("n % 3 > 0").drop("n")
-
-
-def _whole_sql(name: str) -> str:
-    """The SQL of a merge, over the rows of ``_by_nation_all``."""
-    return SQL[name].replace("c_custkey % 17 < 3 AND ", "").replace("GROUP BY 1, 2)", "GROUP BY 1, 2 HAVING count(*) % 3 > 0)", 1)
-
-
-@query(_whole_sql("priority_merge"))
-def priority_merge_all(spark: SparkSession, sf: str) -> DataFrame:
-    return keys.priority_merge(_by_nation_all(spark, sf), "c_nationkey", "source", "said", _PRIORITY).withColumn("said", F.array_join("said", ","))
-
-
-@query(_whole_sql("priority_concat"))
-def priority_concat_all(spark: SparkSession, sf: str) -> DataFrame:
-    out = keys.priority_concat(_by_nation_all(spark, sf), "c_nationkey", "source", "said", _PRIORITY)
-    return out.select("c_nationkey", F.array_join("said", ",").alias("said"), F.array_join("sources", ",").alias("sources"))
-
-
 @query(
     """WITH tried AS (SELECT c_custkey, unnest([c_nationkey % 7 || '/' || c_custkey, c_mktsegment, 'default']) AS path, unnest([0, 1, 2]) AS rank FROM customer),
     listing AS (SELECT DISTINCT o_custkey % 7 || '/' || o_custkey AS path FROM orders UNION SELECT 'BUILDING' UNION SELECT 'default')

@@ -25,76 +25,54 @@ def query(sql: str | None = None):
     return register
 
 
-def _boxes(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Boxes from suppliers (a fifth of them, or all): a scene is a region of nations, a box's size follows the balance."""
+def _boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """A box for every supplier, in ten scenes."""
     s = table(spark, sf, "supplier")
-    if not whole:
-        s = s.where("s_suppkey % 5 = 0")
     d = lambda c: c.cast("double")
     low = F.array(d(F.col("s_nationkey")), d(F.col("s_suppkey") % 4), F.lit(0.0))
     side = d(1 + F.col("s_suppkey") % 9)
     high = F.transform(low, lambda x: x + side)
-    return s.select((F.col("s_suppkey") % 2).alias("scene"), F.col("s_suppkey").alias("region"), (F.col("s_suppkey") % 4).alias("level"), low.alias("low"), high.alias("high"))
+    return s.select((F.col("s_suppkey") % 10).alias("scene"), F.col("s_suppkey").alias("region"), (F.col("s_suppkey") % 4).alias("level"), low.alias("low"), high.alias("high"))
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     return p.select(
-        "p_partkey", (F.col("p_partkey") % 2).alias("scene"), (F.col("p_size") / 2).alias("x"), (F.col("p_size") % 11).cast("double").alias("y"), (F.col("p_retailprice") - 900).alias("z")
+        "p_partkey", (F.col("p_partkey") % 10).alias("scene"), (F.col("p_size") / 2).alias("x"), (F.col("p_size") % 11).cast("double").alias("y"), (F.col("p_retailprice") - 900).alias("z")
     )
 
 
-_PLACES_SQL = """boxes AS (SELECT s_suppkey % 2 AS scene, s_suppkey AS region, s_suppkey % 4 AS level, s_nationkey::DOUBLE AS lx, (s_suppkey % 4)::DOUBLE AS ly, 0.0::DOUBLE AS lz,
-        (1 + s_suppkey % 9)::DOUBLE AS side FROM supplier WHERE s_suppkey % 5 = 0),
-    points AS (SELECT p_partkey, p_partkey % 2 AS scene, p_size / 2.0::DOUBLE AS x, (p_size % 11)::DOUBLE AS y, p_retailprice - 900 AS z FROM part)"""
-
-
-def _whole_sql(name: str) -> str:
-    """The SQL of a query, with every supplier as a box."""
-    return SQL[name].replace(" FROM supplier WHERE s_suppkey % 5 = 0", " FROM supplier")
+_PLACES_SQL = """boxes AS (SELECT s_suppkey % 10 AS scene, s_suppkey AS region, s_suppkey % 4 AS level, s_nationkey::DOUBLE AS lx, (s_suppkey % 4)::DOUBLE AS ly, 0.0::DOUBLE AS lz,
+        (1 + s_suppkey % 9)::DOUBLE AS side FROM supplier),
+    points AS (SELECT p_partkey, p_partkey % 10 AS scene, p_size / 2.0::DOUBLE AS x, (p_size % 11)::DOUBLE AS y, p_retailprice - 900 AS z FROM part)"""
 
 
 @query(
     f"""WITH {_PLACES_SQL} SELECT p_partkey, arg_min(level, (side * side * side, region)) AS level, arg_min(region, (side * side * side, region)) AS region
     FROM points p JOIN boxes b ON p.scene = b.scene AND x BETWEEN lx - 0.2::DOUBLE AND lx + side + 0.2::DOUBLE AND y BETWEEN ly - 0.5::DOUBLE AND ly + side + 0.5::DOUBLE AND z BETWEEN lz - 0.2::DOUBLE AND lz + side + 0.2::DOUBLE GROUP BY 1"""
 )
-def aabb_smallest(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    return levels.smallest_box(_points(spark, sf), _boxes(spark, sf, whole), "scene", "p_partkey")
-
-
-@query(_whole_sql("aabb_smallest"))
-def aabb_smallest_all(spark: SparkSession, sf: str) -> DataFrame:
-    return aabb_smallest(spark, sf, True)
+def aabb_smallest(spark: SparkSession, sf: str) -> DataFrame:
+    return levels.smallest_box(_points(spark, sf), _boxes(spark, sf), "scene", "p_partkey")
 
 
 @query(
     f"""WITH {_PLACES_SQL}, floors AS (SELECT scene, level, min(ly) * 3 AS floor_y FROM boxes GROUP BY 1, 2)
     SELECT p_partkey, coalesce(arg_max(level, floor_y) FILTER (WHERE floor_y <= y + 0.5), arg_min(level, floor_y)) AS level FROM points p JOIN floors f ON p.scene = f.scene GROUP BY 1"""
 )
-def asof_level(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    floors = levels.level_floors(_boxes(spark, sf, whole), "scene").withColumn("floor_y", F.col("floor_y") * 3)
+def asof_level(spark: SparkSession, sf: str) -> DataFrame:
+    floors = levels.level_floors(_boxes(spark, sf), "scene").withColumn("floor_y", F.col("floor_y") * 3)
     return levels.asof_level(_points(spark, sf), floors, "scene", "p_partkey")
 
 
-@query(_whole_sql("asof_level"))
-def asof_level_all(spark: SparkSession, sf: str) -> DataFrame:
-    return asof_level(spark, sf, True)
-
-
 @query(
     f"""WITH {_PLACES_SQL}, floors AS (SELECT scene, level + 1 AS floor, min(ly) * 3 AS height FROM boxes GROUP BY 1, 2)
     SELECT p_partkey, arg_min(floor, (abs(height - y), floor)) AS floor FROM points p JOIN floors f ON p.scene = f.scene GROUP BY 1"""
 )
-def nearest_floor(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    floors = levels.level_floors(_boxes(spark, sf, whole), "scene").select("scene", (F.col("level") + 1).alias("floor"), (F.col("floor_y") * 3).alias("height"))
+def nearest_floor(spark: SparkSession, sf: str) -> DataFrame:
+    floors = levels.level_floors(_boxes(spark, sf), "scene").select("scene", (F.col("level") + 1).alias("floor"), (F.col("floor_y") * 3).alias("height"))
     return levels.nearest_floor(_points(spark, sf), floors, "scene", "p_partkey")
 
 
-@query(_whole_sql("nearest_floor"))
-def nearest_floor_all(spark: SparkSession, sf: str) -> DataFrame:
-    return nearest_floor(spark, sf, True)
-
-
 @query(
     f"""WITH {_PLACES_SQL}, boxed AS (SELECT p_partkey, arg_min(level, (side * side * side, region)) AS level
         FROM points p JOIN boxes b ON p.scene = b.scene AND x BETWEEN lx - 0.2::DOUBLE AND lx + side + 0.2::DOUBLE AND y BETWEEN ly - 0.5::DOUBLE AND ly + side + 0.5::DOUBLE AND z BETWEEN lz - 0.2::DOUBLE AND lz + side + 0.2::DOUBLE GROUP BY 1),
@@ -103,16 +81,11 @@ def nearest_floor_all(spark: SparkSession, sf: str) -> DataFrame:
     SELECT p.p_partkey, coalesce(b.level, t.level) AS level, CASE WHEN b.level IS NOT NULL THEN 'box' WHEN t.level IS NOT NULL THEN 'height' END AS found
     FROM points p LEFT JOIN boxed b ON p.p_partkey = b.p_partkey LEFT JOIN tall t ON p.p_partkey = t.p_partkey"""
 )
-def level_fallback(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    boxes = _boxes(spark, sf, whole)
+def level_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = _boxes(spark, sf)
     return levels.level_of_points(_points(spark, sf), boxes, levels.level_floors(boxes, "scene"), "scene", "p_partkey").select("p_partkey", "level", "found")
 
 
-@query(_whole_sql("level_fallback"))
-def level_fallback_all(spark: SparkSession, sf: str) -> DataFrame:
-    return level_fallback(spark, sf, True)
-
-
 @query(
     """WITH heights AS (SELECT DISTINCT s_nationkey % 5 AS scene, round(s_acctbal)::BIGINT AS h FROM supplier),
     marked AS (SELECT *, CASE WHEN h - lag(h) OVER (PARTITION BY scene ORDER BY h) > 150 THEN 1 ELSE 0 END AS new FROM heights),

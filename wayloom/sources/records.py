@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text
+from ..shipping import ship
 
 ENVELOPES = ("records", "episodes", "annotations")
 
@@ -25,8 +27,8 @@ def read_records(spark: SparkSession, path: str | Sequence[str], schema: str, en
     """Rows of JSON files (``.gz`` too) that hold a list, or a list under the first envelope key that has one.
 
     A corrupt file gives no rows; ``unreadable`` lists such files. Paths may be
-    globs with braces. Each file is read by one task: large ones should be
-    converted to lines or Parquet once.
+    globs with braces. Each file is one row of one task; ``read_array`` is for
+    files too large for that.
     """
     element = T.ArrayType(_type(schema))
     raw = spark.read.text(path, wholetext=True).select("value")
@@ -36,6 +38,80 @@ def read_records(spark: SparkSession, path: str | Sequence[str], schema: str, en
     return raw.select(F.inline(rows))
 
 
+class ArrayParser:
+    """Objects of the first list of a JSON text that comes in pieces: a list, or one under an envelope key.
+
+    Only the object that is being read is held.
+    """
+
+    _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|"|[{}\[\]]', re.DOTALL)
+
+    def __init__(self, envelopes: Sequence[str] = ENVELOPES):
+        self.envelopes = envelopes
+        self.text, self.at, self.depth = "", 0, 0
+        self.start: int | None = None  # of the object that is being read
+        self.list_depth: int | None = None
+        self.key, self.done = "", False
+
+    def feed(self, piece: str) -> list[str]:
+        """Objects that this piece completes."""
+        found: list[str] = []
+        self.text += piece
+        while not self.done and (m := self._TOKEN.search(self.text, self.at)):
+            token = m.group()
+            if token == '"':  # a string that goes on in the next piece
+                self.at = m.start()
+                break
+            self.at = m.end()
+            if token[0] == '"':
+                if self.list_depth is None and self.depth == 1:
+                    self.key = token[1:-1]
+            elif token in "[{":
+                if token == "[" and self.list_depth is None and (self.depth == 0 or self.depth == 1 and self.key in self.envelopes):
+                    self.list_depth = self.depth
+                elif token == "{" and self.list_depth is not None and self.depth == self.list_depth + 1:
+                    self.start = m.start()
+                self.depth += 1
+            else:
+                self.depth -= 1
+                if self.start is not None and token == "}" and self.depth == self.list_depth + 1:
+                    found.append(self.text[self.start : self.at])
+                    self.start = None
+                elif token == "]" and self.depth == self.list_depth:
+                    self.done = True
+        else:
+            self.at = max(self.at, len(self.text))
+        cut = self.at if self.start is None else self.start
+        self.text, self.at = "" if self.done else self.text[cut:], self.at - cut
+        self.start = None if self.start is None else 0
+        return found
+
+
+def read_array(spark: SparkSession, path: str | Sequence[str], schema: str, envelopes: Sequence[str] = ENVELOPES) -> DataFrame:
+    """Rows of JSON files like those of ``read_records``, however large: no task holds more than some objects at a time.
+
+    Files are split at closing braces, wherever those are, and read in
+    parallel; the pieces of a file then stream through one task in order. Of a
+    file that breaks off, the objects before the break are rows.
+    """
+    ship(spark)
+    pieces = spark.read.option("lineSep", "}").text(path)
+    pieces = pieces.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, parser = None, ArrayParser(envelopes)
+        for batch in batches:
+            found: list[str] = []
+            for name, piece in zip(batch["file"], batch["value"]):
+                if name != file:
+                    file, parser = name, ArrayParser(envelopes)
+                found += parser.feed(piece + "}")
+            yield pd.DataFrame({"element": pd.Series(found, dtype=object)})
+
+    elements = pieces.repartition("file").sortWithinPartitions("file", "block", "at").select("file", "value").mapInPandas(run, "element string")
+    return elements.select(F.from_json("element", _type(schema)).alias("e")).where("e IS NOT NULL").select("e.*")
+
+
 def unreadable(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Files whose content isn't JSON."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
@@ -66,8 +142,9 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines that ``read_lines`` skips."""
-    return spark.read.schema(schema + ", __bad string").option("columnNameOfCorruptRecord", "__bad").json(path).cache().where("__bad IS NOT NULL").select(F.col("__bad").alias("line"))
+    """Lines that ``read_lines`` skips. Empty ones are none of them."""
+    parsed = F.from_json("value", schema + ", __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    return spark.read.text(path).where(F.trim("value") != "").where(parsed["__bad"].isNotNull()).select(F.col("value").alias("line"))
 
 
 def checkpoint_ids(spark: SparkSession, path: str, key: str = "episode_id", kind: str = "string") -> DataFrame:
