@@ -194,7 +194,15 @@ def per_group_quota(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.group_quota(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", ["c_custkey"], 4, 50)
 
 
-@query()
+@query(
+    """WITH RECURSIVE dealt AS (SELECT doc_id, n_chars::BIGINT AS length, md5(doc_id || '|42') AS h FROM documents),
+    placed AS (SELECT *, (row_number() OVER (ORDER BY h, doc_id) - 1) // 8 AS megabatch FROM dealt),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY megabatch ORDER BY length DESC, h) - 1 AS r, count(*) OVER (PARTITION BY megabatch) AS size FROM placed),
+    walk AS (SELECT megabatch, size, -1::BIGINT AS r, 0::HUGEINT AS t0, 0::HUGEINT AS t1, 0 AS n0, 0 AS n1, -1 AS chunk FROM (SELECT DISTINCT megabatch, size FROM ranked)
+        UNION ALL SELECT megabatch, size, r, t0 + CASE WHEN c = 0 THEN length ELSE 0 END, t1 + CASE WHEN c = 1 THEN length ELSE 0 END, n0 + CASE WHEN c = 0 THEN 1 ELSE 0 END, n1 + CASE WHEN c = 1 THEN 1 ELSE 0 END, c
+        FROM (SELECT w.*EXCLUDE (r), d.r, d.length, CASE WHEN w.size % 2 = 1 THEN d.r % 2 WHEN w.n1 * 2 >= w.size THEN 0 WHEN w.n0 * 2 >= w.size THEN 1 WHEN w.t0 <= w.t1 THEN 0 ELSE 1 END::INT AS c FROM walk w JOIN ranked d ON d.megabatch = w.megabatch AND d.r = w.r + 1))
+    SELECT d.doc_id, '' AS modality, d.megabatch, d.length, w.chunk, CASE WHEN w.chunk = 0 THEN n0 ELSE n1 END - 1 AS place FROM walk w JOIN ranked d ON d.megabatch = w.megabatch AND d.r = w.r"""
+)
 def length_batches(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.length_batches(table(spark, sf, "documents"), "doc_id", "n_chars", 4, 2)
 

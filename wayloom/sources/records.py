@@ -92,7 +92,8 @@ def read_array(spark: SparkSession, path: str | Sequence[str], schema: str, enve
 
     Files are split at closing braces, wherever those are, and read in
     parallel; the pieces of a file then stream through one task in order. Of a
-    file that breaks off, the objects before the break are rows.
+    file that breaks off, the objects before the break are rows (but for one
+    that ends exactly there).
     """
     ship(spark)
     pieces = spark.read.option("lineSep", "}").text(path)
@@ -105,7 +106,9 @@ def read_array(spark: SparkSession, path: str | Sequence[str], schema: str, enve
             for name, piece in zip(batch["file"], batch["value"]):
                 if name != file:
                     file, parser = name, ArrayParser(envelopes)
-                found += parser.feed(piece + "}")
+                    found += parser.feed(piece)
+                else:  # the brace that parted this piece from the last one
+                    found += parser.feed("}" + piece)
             yield pd.DataFrame({"element": pd.Series(found, dtype=object)})
 
     elements = pieces.repartition("file").sortWithinPartitions("file", "block", "at").select("file", "value").mapInPandas(run, "element string")
