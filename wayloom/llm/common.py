@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -11,30 +10,12 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import fresh, shared_dir
+
 #: ASCII white space separates words; every other code point belongs to one.
 BLANKS = "\t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors share, below ``spark.checkpoint.dir``.
-
-    A session that names none but has a checkpoint folder (tests, notebooks)
-    uses that; without either there is no place that is known to be shared,
-    which is an error.
-    """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        given = sc._jsc.sc().getCheckpointDir()
-        configured = given.get() if given.isDefined() else None
-    if not configured and sc.master.startswith("local"):
-        # One process is all there is, so its warehouse folder is shared.
-        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    if not configured:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{configured.rstrip('/')}/wayloom-{sc.applicationId}"
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the reread table.
 
@@ -42,7 +23,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     run of what led here.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh(spark, label)
     df.write.parquet(path)
     if (written := _written.get()) is not None:
         written.append(path)

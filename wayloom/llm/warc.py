@@ -14,7 +14,6 @@ alone, never on what a payload contains, and holds one record at a time.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -22,8 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import fresh
 from ..shipping import ship
-from .common import hot_keys, materialize, salted_join, shared_dir
+from .common import hot_keys, materialize, salted_join
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -297,7 +297,7 @@ def roundtrip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     result.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = fresh(spark, "warc")
     write_warc(df, path, id_col, url_col, html_col, **options)
     records = materialize(read_warc(spark, path, payloads=False), "warc-records")
     found = assemble(records, dict(df.dtypes)[id_col]).select("key", "response.*")
