@@ -22,6 +22,7 @@ def sha(text):
 def test_exact(spark, hot, broadcast, monkeypatch):
     """Also with groups of three rows dealt over tasks, and without broadcasts by size."""
     monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10**6 if hot > 2 else 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     rows = documents()
     groups = defaultdict(list)
@@ -35,6 +36,17 @@ def test_exact(spark, hot, broadcast, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_exact_with_a_full_bit_set(spark, monkeypatch):
+    """A set of bits that is far too small only costs time."""
+    monkeypatch.setattr(exact_dedup, "LEAST_BITS", 4)
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 8)
+    rows = documents()
+    best = {}
+    for r in rows:
+        best[r[1] or ""] = max(best.get(r[1] or "", -1), r[0])
+    assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()) == sorted(best.values())
+
+
 def test_exact_odd_rows(spark):
     df = spark.createDataFrame([(None, "x"), (1, "x"), (2, "y"), (2, "y"), (None, "z")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df).collect()), key=str)
@@ -70,6 +82,7 @@ def edited(rng, base, most, tag="y"):
 def test_near(spark, shingle, block, hot, few, similarity, monkeypatch):
     """With a block of four rows, lists are compared in many chunks, in pools, and by wide sketches (always with ``few`` of 0)."""
     monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10**6 if hot > 2 else 0)
     monkeypatch.setattr(near_dedup, "FEW", few)
     monkeypatch.setattr(near_dedup, "BUNDLE", 4 * block)
     rng = random.Random(5)
@@ -189,6 +202,7 @@ def brute_factors(rows, window):
 @pytest.mark.parametrize(("window", "anchor", "chunks"), [(50, 10, 1), (12, 4, 1), (6, 6, 4)])
 def test_passages(spark, window, anchor, chunks, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rows = documents(3)
     table = frame(spark, rows, clashing=True).repartition(chunks)
     got = substring_dedup.repeated_passages(table, window=window, anchor=anchor, keep_text=True).collect()

@@ -70,14 +70,23 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], n: str, rows: int) -> DataF
     return counts.where(F.col(n) > most).select(*keys, F.ceil(F.col(n) / F.lit(most)).cast("int").alias("__parts"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, how: str = "inner", spread: Sequence[str] = ()) -> DataFrame:
+#: Up to this many rows of a few numbers or digests (some 30 MB as a hash table) are sent to the scan by a broadcast; beyond it rows are joined by a shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, how: str = "inner", spread: Sequence[str] = (), *, few: int | None = None) -> DataFrame:
     """``left.join(right, keys, how)`` with the rows of hot keys dealt over several tasks.
 
     ``hot`` comes from ``hot_keys`` over the left side. A hot key's left rows
     are dealt by the hash of ``spread`` (all columns if none are named), its
     right rows are repeated once per part. ``how``: inner, left, left_semi or
-    left_anti. Which side is broadcast, if any, is Spark's choice by size.
+    left_anti. A right side of at most ``few`` (``BROADCAST_ROWS``) rows, which
+    are counted, is broadcast instead; 0 is for sides that are wide or were not
+    written yet.
     """
+    few = BROADCAST_ROWS if few is None else few
+    if few and right.count() <= few:
+        return left.join(F.broadcast(right), list(keys), how)
     hot = F.broadcast(hot)
     part = F.pmod(F.xxhash64(*(spread or left.columns)), F.col("__parts"))
     dealt = left.join(hot, list(keys), "left").withColumn("__salt", F.coalesce(part, F.lit(0)).cast("int")).drop("__parts")
@@ -86,6 +95,14 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Dat
     return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
+def without_rows(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` but for the rows whose (id, text hash) is in ``dropped`` (id, h)."""
+    pairs = materialize(dropped.select(F.col("id").alias("__dropped"), F.col("h").alias("__h")).distinct(), "dropped")
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
+    return df.join(pairs, df[id_col].eqNullSafe(F.col("__dropped")) & (text_hash(df[text_col]) == F.col("__h")), "left_anti")
+
+
 def without_repeats(df: DataFrame, repeats: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
     """``df`` with one row of each (id, text) pair that ``repeats`` (id, h) lists.
 

@@ -27,7 +27,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         stars = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
         least = stars.select("a", F.least("a", "low").alias("low"))
-        large = salted_join(both, least, ["a"], hot_keys(stars, ["a"], "n", 2 * rows), "inner", ["b"]).where("b > a")
+        large = salted_join(both, least, ["a"], hot_keys(stars, ["a"], "n", 2 * rows), "inner", ["b"], few=0).where("b > a")
         # A row's b is a larger neighbour of a; it is linked with a's smallest neighbour (or a) instead.
         large = large.select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))

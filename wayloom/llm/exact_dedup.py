@@ -8,12 +8,39 @@ digest is asked for, and then in that same scan).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, materialize, salted_join, text_hash, without_repeats
+from .common import hot_keys, materialize, salted_join, text_hash, without_repeats, without_rows
 
 PREFIX_CHARS = 96
+#: Bounds of the bit set that tells the second scan which texts to hash.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+
+
+def _place(size: int) -> Column:
+    return F.pmod(F.xxhash64("len", "pre"), F.lit(size)) + 1
+
+
+def _bitmaps(keys: DataFrame) -> tuple[DataFrame, int]:
+    """The keys as a bit set of some 16 bits a key, in pieces of 4 KB, and its size in bits: 16 MB at most, whatever the table."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    places = keys.select(_place(size).alias("place")).select(F.bitmap_bucket_number("place").alias("piece"), F.bitmap_bit_position("place").alias("bit"))
+    return materialize(places.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")), "exact-bits"), size
+
+
+def _likely(rows: DataFrame, bitmaps: DataFrame, size: int) -> DataFrame:
+    """Rows (len, pre, ...) with ``likely``: true where the key is in the set, and for a few others.
+
+    Those others are only hashed in vain: groups are made of full hashes. So
+    a set that is too small for its keys costs time, never a result, and no
+    text is ever sent to another task.
+    """
+    found = rows.withColumn("place", _place(size)).withColumn("piece", F.bitmap_bucket_number("place")).join(F.broadcast(bitmaps), "piece", "left")
+    bit = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    likely = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1, F.lit(False))
+    return found.withColumn("likely", likely).drop("place", "piece", "bits")
 
 
 def _refine(df: DataFrame, id_col: str, text_col: str, prefix_chars: int, digests: bool) -> tuple[DataFrame, DataFrame]:
@@ -28,16 +55,15 @@ def _refine(df: DataFrame, id_col: str, text_col: str, prefix_chars: int, digest
     lengths = materialize(narrow.groupBy("len").agg(F.count("*").alias("n")).where("n > 1"), "exact-lengths")
     of_length = salted_join(narrow.select("len", "pre", "h"), lengths.select("len"), ["len"], hot_keys(lengths, ["len"], "n", total), "left_semi", ["pre", "h"])
     keys = materialize(of_length.groupBy("len", "pre").agg(F.count("*").alias("n")).where("n > 1"), "exact-keys")
-    hot = hot_keys(keys, ["len", "pre"], "n", total)
-    keys = keys.select("len", "pre")
-    alone = salted_join(narrow, keys, ["len", "pre"], hot, "left_anti", ["id", "h"])
+    filter_bits, size = _bitmaps(keys)
     if digests:
-        shared = salted_join(narrow, keys, ["len", "pre"], hot, "left_semi", ["id", "h"])
+        tested = _likely(narrow, filter_bits, size)
+        shared = tested.where("likely")
     else:
-        texts = rows.select("id", "body", *step)
-        shared = salted_join(texts, keys, ["len", "pre"], hot, "left_semi", ["id", "body"]).select("id", text_hash(F.col("body")).alias("h"), sha)
-        alone = alone.withColumn("sha", F.lit(None).cast("string"))
-    return materialize(shared.select("id", "h", "sha"), "exact-shared"), alone.select("id", "h", "sha")
+        tested = _likely(narrow.withColumn("sha", F.lit(None).cast("string")), filter_bits, size)
+        texts = _likely(rows.select("id", "body", *step), filter_bits, size).where("likely")
+        shared = texts.select("id", text_hash(F.col("body")).alias("h"), sha)
+    return materialize(shared.select("id", "h", "sha"), "exact-shared"), tested.where("NOT likely").select("id", "h", "sha")
 
 
 def _decide(df: DataFrame, id_col: str, text_col: str, prefix_chars: int, digests: bool) -> DataFrame:
@@ -76,6 +102,5 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     found = materialize(_decide(df, id_col, text_col, prefix_chars, False).where("group_size > 1").select("id", "h", "keep_id"), "exact-found")
     kept = F.col("keep_id").eqNullSafe(F.col("id"))
     repeats = found.where(kept).groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select("id", "h")
-    dropped = found.where(~kept).select(F.col("id").alias("__dropped"), F.col("h").alias("__h")).distinct()
-    rest = df.join(dropped, F.col(id_col).eqNullSafe(F.col("__dropped")) & (text_hash(df[text_col]) == F.col("__h")), "left_anti")
+    rest = without_rows(df, found.where(~kept), id_col, text_col)
     return without_repeats(rest, materialize(repeats, "exact-repeats"), id_col, text_hash(F.col(text_col)))

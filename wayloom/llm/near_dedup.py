@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import hot_keys, materialize, salted_join, text_hash, without_repeats
+from .common import BROADCAST_ROWS, hot_keys, materialize, salted_join, text_hash, without_repeats, without_rows
 from .components import connected_components
 from .wordhash import run_hashes, word_hashes
 
@@ -47,10 +47,10 @@ SKETCH, WIDE_SKETCH = 32, 256
 #: Share of linked pairs whose union sketch may show less than ``least_shared`` common values.
 MISSED = 3e-8
 BLOCK, BUNDLE = 256, 1024
+#: Bundles are dealt two to a task, or more if that made more tasks than this.
+MOST_TASKS = 20_000
 #: Components of open lists whose other rows fill at most this many half blocks are compared with all of them at once.
 FEW = 4
-#: Up to this many rows that are in some list (about 64 bytes each) are picked by a broadcast; beyond it by a shuffle.
-BROADCAST_ROWS = 300_000
 _COLUMNS = 4096
 _PAD = np.uint64(2**64 - 1)
 
@@ -211,7 +211,7 @@ def _compare(blocks: DataFrame, texts: DataFrame, **options) -> DataFrame:
     bundles = max(1, math.ceil(blocks.count() / BUNDLE))
     whole = blocks.join(texts.select("id", "n", "sketch", "body"), "id")  # a row is in few blocks, so no id is hot
     bundle = F.pmod(F.xxhash64("list", "part"), F.lit(bundles))
-    whole = whole.withColumn("bundle", bundle).repartition(math.ceil(bundles / 4), "bundle")
+    whole = whole.withColumn("bundle", bundle).repartition(min(math.ceil(bundles / 2), MOST_TASKS), "bundle")
     return whole.groupBy("bundle").applyInPandas(run, "a long, b long")
 
 
@@ -374,6 +374,5 @@ def near_dedup(
     found = materialize(_decide(df, id_col, text_col, shingle, similarity, k, wide, block).where("id IS NOT NULL"), "near-found")
     kept = F.col("id") == F.col("component")
     repeats = found.where(kept).groupBy("id", "h").agg(F.count("*").alias("c")).where("c > 1").select("id", "h")
-    dropped = found.where(~kept).select(F.col("id").alias("__dropped"), F.col("h").alias("__h")).distinct()
-    rest = df.join(dropped, (df[id_col] == F.col("__dropped")) & (text_hash(df[text_col]) == F.col("__h")), "left_anti")
+    rest = without_rows(df, found.where(~kept), id_col, text_col)
     return without_repeats(rest, materialize(repeats, "near-repeats"), id_col, text_hash(F.col(text_col)))

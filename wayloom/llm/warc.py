@@ -269,7 +269,7 @@ def assemble(records: DataFrame, key_type: str = "long") -> DataFrame:
     together = main.join(request, F.col("record_id") == F.col("q_to"), "left").join(metadata, F.col("record_id") == F.col("m_to"), "left")
     # Only revisits refer to anything; one response may have very many.
     hot = _referred(records.where(F.col("type") == "revisit"))
-    revisits = salted_join(together.where("type = 'revisit'"), full.withColumnRenamed("f_id", "refers_to"), ["refers_to"], hot, "left", ["record_id"])
+    revisits = salted_join(together.where("type = 'revisit'"), full.withColumnRenamed("f_id", "refers_to"), ["refers_to"], hot, "left", ["record_id"], few=0)
     joined = together.where("type = 'response'").unionByName(revisits, allowMissingColumns=True)
     is_revisit = F.col("type") == "revisit"
     stated = F.regexp_extract("payload_digest", "^sha1:(.*)$", 1)
