@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes that a Python worker keeps.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15], np.uint64)  # arrays wrap around silently, scalars warn
 
 
