@@ -96,9 +96,11 @@ def test_overrides_and_manifest(spark, tmp_path):
     indexed = records.with_dataset_index(spark, str(tmp_path / "e.json"))
     assert [r["word"] for r in records.vocabulary(indexed).collect()] == ["go", "los", "now"]
     assert [tuple(r) for r in listings.trajectory_manifest(indexed, ["en"]).collect()] == [(0, "traj_0_i-1", "en-US")]
-    raw = spark.createDataFrame([('"text"',), ('{"instruction_text": "inner"}',), ('["a", "b"]',)], "raw string")
-    got = raw.select(records.union_instruction(F.col("raw")), records.union_list(F.col("raw"))).collect()
+    raw = spark.createDataFrame([(i, r) for i, r in enumerate(('"text"', '{"instruction_text": "inner"}', '["a", "b"]', '"say \\"go\\" \\u00e9"', 'say "go"', '"a" or "b"', "[beep] go", None))], "i int, raw string")
+    got = raw.orderBy("i").select(records.union_instruction(F.col("raw")), records.union_list(F.col("raw"))).collect()
     assert got[0][0] == "text" and got[1][0] == "inner" and got[2][1] == ["a", "b"]
+    assert [r[0] for r in got[3:]] == ['say "go" é', 'say "go"', '"a" or "b"', "[beep] go", None]
+    assert [r[1] for r in got[3:]] == [['say "go" é'], ['say "go"'], ['"a" or "b"'], ["[beep] go"], None]
     assert records.read_tagged(spark, [str(tmp_path / "nowhere" / "x.json")], "id string").count() == 0
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, sequences, text
-from ..operators import filters, metrics
+from ..operators import filters, metrics, sampling
+from ..sources import records
 from ..streaming import sessions
 from .base import table
 
@@ -114,3 +115,21 @@ def result_lines(spark: SparkSession, sf: str) -> DataFrame:
     listed = F.to_json(F.create_map(name, F.array((k % 2).cast("double"), price, F.lit(1.0))))
     fields = F.struct((k % 2).alias("success"), price.alias("nav_error"), F.lit(1).alias("os"), price.alias("shortest_path_length"), F.lit(2).alias("actual_path_length"))
     return metrics.result_rows(table(spark, sf, "orders").select(F.when(F.col("o_custkey") % 2 == 0, listed).otherwise(F.to_json(F.create_map(name, fields))).alias("entry")))
+
+
+@query("SELECT conv_id, turn, text AS said, CASE WHEN turn % 2 = 0 THEN role || '|' || text ELSE text END AS listed FROM conversations")
+def union_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw JSON of all turns: instructions as objects, strings and plain text, lists of two and single strings."""
+    one = F.to_json(F.array("text"))
+    string = F.substring(one, F.lit(2), F.length(one) - 2)
+    said = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(F.col("role").alias("by"), F.col("text").alias("instruction_text")))).when(F.col("turn") % 3 == 1, string).otherwise(F.col("text"))
+    listed = F.when(F.col("turn") % 2 == 0, F.to_json(F.array("role", "text"))).otherwise(string)
+    return table(spark, sf, "conversations").select("conv_id", "turn", records.union_instruction(said).alias("said"), F.array_join(records.union_list(listed), "|").alias("listed"))
+
+
+@query("SELECT c_custkey, length(c_name) AS n, right(c_name, 3) AS tail FROM customer")
+def mapped_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All customers through a callable on batches."""
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name")
+    call = lambda b: b.assign(n=b["c_name"].str.len(), tail=b["c_name"].str[-3:])[["c_custkey", "n", "tail"]]
+    return sampling.map_rows(rows, call, f"c_custkey {dict(rows.dtypes)['c_custkey']}, n long, tail string")

@@ -186,14 +186,20 @@ def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
+def _string(raw: Column) -> Column:
+    """The string that raw JSON text of a string stands for; any other text as it is."""
+    quoted = F.startswith(raw, F.lit('"')) & F.endswith(raw, F.lit('"'))
+    return F.when(quoted, F.coalesce(F.get_json_object(F.concat(F.lit('{"s":'), raw, F.lit("}")), "$.s"), raw)).otherwise(raw)
+
+
 def union_instruction(raw: Column) -> Column:
-    """Instruction given as a string or as an object with instruction_text; raw JSON text of the field."""
-    return F.coalesce(F.get_json_object(raw, "$.instruction_text"), F.when(~F.startswith(F.ltrim(raw), F.lit("{")), F.regexp_replace(raw, '^"|"$', "")))
+    """Instruction given as a string or as an object with instruction_text; raw JSON text of the field, or a plain string."""
+    return F.coalesce(F.get_json_object(raw, "$.instruction_text"), F.when(~F.startswith(F.ltrim(raw), F.lit("{")), _string(raw)))
 
 
 def union_list(raw: Column) -> Column:
-    """List of strings given as a list or as one string."""
-    return F.when(F.startswith(F.ltrim(raw), F.lit("[")), F.from_json(raw, "array<string>")).when(raw.isNotNull(), F.array(raw))
+    """List of strings given as a list or as one string; raw JSON text of the field, or a plain string, which may start with a bracket."""
+    return F.when(F.startswith(F.ltrim(raw), F.lit("[")), F.coalesce(F.from_json(raw, "array<string>"), F.array(raw))).when(raw.isNotNull(), F.array(_string(raw)))
 
 
 def instruction_overrides(spark: SparkSession, path: str) -> DataFrame:
