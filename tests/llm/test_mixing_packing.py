@@ -47,11 +47,12 @@ def brute_mix(rows, weights=(1, 2, 3), passes=3):
     return {r[0]: (len(words(r[1])), sizes[r[3]], targets[r[3]], taken[r[0]]) for r in rows}
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_mix(spark, seed):
+@pytest.mark.parametrize(("seed", "cut_rows"), [(0, mixing.CUT_ROWS), (1, mixing.CUT_ROWS), (1, 2), (2, 0)])
+def test_mix(spark, seed, cut_rows):
+    """The same documents are taken however finely the range of the cut is ranged again."""
     rows = documents(seed)
     want = brute_mix(rows)
-    got = {r["doc_id"]: r for r in mixing.mix_counts(frame(spark, rows, clashing=True)).collect()}
+    got = {r["doc_id"]: r for r in mixing.mix_counts(frame(spark, rows, clashing=True), cut_rows=cut_rows).collect()}
     assert {i: (r["size"], r["source_size"], r["taken"]) for i, r in got.items()} == {i: (w[0], w[1], w[3]) for i, w in want.items()}
     assert all(got[i]["target"] == pytest.approx(w[2]) and got[i]["taken"] <= 3 * w[0] for i, w in want.items())
     mixed = mixing.mix_documents(frame(spark, rows, clashing=True), ordered=True)

@@ -3,8 +3,9 @@
 Each source is a flow. Its documents are shuffled by a hash and queued up to
 ``passes`` times over; the virtual finish time of a copy is the flow's words up
 to and including it, divided by the flow's weight. All copies are ranged by
-virtual time and the queue is cut where the total budget is spent. Everything
-here is DataFrame functions.
+virtual time and the queue is cut where the total budget is spent: the range
+that holds the cut is ranged again, finer, until one task can sort what it
+holds. Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ WEIGHTS = (1, 2, 3)
 PASSES = 3
 #: Hex digits of the shuffling hash that split each source's running total.
 SPLIT_DIGITS = 3
-#: Ranges of virtual time between nothing and the whole budget.
+#: Ranges of virtual time between nothing and the whole budget, and of each finer step (a power of two, so that steps are exact).
 RANGES = 4096
+#: A range with more copies than this is ranged again, up to so many steps, which is as fine as virtual times are.
+CUT_ROWS, CUT_STEPS = 1_000_000, 4
 
 
 def _plan(sources: DataFrame, weights: tuple[int, ...], passes: int, share: float) -> DataFrame:
@@ -58,6 +61,7 @@ def mix_counts(
     weights: tuple[int, ...] = WEIGHTS,
     passes: int = PASSES,
     share: float = 1.0,
+    cut_rows: int = CUT_ROWS,
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, copies, first_finish.
 
@@ -102,34 +106,49 @@ def mix_counts(
     def finish(copy) -> Column:
         return (copy * F.col("source_size") + F.col("upto")) / F.col("weight")
 
-    def at(time: Column) -> Column:
-        """Range of virtual time; the last one holds all that lies far beyond the level."""
-        return F.when(F.col("level") > 0, F.least(F.floor(time / F.col("level") * RANGES), F.lit(2 * RANGES))).otherwise(0)
+    def at(time: Column, steps: int) -> list[Column]:
+        """Ranges of virtual time, each RANGES times finer than the one before; the last one of a step holds all that lies far beyond the level."""
+        rest, places = F.when(F.col("level") > 0, time / F.col("level")).otherwise(0.0), []
+        for _ in range(steps):
+            rest = rest * RANGES
+            places.append(F.least(F.floor(rest), F.lit(2 * RANGES)).cast("long"))
+            rest = rest - places[-1]
+        return places
 
     copies = (
         queue.where("size > 0")
         .select("*", F.explode(F.array(*[F.lit(p) for p in range(passes)])).alias("copy"))
         .withColumn("time", finish(F.col("copy")))
-        .withColumn("range", at(F.col("time")))
     )
     order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        copies.groupBy("range")
-        .agg(F.sum("size").alias("words"), F.max("budget").alias("budget"))
-        .withColumn("spent", F.sum("words").over(order))
-        .where("spent > budget")
-        .orderBy("range")
-        .select("range", (F.col("spent") - F.col("words")).alias("before"))
-        .first()
-    )
-    if last is None:  # nothing to cut: every copy fits
+    found, before = [], 0  # the range of the cut, step by step, and the words before it
+    while len(found) < CUT_STEPS:
+        *coarse, fine = at(F.col("time"), len(found) + 1)
+        if found:
+            copies = copies.where(coarse[-1] == found[-1])
+        last = (
+            copies.groupBy(fine.alias("range"))
+            .agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.max("budget").alias("budget"))
+            .withColumn("spent", F.lit(before).cast("long") + F.sum("words").over(order))
+            .where("spent > budget")
+            .orderBy("range")
+            .select("range", "n", (F.col("spent") - F.col("words")).alias("before"))
+            .first()
+        )
+        if last is None:
+            break
+        found.append(last["range"])
+        before = last["before"]
+        if last["n"] <= cut_rows:
+            break
+    if not found:  # nothing to cut: every copy fits
         taken_copies = F.when(F.col("size") > 0, F.lit(passes)).otherwise(0)
     else:
         place = ["time", "rank", "h", "id", "copy"]
-        sequence = Window.partitionBy("range").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+        sequence = Window.partitionBy("budget").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
         cut = (
-            copies.where(F.col("range") == last["range"])
-            .withColumn("spent", F.lit(last["before"]) + F.sum("size").over(sequence))
+            copies.where(at(F.col("time"), len(found))[-1] == found[-1])
+            .withColumn("spent", F.lit(before).cast("long") + F.sum("size").over(sequence))
             .where("spent <= budget")
             .agg(F.max(F.struct(*place)).alias("cut"))
             .first()["cut"]
@@ -137,12 +156,15 @@ def mix_counts(
 
         def is_taken(copy: int) -> Column:
             time = finish(F.lit(copy))
-            inside = at(time) < F.lit(last["range"])
+            steps = at(time, len(found))
+            inside, same = F.lit(False), F.lit(True)
+            for value, step in zip(found, steps):
+                inside, same = inside | (same & (step < value)), same & (step == value)
             if cut is None:
                 return inside
             here = F.struct(time.alias("time"), "rank", "h", "id", F.lit(copy).alias("copy"))
             limit = F.struct(*[F.lit(cut[c]).cast(copies.schema[c].dataType).alias(c) for c in place])
-            return inside | ((at(time) == F.lit(last["range"])) & (here <= limit))
+            return inside | (same & (here <= limit))
 
         fits = [F.coalesce(is_taken(p), F.lit(False)).cast("int") for p in range(passes)]
         taken_copies = F.when(F.col("size") > 0, sum(fits[1:], fits[0])).otherwise(0)
