@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from wayloom.llm import common, exact_dedup, fingerprints, mixing, near_dedup, packing, quality, substring_dedup, token_counts, toxicity, warc
+from wayloom.llm import alignment, common, exact_dedup, fingerprints, mixing, near_dedup, packing, quality, sharding, substring_dedup, token_counts, toxicity, warc
 from wayloom.llm.queries import tokenizer_path
 
 from .corpus import COLUMNS, frame, words
@@ -41,6 +41,8 @@ OPERATORS = {
     "op7": lambda df: warc.roundtrip(as_pages(df)),
     "op8": lambda df: substring_dedup.repeated_passages(df, keep_text=True),
     "op9": lambda df: quality.score_quality(df, labels(df.sparkSession)),
+    "op11": lambda df: alignment.link_counts(df, tokenizer_path("byte_bpe_50k.json"), PIECES, digests=True),
+    "op13": lambda df: sharding.shard_documents(df),
     "op10": lambda df: toxicity.score_toxicity(df, labels(df.sparkSession)),
 }
 
@@ -67,6 +69,10 @@ def test_operator(spark, name):
         assert of(14)[0]["payload_bytes"] == 300_000 and of(7)[0]["payload_bytes"] == 0
     if name == "op8":
         assert of(12)[0]["n_removed"] == 120_000 and of(12)[0]["kept_text"] == "end"
+    if name == "op11":
+        assert of(7)[0]["n_links"] == 0 and of(11)[0]["n_links"] > 240_000 and {r["groups"] for r in of(8)} == {""} and of(14)[0]["n_a"] > 0
+    if name == "op13":
+        assert of(14)[0]["size"] == 300_001 and sorted(sum(r["shard"] == j for r in got) for j in range(8)) == [1] + [2] * 7
     if name in ("op9", "op10"):
         assert all(0 <= r["score"] <= 1 for r in got)
 
