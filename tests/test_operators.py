@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayloom import schemas
-from wayloom.operators import keys, levels, metrics, sampling
+from wayloom.operators import keys, levels, metrics, sampling, tolerance
 from wayloom.operators import trajectories as tr
 from wayloom.sources import listings, records, sinks
 from wayloom.streaming import sessions, windows
@@ -29,7 +29,7 @@ def test_result_payloads(spark):
 def test_upsert_keeps_the_first(spark):
     old = spark.createDataFrame([("a", 1.0, 0)], "k string, v double, pos int")
     new = spark.createDataFrame([("a", 1.0 + 1e-7, 1), ("a", 2.0, 2), ("a", 2.0, 3)], "k string, v double, pos int")
-    assert sorted(r["pos"] for r in keys.upsert_append(old, new, "k", "v", ["pos"]).collect()) == [0, 2]
+    assert sorted(r["pos"] for r in tolerance.upsert_append(old, new, "k", "v", ["pos"]).collect()) == [0, 2]
 
 
 def test_unique_or_fail(spark):

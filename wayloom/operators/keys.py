@@ -34,12 +34,6 @@ def keep_semi(df: DataFrame, allowed: DataFrame, keys: Sequence[str]) -> DataFra
     return df.join(allowed.select(*keys), list(keys), "left_semi")
 
 
-def tolerance_anti(df: DataFrame, existing: DataFrame, key: str, value: str, tolerance: float = 1e-6) -> DataFrame:
-    """Rows without an existing one of equal key and a value closer than a tolerance. The key keeps the join a hash join."""
-    other = existing.select(F.col(key).alias("__key"), F.col(value).alias("__value"))
-    return df.join(other, (df[key] == other["__key"]) & (F.abs(df[value] - other["__value"]) < tolerance), "left_anti")
-
-
 def ordered_inner(left: DataFrame, right: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """Inner join that keeps the left side's order."""
     return left.join(right, list(keys), "inner").orderBy(position)
@@ -104,12 +98,6 @@ def first_existing(df: DataFrame, key: str, candidates: Sequence[Column], listin
     return df.select(key).distinct().join(found, key, "left")
 
 
-def upsert_append(existing: DataFrame, new: DataFrame, key: str, value: str, order: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
-    """Existing rows and the new ones that are not within a tolerance of one; of new equals the first stays."""
-    fresh = dedupe_first(tolerance_anti(new, existing, key, value, tolerance), [key, value], order)
-    return existing.unionByName(fresh)
-
-
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows themselves; the job fails if a key repeats."""
     repeats = df.groupBy(*keys).count().where("count > 1")
