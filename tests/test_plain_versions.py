@@ -81,65 +81,85 @@ def test_length_batches(spark, n, batch, workers):
     assert {r["k"]: (r["megabatch"], r["length"], r["chunk"], r["place"]) for r in got} == plain_batches(rows, batch, workers)
 
 
+COMMANDS = "sid string, seq long, type string, action_key string, instruction_text string, x double, y double, z double"
+
+
 def plain_session(sid, commands, unlock):
-    """Episodes of one session, found by cutting its commands into recordings first."""
-    out, made, steps, i = [], 0, 0, 0
-    recording = None  # actions of an open recording
-    pending = None
+    """Episodes and refusals of one session: an open episode is a record with its own flags, each command looks at those."""
+    out, made, explored = [], 0, 0
+    episode = None  # {"actions", "path", "stopped"} of an unfinished one
     here = (0.0, 0.0, 0.0)
-    path = []
+
+    def save(kind, said):
+        nonlocal made, episode
+        made += 1
+        out.append((sid, made, kind, said, len(episode["actions"]), len(episode["path"])))
+        episode = None
+
+    def refuse(why):
+        out.append((sid, made, "rejected", why, -1, 0))
+
     for kind, action, said, at in commands:
-        finished = None
         if kind == "move":
             here = at or here
-            if recording is not None:
-                recording.append(action)
-                path.append(here)
-            elif pending is None:
-                steps += 1
-            continue
+            if episode is None:
+                explored += 1
+            elif not episode["stopped"]:
+                episode["actions"].append(action)
+                episode["path"].append(here)
         if kind == "start":
-            if recording:
-                finished = ("auto", "(auto-saved)", recording)
-            if steps < unlock:
-                if finished:
-                    made += 1
-                    out.append((sid, made, finished[0], finished[1], len(finished[2])))
-                out.append((sid, made, "rejected", "locked", -1))
+            if episode and episode["stopped"]:
+                refuse("pending")
                 continue
-        elif kind == "stop":
-            if recording is not None:
-                recording, pending = None, recording
-            continue
-        elif kind == "submit":
-            if pending is None or not (said or "").strip():
-                out.append((sid, made, "rejected", "blank" if pending is not None else "nothing to submit", -1))
+            if explored < unlock:
+                refuse("locked")
                 continue
-            finished = ("submitted", said.strip(), pending)
-        elif recording or pending:
-            finished = ("auto", "(auto-saved)", recording or pending)
-        if finished:
-            made += 1
-            out.append((sid, made, finished[0], finished[1], len(finished[2])))
-        recording, pending = ([], None) if kind == "start" else (None, None)
-        path = [here]
-        if kind == "init":
-            steps = 0
+            if episode:  # saved as it is, and the scene is set up anew
+                save("auto", "(auto-saved)")
+                explored = 0
+            episode = {"actions": [], "path": [here], "stopped": False}
+        if kind == "stop":
+            if episode is None or episode["stopped"]:
+                refuse("not recording")
+            else:
+                episode["stopped"] = True
+        if kind == "submit":
+            if episode is None or not episode["stopped"]:
+                refuse("nothing to submit")
+            elif explored < unlock:
+                refuse("locked")
+            elif not (said or "").strip():
+                refuse("blank")
+            else:
+                save("submitted", said.strip())
+        if kind in ("disconnect", "timeout", "init", "switch"):
+            if episode:
+                save("auto", "(auto-saved)")
+            explored = 0 if kind in ("init", "switch") else explored
     return out
 
 
 def test_sessions(spark):
     rng, rows, want = random.Random(8), [], []
-    for s in range(40):
+    for s in range(120):
         commands = []
         for _ in range(rng.randrange(1, 60)):
-            kind = rng.choice(("move", "move", "move", "move", "start", "stop", "submit", "disconnect", "init", "timeout", "unknown") if rng.random() < 0.8 else ("move", "start", "stop", "submit"))
+            kind = rng.choice(("move", "move", "move", "move", "start", "stop", "submit", "disconnect", "init", "switch", "timeout", "unknown") if rng.random() < 0.4 else ("move", "start", "stop", "submit", "submit"))
             commands.append((kind, "turn_left", rng.choice((" go ", "", None)), (rng.random(), 0.0, 1.0)))
         want += plain_session(f"s{s}", [c for c in commands if c[0] != "unknown"], 4)
         rows += [(f"s{s}", at, kind, action, said, *place) for at, (kind, action, said, place) in enumerate(commands)]
     df = spark.createDataFrame(rows, "sid string, seq long, type string, action_key string, instruction_text string, x double, y double, z double")
-    got = [(r["sid"], r["local_no"], r["kind"], r["instruction"], len(r["actions"]) - 1) for r in sessions.replay_sessions(df.orderBy(F.rand(1)), unlock=4).collect()]
+    df = df.union(df.where("seq % 7 = 0"))  # commands that are sent twice count once
+    got = [(r["sid"], r["local_no"], r["kind"], r["instruction"], len(r["actions"]) - 1, r["n_positions"]) for r in sessions.replay_sessions(df.orderBy(F.rand(1)), unlock=4).collect()]
     assert sorted(got) == sorted(want) and {g[2] for g in got} == {"auto", "rejected", "submitted"}
+    assert {g[3] for g in got if g[2] == "rejected"} == {"pending", "locked", "not recording", "nothing to submit", "blank"}
+
+
+def test_an_episode_in_waiting_is_kept(spark):
+    """Starting while an episode is pending is refused; recording anew saves the old one, even without moves, and locks."""
+    one = lambda *kinds: [(r["kind"], r["instruction"], len(r["path"] or [])) for r in sessions.replay_sessions(spark.createDataFrame([("a", i, k, "turn_left", "go", float(i), 0.0, None if i == 2 else 0.0) for i, k in enumerate(kinds)], COMMANDS), unlock=1).collect()]
+    assert one("move", "start", "move", "stop", "start", "submit") == [("rejected", "pending", 0), ("submitted", "go", 2)]
+    assert one("move", "start", "start", "stop", "submit", "start", "init", "move", "start", "disconnect") == [("auto", "(auto-saved)", 1), ("rejected", "locked", 0), ("rejected", "pending", 0), ("auto", "(auto-saved)", 1), ("auto", "(auto-saved)", 1)]
 
 
 @tables
@@ -151,18 +171,38 @@ def test_session_machine(spark):
         by_session.setdefault(c["sid"], []).append((c["type"], c["action_key"], c["instruction_text"], (c["x"], c["y"], c["z"])))
     episodes = sorted((e for sid, cs in by_session.items() for e in plain_session(sid, cs, 3) if e[2] != "rejected"), key=lambda e: e[:2])
     want = [(i, *e) for i, e in enumerate(episodes, 1)]
-    got = [(r["episode_id"], r["sid"], r["local_no"], r["kind"], r["instruction"], r["actions"].count(",")) for r in plans.QUERIES["session_machine"](spark, FOLDER).collect()]
+    got = [(r["episode_id"], r["sid"], r["local_no"], r["kind"], r["instruction"], r["actions"].count(","), r["n_positions"]) for r in plans.QUERIES["session_machine"](spark, FOLDER).collect()]
     assert sorted(got) == want and want
 
 
 class Handle:
-    """State and timers of one key."""
+    """State and timers of one key; counts what is written."""
 
     def __init__(self):
-        self.body, self.timers = None, []
+        self.timers, self.written = [], 0
+
+    def getValueState(self, name, schema, ttl=None):  # noqa: N802
+        return Value(self)
 
-    def getValueState(self, name, schema):  # noqa: N802
-        return self
+    def getListState(self, name, schema, ttl=None):  # noqa: N802
+        return Listed(self)
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return Mapped(self)
+
+    def listTimers(self):  # noqa: N802
+        return list(self.timers)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+class Value:
+    def __init__(self, handle):
+        self.handle, self.body = handle, None
 
     def exists(self):
         return self.body is not None
@@ -171,16 +211,47 @@ class Handle:
         return self.body
 
     def update(self, body):
+        self.handle.written += len(repr(body))
         self.body = body
 
-    def listTimers(self):  # noqa: N802
-        return list(self.timers)
 
-    def deleteTimer(self, at):  # noqa: N802
-        self.timers.remove(at)
+class Listed(Value):
+    def get(self):
+        return iter(self.body or [])
 
-    def registerTimer(self, at):  # noqa: N802
-        self.timers.append(at)
+    def put(self, rows):
+        self.update(list(rows))
+
+    def appendList(self, rows):  # noqa: N802
+        self.handle.written += len(repr(rows))
+        self.body = [*(self.body or []), *rows]
+
+    def clear(self):
+        self.body = None
+
+
+class Mapped:
+    def __init__(self, handle):
+        self.handle, self.rows = handle, {}
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def values(self):
+        return iter(list(self.rows.values()))
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.rows
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.handle.written += len(repr((key, value)))
+        self.rows[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.rows[key]
 
 
 class Now:
@@ -190,12 +261,19 @@ class Now:
     def getCurrentProcessingTimeInMs(self):  # noqa: N802
         return self.now
 
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def batch(*commands, first=0, ms=None):
+    rows = [{"sid": "a", "seq": first + i, "type": k, "action_key": None, "instruction_text": "go", "x": None, "y": None, "z": None, "ms": (ms or 0) + 10 * (first + i)} for i, k in enumerate(commands)]
+    return iter([pd.DataFrame(rows)])
+
 
 def test_idle_sessions_are_saved():
     """Each batch moves the timer; when it expires, what was recorded is saved once."""
     processor, handle = sessions.SessionProcessor(1, 500), Handle()
     processor.init(handle)
-    batch = lambda *kinds: iter([pd.DataFrame([{"sid": "a", "seq": i, "type": k, "action_key": None, "instruction_text": None, "x": None, "y": None, "z": None} for i, k in enumerate(kinds)])])
     assert all(f.empty for f in processor.handleInputRows(("a",), batch("move", "start", "move"), Now(1000))) and handle.timers == [1500]
     assert all(f.empty for f in processor.handleInputRows(("a",), batch("move"), Now(1400))) and handle.timers == [1900]
     saved = pd.concat(processor.handleExpiredTimer(("a",), Now(1900), None))
@@ -204,6 +282,92 @@ def test_idle_sessions_are_saved():
     assert pd.concat(processor.handleInputRows(("a",), batch("submit"), Now(2600)))["kind"].tolist() == ["rejected"]
 
 
+def test_state_grows_with_the_commands():
+    """A long recording in many batches writes each move once and a few numbers a batch."""
+    written = []
+    for n in (100, 200, 400):
+        processor, handle = sessions.SessionProcessor(0), Handle()
+        processor.init(handle)
+        for k in range(n):
+            assert all(f.empty for f in processor.handleInputRows(("a",), batch("move" if k else "start", first=k), Now(0)))
+        written.append(handle.written)
+        done = pd.concat(processor.handleInputRows(("a",), batch("stop", "submit", first=n), Now(0)))
+        assert done["n_positions"].tolist() == [n] and len(done["path"][0]) == n
+    assert written[2] < 2.2 * written[1] < 4.8 * written[0]
+
+
+def test_commands_wait_for_the_watermark():
+    """By event time: released by seq as the watermark passes; timers for what waits, then for idle sessions; late ones are refused."""
+    processor, handle = sessions.SessionProcessor(1, 500, by_event_time=True), Handle()
+    processor.init(handle)
+    run = lambda rows, now: [f for f in processor.handleInputRows(("a",), rows, Now(now)) if not f.empty]
+    assert not run(batch("start", "move", first=2), 5) and handle.timers == [20]
+    assert not run(batch("move", "move", first=0), 10) and handle.timers == [20]
+    assert not run(batch("stop", first=4), 15) and handle.timers == [20] and len(processor.waiting.rows) == 3
+    assert all(f.empty for f in processor.handleExpiredTimer(("a",), Now(31), None)) and handle.timers == [40]
+    assert run(batch("submit", first=1), 31)[0]["instruction"].tolist() == ["late"]
+    assert all(f.empty for f in processor.handleExpiredTimer(("a",), Now(45), None)) and handle.timers == [540]
+    saved = pd.concat(processor.handleExpiredTimer(("a",), Now(541), None))
+    assert saved[["kind", "n_positions"]].values.tolist() == [["auto", 2]] and handle.timers == []
+
+
+def test_shuffled_stream_agrees_with_replay(spark, tmp_path):
+    """Commands dealt over batches in any order within the delay give what a replay by seq gives."""
+    rng, rows = random.Random(12), []
+    for sid in range(6):
+        kinds = ["move"] * 3 + [rng.choice(("move", "move", "move", "start", "stop", "submit", "init", "disconnect")) for _ in range(60)]
+        rows += [(f"s{sid}", k, kind, "turn_left", "go", float(k), 0.0, 0.0, f"2024-01-01 00:{k // 6:02d}:{k % 6 * 10:02d}") for k, kind in enumerate(kinds)]
+    df = spark.createDataFrame(rows, COMMANDS + ", t string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    shuffled = sorted(df.collect(), key=lambda r: r["seq"] + rng.uniform(0, 20))  # up to 200 s late
+    for at in range(0, len(shuffled), 90):
+        spark.createDataFrame(shuffled[at : at + 90], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for hour in (2, 3):
+        spark.createDataFrame([("end", hour, "move", None, None, None, None, None)], COMMANDS).withColumn("ts", F.to_timestamp(F.lit(f"2024-01-01 {hour:02d}:00:00"))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = sessions.session_episodes(stream, unlock=3, event_time="ts", delay="5 minutes")
+    query = out.writeStream.format("memory").queryName("shuffled").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    got, want = ([tuple(map(str, r)) for r in x.collect()] for x in (spark.table("shuffled"), sessions.replay_sessions(df, unlock=3)))
+    assert sorted(got) == sorted(want) and len(want) > 60 and "late" not in {g[3] for g in got}
+
+
+def test_numbers_survive_a_stop(spark, tmp_path):
+    """The stream dies after a batch's rows were written, and once after its ledger line; numbers stay gapless and equal."""
+    rows = [(f"s{b}{k}", i, kind, None, "go", None, None, None) for b in range(4) for k in range(3) for i, kind in enumerate(("move", "start", "move", "stop", "submit"))]
+    for b in range(4):
+        spark.createDataFrame(rows[15 * b : 15 * (b + 1)], COMMANDS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(name, fail=None):
+        sink = sessions.NumberingSink(str(tmp_path / name), first=5)
+
+        def numbered(df, batch_id):
+            if fail == (batch_id, "line"):
+                sink._line = lambda spark, b: None if b == batch_id else sessions.NumberingSink._line(sink, spark, b)
+                df.sparkSession.createDataFrame([(5 + 3 * batch_id, 3)], "first long, rows long").write.json(f"{sink.path}/ledger/batch={batch_id}")
+                raise RuntimeError("stopped")
+            sink(df, batch_id)
+            if fail == (batch_id, "rows"):
+                raise RuntimeError("stopped")
+
+        stream = spark.readStream.schema(COMMANDS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = sessions.session_episodes(stream, unlock=1).writeStream.foreachBatch(numbered).option("checkpointLocation", str(tmp_path / f"cp-{name}")).start()
+        try:
+            query.processAllAvailable()
+        except Exception:
+            assert fail
+        query.stop()
+        return sorted((r["episode_id"], r["sid"]) for r in sink.episodes(spark).collect()) if fail is None else None
+
+    want = run("whole")
+    assert [n for n, _ in want] == list(range(5, 17))
+    for fail in ((1, "rows"), (1, "rows"), (2, "line"), (3, "rows")):
+        run("stopped", fail)
+    assert run("stopped") == want
+    with pytest.raises(RuntimeError, match="no line for batch 8"):
+        sessions.NumberingSink(str(tmp_path / "other"))(sessions.replay_sessions(spark.createDataFrame([], COMMANDS)), 9)
+
+
 def test_late_rows_are_left_out(spark, tmp_path):
     """A row later than the watermark allows does not reopen its window."""
     schema = "event_id long, ts timestamp_ntz, kind string"

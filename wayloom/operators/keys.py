@@ -111,14 +111,17 @@ def allocate_ids(df: DataFrame, taken: DataFrame, column: str, order: Sequence[s
     return dense_ordinals(df, order, column, start + 1)
 
 
-def dense_ordinals(df: DataFrame, order: Sequence[str], column: str = "ordinal", start: int = 0) -> DataFrame:
+def dense_ordinals(df: DataFrame, order: Sequence[str], column: str = "ordinal", start: int = 0, *, settled: bool = False) -> DataFrame:
     """Consecutive numbers in a global order.
 
     Rows are range-sorted into partitions and numbered within; only a count per
-    partition meets in one place, so no task sees all rows. The sorted rows are
+    partition meets in one place, so no task sees all rows. The range sort
+    samples its input first, so the input is written before, unless it is
+    ``settled``: a table that is cheaper to read twice. The sorted rows are
     written once, so their numbers don't depend on what runs again.
     """
-    sorted_rows = df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    rows = df if settled else written(df, "ordinal-rows")
+    sorted_rows = rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
     sorted_rows = written(sorted_rows, "ordinals")
     counts = sorted_rows.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition

@@ -312,5 +312,5 @@ def run_report(spark: SparkSession, sf: str) -> DataFrame:
     SELECT p_partkey FROM r, n WHERE ordinal < 10 OR ordinal >= n - 10 OR ordinal % step = 0"""
 )
 def validation_sample(spark: SparkSession, sf: str) -> DataFrame:
-    parts = keys.dense_ordinals(table(spark, sf, "part").select("p_partkey"), ["p_partkey"])
+    parts = keys.dense_ordinals(table(spark, sf, "part").select("p_partkey"), ["p_partkey"], settled=True)
     return sampling.validation_rows(parts, ["ordinal"], table(spark, sf, "part").count(), 10, 10, 100).select("p_partkey")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..folders import fresh
 from ..functions import draws, geometry
 from ..operators import levels, sampling
 from ..operators import trajectories as tr
@@ -260,7 +261,59 @@ def session_commands(events: DataFrame) -> DataFrame:
     return base.unionByName(submits)
 
 
-@query()
+#: One row per command and session in turn: what the session is after it, and the episode that it finishes.
+_SESSIONS_SQL = """
+    WITH RECURSIVE sent AS (
+        SELECT CAST(user_id AS VARCHAR) AS sid, event_id * 2 AS seq,
+               CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'stop' WHEN 'error' THEN 'disconnect' ELSE 'move' END AS type,
+               CASE WHEN event_type = 'view' THEN 'turn_left' ELSE 'move_forward' END AS action, value AS x FROM events
+        UNION ALL SELECT CAST(user_id AS VARCHAR), event_id * 2 + 1, 'submit', NULL, NULL FROM events WHERE event_type = 'purchase'
+    ), commands AS MATERIALIZED (
+        SELECT *, row_number() OVER (PARTITION BY sid ORDER BY seq) AS i FROM sent
+    ), machine AS (
+        SELECT sid, 0::BIGINT AS i, 'idle' AS phase, 0 AS steps, 0 AS local_no, []::VARCHAR[] AS actions, 0.0::DOUBLE AS here, 0.0::DOUBLE AS start, 0.0::DOUBLE AS goal,
+               NULL::VARCHAR AS kind, NULL::VARCHAR AS instruction, []::VARCHAR[] AS done, 0.0::DOUBLE AS way
+        FROM (SELECT DISTINCT sid FROM commands)
+        UNION ALL
+        SELECT sid, i,
+               CASE WHEN begins THEN 'recording' WHEN type = 'stop' AND phase = 'recording' THEN 'pending' WHEN saves OR submits THEN 'idle' ELSE phase END,
+               CASE WHEN type = 'move' AND phase = 'idle' THEN steps + 1 WHEN begins AND saves THEN 0 ELSE steps END,
+               local_no + CAST(saves OR submits AS INTEGER),
+               CASE WHEN records THEN list_append(actions, action) WHEN begins THEN [] ELSE actions END,
+               now, CASE WHEN begins THEN now ELSE start END, CASE WHEN records OR begins THEN now ELSE goal END,
+               CASE WHEN saves THEN 'auto' WHEN submits THEN 'submitted' END, CASE WHEN saves THEN '(auto-saved)' WHEN submits THEN 'walk ' || seq END, list_append(actions, 'stop'), abs(goal - start)
+        FROM (SELECT m.*  EXCLUDE (i, kind, instruction, done, way), c.i, c.seq, c.type, c.action, CASE WHEN type = 'move' THEN coalesce(c.x, here) ELSE here END AS now,
+                     type = 'move' AND phase = 'recording' AS records,
+                     type = 'start' AND phase <> 'pending' AND steps >= 3 AS begins,
+                     (type = 'start' AND phase = 'recording' AND steps >= 3) OR (type = 'disconnect' AND phase <> 'idle') AS saves,
+                     type = 'submit' AND phase = 'pending' AND steps >= 3 AS submits
+              FROM machine m JOIN commands c ON c.sid = m.sid AND c.i = m.i + 1)
+    )
+    SELECT row_number() OVER (ORDER BY sid, local_no) AS episode_id, sid, local_no, kind, instruction, array_to_string(done, ',') AS actions, CAST(len(done) AS INTEGER) AS n_positions,
+           round(way * sqrt(1.25), 6) AS distance
+    FROM machine WHERE kind IS NOT NULL"""
+
+
+def _shown(episodes: DataFrame) -> DataFrame:
+    return episodes.select("episode_id", "sid", "local_no", "kind", "instruction", F.array_join("actions", ",").alias("actions"), "n_positions", F.round("distance", 6).alias("distance"))
+
+
+@query(_SESSIONS_SQL)
 def session_machine(spark: SparkSession, sf: str) -> DataFrame:
-    out = sessions.replay_sessions(session_commands(table(spark, sf, "events")), unlock=3)
-    return sessions.number_episodes(out).select("episode_id", "sid", "local_no", "kind", "instruction", F.array_join("actions", ",").alias("actions"), "n_positions", F.round("distance", 6).alias("distance"))
+    return _shown(sessions.number_episodes(sessions.replay_sessions(session_commands(table(spark, sf, "events")), unlock=3)))
+
+
+@query(_SESSIONS_SQL)
+def numbered_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same episodes from a stream over the table's files, numbered by the sink; all files are one batch."""
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
+    provider, path = "spark.sql.streaming.stateStore.providerClass", fresh(spark, "numbered-sessions")
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        sink = sessions.NumberingSink(f"{path}/sink")
+        episodes = sessions.session_episodes(session_commands(events), unlock=3)
+        episodes.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return _shown(sink.episodes(spark))
\ No newline at end of file
