@@ -153,6 +153,22 @@ def line_files(spark: SparkSession, sf: str) -> DataFrame:
     return records.read_by_suffix(spark, path, "event_id long, event_type string, value double").withColumn("written", F.lit(n + rest).cast("long"))
 
 
+@query(
+    """SELECT 'part=' || page_id % 7 AS folder, CAST(row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS BIGINT) AS number, page_id FROM pages
+    QUALIFY length(html) % 3 = 1"""
+)
+def numbered_malformed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of pages as lines in order of their ids; a third breaks off. Where the broken ones are, file by file."""
+    k = F.col("page_id")
+    line = F.to_json(F.struct("page_id", "url"))
+    line = F.when(F.length("html") % 3 == 1, F.concat(F.lit("{"), k.cast("string"), F.lit(': "'))).otherwise(line)
+    path = fresh(spark, "numbered-lines")
+    lines = table(spark, sf, "pages").select((k % 7).alias("part"), "page_id", line.alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "page_id").select("part", "value").write.partitionBy("part").text(path)
+    bad = records.malformed_lines(spark, path, "page_id long, url string", numbers=True)
+    return bad.select(F.regexp_extract("path", r"(part=\d+)", 1).alias("folder"), "number", F.regexp_extract("line", r"(\d+)", 1).cast("long").alias("page_id"))
+
+
 @query("SELECT 'broken ' || page_id || ' {' AS line FROM pages")
 def malformed_files(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh(spark, "lines.jsonl")

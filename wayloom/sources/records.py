@@ -7,12 +7,14 @@ import os
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..folders import written
 from ..functions import text
 from ..shipping import ship
 
@@ -41,17 +43,22 @@ def read_records(spark: SparkSession, path: str | Sequence[str], schema: str, en
 class ArrayParser:
     """Objects of the first list of a JSON text that comes in pieces: a list, or one under an envelope key.
 
-    Only the object that is being read is held.
+    Only the object that is being read is held. A text may be joined in the
+    middle, given what came before: whether that ended within a string, how
+    deep it was, how deep the list is (None: it hasn't begun), whether it is
+    over. ``continued`` is true until the object that began before is
+    complete; it is the first one found, less what came before.
     """
 
     _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|"|[{}\[\]]', re.DOTALL)
 
-    def __init__(self, envelopes: Sequence[str] = ENVELOPES):
+    def __init__(self, envelopes: Sequence[str] = ENVELOPES, in_string: bool = False, depth: int = 0, list_depth: int | None = None, done: bool = False):
         self.envelopes = envelopes
-        self.text, self.at, self.depth = "", 0, 0
-        self.start: int | None = None  # of the object that is being read
-        self.list_depth: int | None = None
-        self.key, self.done = "", False
+        self.text, self.at, self.depth = '"' if in_string else "", 0, depth
+        self.list_depth, self.done = list_depth, done
+        self.continued = not done and list_depth is not None and depth > list_depth + 1
+        self.start: int | None = 0 if self.continued else None  # of the object that is being read
+        self.key, self.skip = "", int(in_string)
 
     def feed(self, piece: str) -> list[str]:
         """Objects that this piece completes."""
@@ -86,32 +93,148 @@ class ArrayParser:
         self.start = None if self.start is None else 0
         return found
 
+    def parts(self, piece: str) -> list[tuple[str, int]]:
+        """``feed`` with a kind for each text: whole, or the end of an object that began before."""
+        found = [(text, WHOLE) for text in self.feed(piece)]
+        if found and self.continued:
+            found[0] = found[0][0][self.skip :], LAST
+            self.continued = False
+        return found
+
+    def rest(self) -> list[tuple[str, int]]:
+        """What has begun and goes on after the text."""
+        if self.start is None:
+            return []
+        return [(self.text[self.skip :], MIDDLE) if self.continued else (self.text, FIRST)]
+
+
+#: Kinds of text of an object: all of it, or a part of one that lies in several splits.
+WHOLE, FIRST, MIDDLE, LAST = range(4)
+
+
+class SplitSummary:
+    """What a split of a JSON text does to the state of its reader, for both cases: it starts outside (0) or within (1) a string.
+
+    ``odd``: whether strings are open at its end that weren't at its start, or the reverse. For each case: the change
+    of depth, its lowest value, and the lists under envelope keys by their depth, with whether they end here.
+    """
+
+    def __init__(self, envelopes: Sequence[str] = ENVELOPES):
+        keyed = "|".join(re.escape(json.dumps(k, ensure_ascii=False)) for k in envelopes)
+        self.token = re.compile((rf'(?:{keyed})\s*:\s*\[|' if keyed else "") + r'\\.|["{}\[\]]', re.DOTALL)
+        self.odd, self.depth, self.low, self.lists = False, [0, 0], [0, 0], ({}, {})
+        self.bare: bool | None = None  # a list that opens the text
+
+    def feed(self, piece: str) -> None:
+        if self.bare is None and piece.strip():
+            self.bare = piece.lstrip()[0] == "["
+            if self.bare:
+                self.lists[0][0] = False
+        for m in self.token.finditer(piece):
+            token = m.group()
+            case = int(self.odd)  # in this case the token is outside strings
+            if token == '"':
+                self.odd = not self.odd
+            elif token[0] == '"':
+                self.lists[case].setdefault(self.depth[case], False)
+                self.depth[case] += 1
+            elif token in "[{":
+                self.depth[case] += 1
+            elif token[0] != "\\":
+                self.depth[case] -= 1
+                self.low[case] = min(self.low[case], self.depth[case])
+                if token == "]" and self.lists[case].get(self.depth[case]) is False:
+                    self.lists[case][self.depth[case]] = True
+
+
+def _starts(splits: pd.DataFrame) -> pd.DataFrame:
+    """The reader's state at the start of each split of a file, from their summaries."""
+    out, in_string, depth, list_depth, done = [], False, 0, None, False
+    for s in splits.sort_values("block").itertuples():
+        out.append((s.file, s.block, in_string, depth, -1 if list_depth is None else list_depth, done))
+        case = int(in_string)
+        lists = json.loads(s.lists)[case]
+        if list_depth is None:
+            if s.block == 0 and s.bare:
+                list_depth, done = 0, lists["0"]
+            elif str(1 - depth) in lists:
+                list_depth, done = 1, lists[str(1 - depth)]
+        elif not done:
+            done = depth + s.low[case] <= list_depth
+        depth, in_string = depth + s.depth[case], in_string != s.odd
+    return pd.DataFrame(out, columns=["file", "block", "in_string", "depth", "list_depth", "done"])
+
+
+#: So many splits' states (some bytes each) are sent to the readers; beyond it texts are shuffled to them.
+SENT_SPLITS = 300_000
+
 
 def read_array(spark: SparkSession, path: str | Sequence[str], schema: str, envelopes: Sequence[str] = ENVELOPES) -> DataFrame:
     """Rows of JSON files like those of ``read_records``, however large: no task holds more than some objects at a time.
 
-    Files are split at closing braces, wherever those are, and read in
-    parallel; the pieces of a file then stream through one task in order. Of a
-    file that breaks off, the objects before the break are rows (but for one
-    that ends exactly there).
+    Splits of a file are read in parallel, twice. The first pass sums each
+    split up (quotes, depth, lists) without knowing whether it starts within a
+    string; from that follows the state at its start, with which the second
+    pass finds its objects. Parts of an object that lies in several splits are
+    put together. Splits end at closing braces, wherever those are; a gzip
+    file is one split. Of a file that breaks off, the objects before the break
+    are rows (but for one that ends exactly there).
     """
     ship(spark)
     pieces = spark.read.option("lineSep", "}").text(path)
-    pieces = pieces.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    pieces = pieces.select(*where, "value", F.monotonically_increasing_id().alias("at"))
+
+    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, summary, out = None, SplitSummary(envelopes), []
+
+        def close() -> None:
+            if at is not None:
+                out.append((*at, summary.odd, bool(summary.bare), summary.depth, summary.low, json.dumps(summary.lists)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, parser = None, ArrayParser(envelopes)
         for batch in batches:
-            found: list[str] = []
-            for name, piece in zip(batch["file"], batch["value"]):
-                if name != file:
-                    file, parser = name, ArrayParser(envelopes)
-                    found += parser.feed(piece)
+            for file, block, piece in zip(batch["file"], batch["block"], batch["value"]):
+                if (file, block) != at:
+                    close()
+                    at, summary = (file, block), SplitSummary(envelopes)
+                    summary.feed("}" + piece if block else piece)
                 else:  # the brace that parted this piece from the last one
-                    found += parser.feed("}" + piece)
-            yield pd.DataFrame({"element": pd.Series(found, dtype=object)})
+                    summary.feed("}" + piece)
+        close()
+        yield pd.DataFrame(out, columns=["file", "block", "odd", "bare", "depth", "low", "lists"])
+
+    sums = pieces.select("file", "block", "value").mapInPandas(sum_up, "file string, block long, odd boolean, bare boolean, depth array<long>, low array<long>, lists string")
+    starts = written(sums.groupBy("file").applyInPandas(_starts, "file string, block long, in_string boolean, depth long, list_depth long, done boolean"), "split-starts")
+    if starts.count() <= SENT_SPLITS:
+        joined = pieces.join(F.broadcast(starts), ["file", "block"], "left")
+    else:
+        joined = pieces.join(starts, ["file", "block"], "left").sortWithinPartitions("file", "block", "at")
+    known = F.when(F.col("depth").isNull(), F.raise_error(F.lit("the files or their splits changed while they were read"))).otherwise(F.col("depth"))
+    joined = joined.select("file", "block", "value", "in_string", known.cast("long").alias("depth"), "list_depth", "done")
 
-    elements = pieces.repartition("file").sortWithinPartitions("file", "block", "at").select("file", "value").mapInPandas(run, "element string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parser = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for file, block, piece, in_string, depth, list_depth, done in zip(*(batch[c].tolist() for c in batch.columns)):
+                if (file, block) != at:
+                    if parser is not None:
+                        out += [(*at, *part) for part in parser.rest()]
+                    at, parser = (file, block), ArrayParser(envelopes, in_string, depth, None if list_depth < 0 else list_depth, done)
+                    found = parser.parts("}" + piece if block else piece)
+                else:
+                    found = parser.parts("}" + piece)
+                out += [(*at, *part) for part in found]
+            yield pd.DataFrame(out, columns=["file", "block", "element", "kind"])
+        if parser is not None:
+            yield pd.DataFrame([(*at, *part) for part in parser.rest()], columns=["file", "block", "element", "kind"])
+
+    found = written(joined.mapInPandas(run, "file string, block long, element string, kind int"), "split-objects")
+    parts = found.where(F.col("kind") != WHOLE).withColumn("turn", (F.col("kind") == FIRST).cast("int"))  # a split ends an object before it begins one
+    in_order = Window.partitionBy("file").orderBy("block", "turn").rowsBetween(Window.unboundedPreceding, 0)  # two rows a split at most
+    parts = parts.withColumn("object", F.sum("turn").over(in_order)).groupBy("file", "object")
+    parts = parts.agg(F.sort_array(F.collect_list(F.struct("block", "turn", "element"))).alias("parts"), F.max("kind").alias("kind")).where(F.col("kind") == LAST)
+    elements = found.where(F.col("kind") == WHOLE).select("element").unionByName(parts.select(F.array_join("parts.element", "").alias("element")))
     return elements.select(F.from_json("element", _type(schema)).alias("e")).where("e IS NOT NULL").select("e.*")
 
 
@@ -144,10 +267,42 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines that ``read_lines`` skips. Empty ones are none of them."""
-    parsed = F.from_json("value", schema + ", __bad string", {"columnNameOfCorruptRecord": "__bad"})
-    return spark.read.text(path).where(F.trim("value") != "").where(parsed["__bad"].isNotNull()).select(F.col("value").alias("line"))
+def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(path, number, line) of every line of text files, from 1 in each file.
+
+    Splits count their lines; what lies before a split is a running sum of
+    counts, and a split numbers its own lines as they come. No line is
+    shuffled and no file has to pass one task, but for gzip, which has no splits.
+    """
+    ship(spark)
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    counts = raw.groupBy("path", "block").agg(F.count("*").alias("n"))
+    starts = written(counts.select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "line-starts")
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n = None, 0
+        for batch in batches:
+            numbers = []
+            for split in zip(batch["path"], batch["block"]):
+                if split != at:
+                    at, n = split, 0
+                n += 1
+                numbers.append(n)
+            yield batch.assign(number=np.array(numbers, np.int64))
+
+    numbered = raw.mapInPandas(number, "path string, block long, line string, number long")
+    starts = F.broadcast(starts) if starts.count() <= SENT_SPLITS else starts
+    joined = numbered.join(starts, ["path", "block"], "left")
+    known = F.when(F.col("before").isNull(), F.raise_error(F.lit("the files or their splits changed while they were read"))).otherwise(F.col("before"))
+    return joined.select("path", (known.cast("long") + F.col("number")).alias("number"), "line")
+
+
+def malformed_lines(spark: SparkSession, path: str | Sequence[str], schema: str, numbers: bool = False) -> DataFrame:
+    """Lines that ``read_lines`` skips; with ``numbers`` (path, number, line). Empty ones are none of them."""
+    lines = numbered_lines(spark, path) if numbers else spark.read.text(path).select(F.col("value").alias("line"))
+    parsed = F.from_json("line", schema + ", __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    return lines.where(F.trim("line") != "").where(parsed["__bad"].isNotNull())
 
 
 def checkpoint_ids(spark: SparkSession, path: str, key: str = "episode_id", kind: str = "string") -> DataFrame:
