@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..folders import written
+from .ordering import dense_ordinals
 
 
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -109,22 +109,3 @@ def allocate_ids(df: DataFrame, taken: DataFrame, column: str, order: Sequence[s
     """Numbers after the largest one taken, in order (from 1 if none is)."""
     start = taken.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
     return dense_ordinals(df, order, column, start + 1)
-
-
-def dense_ordinals(df: DataFrame, order: Sequence[str], column: str = "ordinal", start: int = 0, *, settled: bool = False) -> DataFrame:
-    """Consecutive numbers in a global order.
-
-    Rows are range-sorted into partitions and numbered within; only a count per
-    partition meets in one place, so no task sees all rows. The range sort
-    samples its input first, so the input is written before, unless it is
-    ``settled``: a table that is cheaper to read twice. The sorted rows are
-    written once, so their numbers don't depend on what runs again.
-    """
-    rows = df if settled else written(df, "ordinal-rows")
-    sorted_rows = rows.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    sorted_rows = written(sorted_rows, "ordinals")
-    counts = sorted_rows.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    starts = counts.select("__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + start).alias("__shift"))
-    numbered = sorted_rows.join(F.broadcast(starts), "__part").withColumn(column, F.col("__at") + F.col("__shift"))
-    return numbered.drop("__part", "__at", "__shift")

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import written
 from ..shipping import ship
+from .ordering import FEW_ROWS, dense_ordinals, running_sums, take_by_hash, take_first, union_all
 
 
 def hash_key(identifier: Column, seed: int) -> Column:
@@ -28,12 +29,12 @@ def uniform(identifier: Column, seed: int) -> Column:
 
 
 def hash_sample(df: DataFrame, identifier: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows, the first in hash order (a top-n, never a full sort)."""
-    return df.orderBy(hash_key(F.col(identifier), seed), identifier).limit(n)
+    """n rows, the first in hash order; of rows with equal identifiers any. Large samples are cut at a hash, not gathered."""
+    return take_by_hash(df, hash_key(F.col(identifier), seed), n)
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+    return take_first(df, order, n)
 
 
 def sample_size(spec: str, total: int) -> tuple[str, int]:
@@ -51,18 +52,16 @@ def sample_size(spec: str, total: int) -> tuple[str, int]:
 
 
 def sample_rows(df: DataFrame, spec: str, identifier: str, order: Sequence[str], seed: int = 42) -> DataFrame:
-    """Sample by a spec; ``end:0`` is empty."""
-    mode, n = sample_size(spec, df.count())
-    if mode == "random":
-        return hash_sample(df, identifier, n, seed)
-    columns = [F.col(c).asc() if mode == "first" else F.col(c).desc() for c in order]
-    return df.orderBy(*columns).limit(n)
+    """Sample by a spec; ``all`` is the table itself, ``end:0`` is empty."""
+    if spec == "all":
+        return df
+    mode, n = sample_size(spec, df.count() if spec.endswith("%") else 0)
+    return hash_sample(df, identifier, n, seed) if mode == "random" else take_first(df, order, n, descending=mode == "end")
 
 
 def mix_union(parts: Sequence[tuple[DataFrame, str]], identifier: str, order: Sequence[str], seed: int = 42) -> DataFrame:
     """UNION ALL of sampled datasets; a dataset listed twice counts twice."""
-    sampled = [sample_rows(df, spec, identifier, order, seed) for df, spec in parts]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sampled)
+    return union_all([sample_rows(df, spec, identifier, order, seed) for df, spec in parts])
 
 
 def ratio_count(n: int, ratio: float, least: int = 0) -> int:
@@ -113,11 +112,36 @@ def eligible_styles(styles: Sequence[str], start: Column, end: Column, total: Co
     return F.when(F.size(usable) > 0, usable).otherwise(F.array(F.lit("absolute")))
 
 
-def group_quota(df: DataFrame, group: str, order: Sequence[str], each: int, total: int | None = None, group_order: str | None = None) -> DataFrame:
-    """The first ``each`` rows of every group, and of those the first ``total`` by group and order."""
-    rank = Window.partitionBy(group).orderBy(*order)
-    kept = df.withColumn("__n", F.row_number().over(rank)).where(F.col("__n") <= each).drop("__n")
-    return kept if total is None else kept.orderBy(group_order or group, *order).limit(total)
+#: Up to so many rows of a group are picked by a window, which passes on no more of them from any task.
+WINDOW_ROWS = 1000
+
+
+def group_quota(df: DataFrame, group: str, order: Sequence[str], each: int, total: int | None = None, group_order: str | None = None, *, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """The first ``each`` rows of every group, and of those the first ``total`` by group and order.
+
+    ``order`` has to tell the rows of a group apart, ``group_order`` (the
+    group itself if not given) is one value a group. With a total each group
+    gets its own share: what the groups before it leave, from their sizes. So
+    the cut needs no order of all rows. Shares beyond ``window_rows`` are cut
+    by places in the range-sorted table, where a large group lies in many
+    partitions.
+    """
+    share = F.lit(each).cast("long")
+    if total is not None:
+        by = group_order or group
+        sizes = df.groupBy(group).agg(F.min(by).alias("__by"), F.least(F.count("*"), share).alias("__n"))
+        sizes = running_sums(sizes, ["__by", group], "__n", "__before")
+        shares = written(sizes.select(F.col(group).alias("__group"), F.least(F.col("__n"), F.lit(total) - F.col("__before")).alias("__share")).where("__share > 0"), "shares")
+        shares = F.broadcast(shares) if shares.count() <= FEW_ROWS else shares
+        df = df.join(shares, df[group].eqNullSafe(shares["__group"])).drop("__group")
+        share = F.col("__share")
+    if each <= window_rows:
+        ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__n") <= each)
+    else:
+        placed = written(dense_ordinals(df, [group, *order], "__place"), "group-places")
+        starts = placed.groupBy(F.col(group).alias("__group")).agg(F.min("__place").alias("__start"))
+        ranked = placed.join(starts, placed[group].eqNullSafe(starts["__group"])).withColumn("__n", F.col("__place") - F.col("__start") + 1).drop("__group", "__place", "__start")
+    return ranked.where(F.col("__n") <= share).drop("__n", "__share")
 
 
 def validation_rows(df: DataFrame, order: Sequence[str], n: int, head: int = 80, tail: int = 80, most: int = 1500) -> DataFrame:
@@ -146,8 +170,6 @@ def length_batches(df: DataFrame, identifier: str, length: str, batch: int, work
     the megabatches hold one modality each. A megabatch is the group that a
     task sees.
     """
-    from .keys import dense_ordinals
-
     ship(df.sparkSession)
     rows = df.select(F.col(identifier).alias("id"), F.col(length).cast("long").alias("length"), (F.lit("") if modality is None else modality.cast("string")).alias("modality"))
     rows = rows.withColumn("h", hash_key(F.col("id"), seed))

@@ -338,7 +338,9 @@ def vocabulary(episodes: DataFrame, words: str = "words") -> DataFrame:
 
 
 def first_n(df: DataFrame, order: str, n: int) -> DataFrame:
-    return df.orderBy(order).limit(n)
+    from ..operators.ordering import take_first
+
+    return take_first(df, [order], n)
 
 
 def _string(raw: Column) -> Column:
