@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..folders import fresh
 from ..operators import filters, keys, metrics, sampling
-from ..sources import listings, records, sinks
+from ..sources import listings, manifest, records, sinks
 from .base import table
 
 Q: dict = {}
@@ -195,6 +195,16 @@ def shard_files(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("SELECT CAST(event_id % 8 AS INTEGER) AS shard, count(*) AS counted, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def shard_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """What the manifest says of each shard, and what its files hold."""
+    path = fresh(spark, "counted-shards")
+    manifest.write_counted_shards(table(spark, sf, "events").select("event_id", "event_type"), path, "event_id", 8)
+    said = manifest.read_manifest(spark, path).groupBy("shard").agg(F.sum("count").alias("counted"))
+    rows = manifest.read_counted_shards(spark, path, "event_id long, event_type string")
+    return said.join(rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")), "shard")
+
+
 @query("SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS said FROM customer")
 def scene_files(spark: SparkSession, sf: str) -> DataFrame:
     """A rerun over the even scenes replaces those and leaves the rest."""
