@@ -1,8 +1,7 @@
 """Levels of buildings: containment, as-of and nearest joins, gap clustering.
 
-Levels and boxes are small tables per scene. The scene is always part of the
-join key, so these joins stay hash joins with a residual condition; Spark
-broadcasts the small side by itself while its size allows.
+Levels and boxes are tables per scene; the scene is always part of the join
+key. Points look levels up in sorted arrays (see ``asof``) and boxes in a grid.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
+from .asof import asof, nearest
 
 
 def smallest_box(points: DataFrame, boxes: DataFrame, scene: str, point_id: str, across: float = 0.2, upright: float = 0.5) -> DataFrame:
@@ -34,19 +34,16 @@ def smallest_box(points: DataFrame, boxes: DataFrame, scene: str, point_id: str,
     return inside.groupBy(point_id).agg(F.min_by("level", F.struct("volume", "region")).alias("level"), F.min_by("region", F.struct("volume", "region")).alias("region"))
 
 
-def asof_level(points: DataFrame, levels: DataFrame, scene: str, point_id: str, slack: float = 0.5) -> DataFrame:
-    """(point, level): the highest level that starts at most ``slack`` above the point, else the lowest level."""
-    joined = points.join(levels.select(scene, "level", "floor_y"), scene)
-    below = F.col("floor_y") <= F.col("y") + slack
-    return joined.groupBy(point_id).agg(
-        F.coalesce(F.max_by("level", F.when(below, F.struct("floor_y", "level"))), F.min_by("level", F.struct("floor_y", "level"))).alias("level")
-    )
+def asof_level(points: DataFrame, levels: DataFrame, scene: str, point_id: str, slack: float = 0.5, **limits: int) -> DataFrame:
+    """(point, level): the highest level that starts at most ``slack`` above the point, else the lowest level. Scenes without levels are left out."""
+    found = asof(points.select(point_id, scene, "y"), levels, [scene], F.col("y") + slack, "floor_y", ["level"], "__hit", else_first=True, **limits)
+    return found.where("__hit IS NOT NULL").select(point_id, F.col("__hit.level").alias("level"))
 
 
-def nearest_floor(points: DataFrame, floors: DataFrame, scene: str, point_id: str) -> DataFrame:
-    """(point, floor) of the closest height; of equals the lowest number."""
-    joined = points.join(floors.select(scene, "floor", "height"), scene)
-    return joined.groupBy(point_id).agg(F.min_by("floor", F.struct(F.abs(F.col("height") - F.col("y")), "floor")).alias("floor"))
+def nearest_floor(points: DataFrame, floors: DataFrame, scene: str, point_id: str, **limits: int) -> DataFrame:
+    """(point, floor) of the closest height; of equals the lowest number. Scenes without floors and points without a height are left out."""
+    found = nearest(points.select(point_id, scene, "y"), floors, [scene], F.col("y"), "height", ["floor"], "__hit", **limits)
+    return found.where("__hit IS NOT NULL").select(point_id, F.col("__hit.floor").alias("floor"))
 
 
 def level_of_points(points: DataFrame, boxes: DataFrame, levels: DataFrame, scene: str, point_id: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..folders import written
 FEW_ROWS = 10_000
 
 
-def _in_order(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:
+def range_sorted(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:
     """Range-sorted rows with __part and __at, their partition and place, written once so that both stay what they are."""
     return written(df.orderBy(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), label)
 
@@ -38,12 +38,12 @@ def dense_ordinals(df: DataFrame, order: Sequence[str], column: str = "ordinal",
     written once, so their numbers don't depend on what runs again.
     """
     rows = df if settled else written(df, "ordinal-rows")
-    return _number(_in_order(rows, order, "ordinals"), column, start)
+    return _number(range_sorted(rows, order, "ordinals"), column, start)
 
 
 def running_sums(df: DataFrame, order: Sequence[str], value: str, column: str) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows before each, in a global order."""
-    placed = _in_order(written(df, "sum-rows"), order, "sums")
+    placed = range_sorted(written(df, "sum-rows"), order, "sums")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     parts = placed.groupBy("__part").agg(F.sum(value).alias("__sum"))
     parts = parts.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__ahead"))
@@ -79,7 +79,7 @@ def take_first(df: DataFrame, order: Sequence[str], n: int, descending: bool = F
     if n <= few:
         return df.orderBy(*turned).limit(n)
     keys = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    placed = _in_order(written(keys, "order-keys"), [F.col(c).desc() if descending else F.col(c).asc() for c in keys.columns], "order-places")
+    placed = range_sorted(written(keys, "order-keys"), [F.col(c).desc() if descending else F.col(c).asc() for c in keys.columns], "order-places")
     sizes = sorted((r["__part"], r["n"], r["first"]) for r in placed.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first")).collect())  # one row a partition
     left = n
     for part, size, first in sizes:

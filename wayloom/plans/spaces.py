@@ -74,6 +74,37 @@ def nearest_floor(spark: SparkSession, sf: str) -> DataFrame:
     return levels.nearest_floor(_points(spark, sf), floors, "scene", "p_partkey")
 
 
+_MANY_LEVELS_SQL = """scenes AS (SELECT c_custkey, CASE WHEN c_nationkey < 12 THEN 0 ELSE c_nationkey END AS scene, c_acctbal::DOUBLE AS height FROM customer),
+    points AS (SELECT o_orderkey, scene, o_totalprice::DOUBLE / 40 - 1200 AS y FROM orders JOIN scenes ON c_custkey = o_custkey)"""
+
+
+def _many_levels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as points and their customers' balances as heights, by nation; half of the nations are one scene."""
+    nation = F.when(F.col("c_nationkey") < 12, 0).otherwise(F.col("c_nationkey")).cast("long")
+    heights = table(spark, sf, "customer").select("c_custkey", nation.alias("scene"), F.col("c_acctbal").cast("double").alias("height"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), (F.col("o_totalprice").cast("double") / 40 - 1200).alias("y"))
+    return orders.join(heights.select("c_custkey", "scene"), "c_custkey").select("o_orderkey", "scene", "y"), heights
+
+
+@query(
+    f"""WITH {_MANY_LEVELS_SQL}, ranked AS (SELECT scene, height, max(c_custkey) AS level FROM scenes GROUP BY 1, 2), low AS (SELECT scene, arg_min(c_custkey, (height, c_custkey)) AS level FROM scenes GROUP BY 1)
+    SELECT o_orderkey, coalesce(r.level, low.level) AS level FROM points p JOIN low USING (scene) ASOF LEFT JOIN ranked r ON p.scene = r.scene AND p.y + 0.5 >= r.height"""
+)
+def asof_many_levels(spark: SparkSession, sf: str) -> DataFrame:
+    points, heights = _many_levels(spark, sf)
+    return levels.asof_level(points, heights.select("scene", F.col("c_custkey").alias("level"), F.col("height").alias("floor_y")), "scene", "o_orderkey")
+
+
+@query(
+    f"""WITH {_MANY_LEVELS_SQL}, ranked AS (SELECT scene, height, min(c_custkey) AS floor FROM scenes GROUP BY 1, 2)
+    SELECT o_orderkey, CASE WHEN a.floor IS NULL OR (b.floor IS NOT NULL AND (abs(b.height - y), b.floor) <= (abs(a.height - y), a.floor)) THEN b.floor ELSE a.floor END AS floor
+    FROM points p ASOF LEFT JOIN ranked b ON p.scene = b.scene AND p.y >= b.height ASOF LEFT JOIN ranked a ON p.scene = a.scene AND p.y <= a.height"""
+)
+def nearest_many_floors(spark: SparkSession, sf: str) -> DataFrame:
+    points, heights = _many_levels(spark, sf)
+    return levels.nearest_floor(points, heights.select("scene", F.col("c_custkey").alias("floor"), "height"), "scene", "o_orderkey")
+
+
 @query(
     f"""WITH {_PLACES_SQL}, boxed AS (SELECT p_partkey, arg_min(level, (side * side * side, region)) AS level
         FROM points p JOIN boxes b ON p.scene = b.scene AND x BETWEEN lx - 0.2::DOUBLE AND lx + side + 0.2::DOUBLE AND y BETWEEN ly - 0.5::DOUBLE AND ly + side + 0.5::DOUBLE AND z BETWEEN lz - 0.2::DOUBLE AND lz + side + 0.2::DOUBLE GROUP BY 1),
