@@ -4,7 +4,8 @@ import random
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names operators might use themselves.
-CLASHING = ["id", "body", "size", "key", "n", "kept", "keep_id", "rank", "copies", "score", "list", "part", "length", "range", "sketch", "hash"]
+CLASHING = ["id", "body", "size", "key", "n", "kept", "keep_id", "rank", "copies", "score", "list", "part", "length", "range", "sketch", "hash", "h", "h2", "copy", "COPIES", "finish", "last0", "Last1_", "order", "place", "again"]
+CLASHING += ["__h", "__H_", "__rh", "__id", "__dropped", "__copies", "__copy", "__finish", "__pick", "__toxic", "__parts", "__salt", "__row", "__size", "__crc"]
 
 
 def sentence(rng, n, vocabulary=400):

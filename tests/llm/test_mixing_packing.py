@@ -57,7 +57,13 @@ def test_mix(spark, seed, cut_rows):
     assert all(got[i]["target"] == pytest.approx(w[2]) and got[i]["taken"] <= 3 * w[0] for i, w in want.items())
     mixed = mixing.mix_documents(frame(spark, rows, clashing=True), ordered=True)
     assert mixed.columns == frame(spark, rows, clashing=True).columns
-    assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(w[3] for w in want.values())
+    plain = mixing.mix_documents(frame(spark, rows, clashing=True), cut_rows=cut_rows)
+    for once in (mixed, plain):
+        taken = defaultdict(int)
+        for r in once.collect():
+            taken[r["doc_id"]] += len(words(r["text"]))
+        assert taken == {i: w[3] for i, w in want.items() if w[3]}
+    assert "Exchange" not in plain.select("text")._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
 
 
 def test_mix_odd_tables(spark):
@@ -68,6 +74,8 @@ def test_mix_odd_tables(spark):
     got = mixing.mix_counts(repeats).collect()
     assert len(got) == 5 and sum(r["taken"] for r in got) <= 12 and all(r["taken"] <= 3 * r["size"] for r in got)
     assert mixing.mix_documents(repeats).count() >= 1
+    shared = spark.createDataFrame([(i % 3 or None, f"text {i} " + "w " * i, None, "a", 0) for i in range(30)], COLUMNS)  # ids that texts share: none is lost
+    assert sorted(r["text"] for r in mixing.mix_documents(shared).collect()) == sorted(r["text"] for r in shared.collect())
     with pytest.raises(ValueError):
         mixing.mix_counts(nothing, share=4.0)
 

@@ -95,27 +95,41 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Dat
     return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to be none of the table's columns, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def without_rows(df: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``df`` but for the rows whose (id, text hash) is in ``dropped`` (id, h)."""
-    pairs = materialize(dropped.select(F.col("id").alias("__dropped"), F.col("h").alias("__h")).distinct(), "dropped")
+    key, digest = free_names(df, "id", "h")
+    pairs = materialize(dropped.select(F.col("id").alias(key), F.col("h").alias(digest)).distinct(), "dropped")
     if pairs.count() <= BROADCAST_ROWS:
         pairs = F.broadcast(pairs)
-    return df.join(pairs, df[id_col].eqNullSafe(F.col("__dropped")) & (text_hash(df[text_col]) == F.col("__h")), "left_anti")
+    return df.join(pairs, df[id_col].eqNullSafe(pairs[key]) & (text_hash(df[text_col]) == pairs[digest]), "left_anti")
 
 
 def without_repeats(df: DataFrame, repeats: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
     """``df`` with one row of each (id, text) pair that ``repeats`` (id, h) lists.
 
-    Rows that repeat both id and text are one document; which of them stays
-    is of no account. There are none in most tables, which costs nothing.
+    Rows that repeat both id and text are one document. Where they differ in
+    other columns, any of them stays, after a lost executor maybe another one.
+    There are none in most tables, which costs nothing.
     """
     if repeats.isEmpty():
         return df
-    marked = df.withColumn("__h", text_hash)
-    pairs = repeats.select(F.col("id").alias("__id"), F.col("h").alias("__rh"))
-    same = marked[id_col].eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__rh"))
-    once = marked.join(pairs, same, "left_semi").dropDuplicates([id_col, "__h"])
-    return marked.join(pairs, same, "left_anti").unionByName(once).drop("__h")
+    own, key, digest = free_names(df, "h", "id", "h2")
+    marked = df.withColumn(own, text_hash)
+    pairs = repeats.select(F.col("id").alias(key), F.col("h").alias(digest))
+    same = marked[id_col].eqNullSafe(pairs[key]) & (marked[own] == pairs[digest])
+    once = marked.join(pairs, same, "left_semi").dropDuplicates([id_col, own])
+    return marked.join(pairs, same, "left_anti").unionByName(once).drop(own)
 
 
 def text_hash(text: Column) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import BLANKS, BROADCAST_ROWS, free_names, materialize, words
 
 WEIGHTS = (1, 2, 3)
 PASSES = 3
@@ -52,7 +52,7 @@ def _plan(sources: DataFrame, weights: tuple[int, ...], passes: int, share: floa
     )
 
 
-def mix_counts(
+def _counted(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -63,15 +63,7 @@ def mix_counts(
     share: float = 1.0,
     cut_rows: int = CUT_ROWS,
 ) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken, copies, first_finish.
-
-    Size counts words (null text: 0). Sources in code-point order, null last,
-    get ``weights`` in turn; a source may give each document ``passes`` times.
-    Documents without words are never queued: they take nothing. Rows that
-    repeat an id are separate documents at neighbouring places of the queue.
-    The order comes from md5 of the id, so reruns agree. An empty table gives
-    an empty result. ``share`` must not exceed ``passes``.
-    """
+    """id, size, h, key (of its source), source_size, target, copies and first_finish of each document."""
     if not 0 < share <= passes:
         raise ValueError("share must be above 0 and at most the number of passes")
     docs = materialize(
@@ -84,10 +76,10 @@ def mix_counts(
     )
     docs = docs.select(
         "id",
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key"),
+        _key(F.col("source")).alias("key"),
         "source",
         "size",
-        F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")).alias("h"),
+        _digest(F.col("id")).alias("h"),
     ).withColumn("part", F.substring("h", 1, SPLIT_DIGITS))
 
     parts = docs.groupBy("key", "source", "part").agg(F.sum("size").alias("part_size"))
@@ -99,7 +91,7 @@ def mix_counts(
         docs.select("id", "key", "size", "h", "part")
         .join(offsets, ["key", "part"])
         .withColumn("upto", F.col("ahead") + F.sum("size").over(within))
-        .select("id", "size", "h", "upto", "rank", "weight", "source_size", "target", "level", "budget"),
+        .select("id", "key", "size", "h", "upto", "rank", "weight", "source_size", "target", "level", "budget"),
         "mix-queue",
     )
 
@@ -168,30 +160,57 @@ def mix_counts(
 
         fits = [F.coalesce(is_taken(p), F.lit(False)).cast("int") for p in range(passes)]
         taken_copies = F.when(F.col("size") > 0, sum(fits[1:], fits[0])).otherwise(0)
-    return queue.withColumn("copies", taken_copies.cast("int")).select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-        "copies",
-        finish(F.lit(0)).alias("first_finish"),
-    )
+    return queue.withColumn("copies", taken_copies.cast("int")).select("id", "size", "h", "key", "source_size", "target", "copies", finish(F.lit(0)).alias("first_finish"))
 
 
-def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, ordered: bool = False, **options) -> DataFrame:
+def mix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken, copies, first_finish.
+
+    Size counts words (null text: 0). Sources in code-point order, null last,
+    get ``weights`` in turn; a source may give each document ``passes`` times.
+    Documents without words are never queued: they take nothing. Rows that
+    repeat an id are separate documents at neighbouring places of the queue.
+    The order comes from md5 of the id, so reruns agree. An empty table gives
+    an empty result. ``share`` of all words is the budget; it must not exceed
+    ``passes``.
+    """
+    counted = _counted(df, id_col, text_col, source_col, **options)
+    return counted.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "first_finish")
+
+
+def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, passes: int = PASSES, ordered: bool = False, **options) -> DataFrame:
     """The mix itself: rows of ``df``, each as often as the mix takes it.
 
-    Rows that share an id are taken as often as the least taken of them. With
-    ``ordered`` the rows are range-sorted by the finish time of their first copy.
+    A source's documents are queued in the order of their hashes, so of each
+    pass the mix takes those up to some hash. These hashes, a few per source,
+    are all that the rows are compared with: no text is shuffled. Where the cut falls
+    among rows of one id and source, all of them are taken. With ``ordered``
+    the rows are range-sorted by the finish time of their first copy, which
+    joins them to the queue by id.
     """
-    counts = (
-        mix_counts(df, id_col, text_col, source_col, **options)
-        .groupBy(F.col(id_col).alias("__id"))
-        .agg(F.min("copies").alias("__copies"), F.min("first_finish").alias("__finish"))
-        .where("__copies > 0")
-    )
-    mixed = df.join(counts, df[id_col].eqNullSafe(counts["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    counted = _counted(df, id_col, text_col, source_col, passes=passes, **options)
+    last = [F.max(F.when(F.col("copies") > p, F.struct("h", "id"))).alias(f"last{p}") for p in range(passes)]
+    limits = materialize(counted.where("copies > 0").groupBy("key").agg(*last), "mix-limits")
+    of_source, copy, finish, key = free_names(df, "source", "copy", "finish", "id")
+    lasts = free_names(df, *[f"last{p}" for p in range(passes)])
+    limits = limits.select(F.col("key").alias(of_source), *[F.col(f"last{p}").alias(name) for p, name in enumerate(lasts)])
+    limits = F.broadcast(limits) if limits.count() <= BROADCAST_ROWS else limits
+    place = F.struct(_digest(df[id_col]).alias("h"), df[id_col].alias("id"))
+    has_words = F.trim(F.translate(F.coalesce(df[text_col], F.lit("")), BLANKS, " " * len(BLANKS))) != ""
+    copies = sum((F.coalesce(place <= limits[name], F.lit(False)).cast("int") for name in lasts), F.lit(0))
+    mixed = df.join(limits, _key(df[source_col].cast("string")) == limits[of_source]).where(has_words & (copies > 0))
+    mixed = mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
     if ordered:
-        mixed = mixed.orderBy("__finish", "__id", "__copy")
+        times = counted.groupBy(F.col("id").alias(key)).agg(F.min("first_finish").alias(finish))
+        mixed = mixed.join(times, df[id_col].eqNullSafe(times[key])).orderBy(finish, key, copy)
     return mixed.select(*[df[c] for c in df.columns])
+
+
+def _key(source: Column) -> Column:
+    """The source as text that is not null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def _digest(identifier: Column) -> Column:
+    """The hash that shuffles a source's documents."""
+    return F.md5(F.coalesce(identifier.cast("string"), F.lit("")).cast("binary"))

@@ -120,7 +120,8 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 def _sampled_features(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     """Features of the sampled rows; the sample's bound is what bounds the broadcast and what is collected."""
     picked = sample.select(F.col(id_col).alias("__pick")).distinct()
-    chosen = docs.join(F.broadcast(picked), docs[id_col] == picked["__pick"], "left_semi").select(_features(F.col(text_col)).alias("x"))
+    texts = docs.select(id_col, text_col)
+    chosen = texts.join(F.broadcast(picked), texts[id_col] == picked["__pick"], "left_semi").select(_features(F.col(text_col)).alias("x"))
     rows = chosen.limit(POSITIVES + UNLABELLED).toPandas()["x"]
     x = np.array(rows.tolist(), dtype=float).reshape(len(rows), -1) if len(rows) else np.zeros((0, len(features(""))))
     return x[np.lexsort(x.T)]  # in whatever order rows arrive

@@ -281,7 +281,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if len(sizes) < 2:
         return model
     picked = thin(trusted.where("__toxic"), "__pick", TOXIC_ROWS, sizes[True], 3).union(thin(trusted.where("NOT __toxic"), "__pick", CLEAN_ROWS, sizes[False], 4))
-    sample = docs.join(F.broadcast(picked), docs[id_col] == picked["__pick"]).select(
+    texts = docs.select(id_col, text_col)
+    sample = texts.join(F.broadcast(picked), texts[id_col] == picked["__pick"]).select(
         F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.col("__toxic").alias("toxic"), (F.crc32(F.col("__pick").cast("string").cast("binary")) % 2 == 0).alias("half")
     )
     shared = spark.sparkContext.broadcast(restore)
