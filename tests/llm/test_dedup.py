@@ -3,7 +3,7 @@
 import hashlib
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -47,6 +47,22 @@ def test_exact_with_a_full_bit_set(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()) == sorted(best.values())
 
 
+def test_full_hashes_are_of_survivors(spark):
+    """Only texts that share length and prefix with another are hashed in full."""
+    start = "p" * 10
+    rows = [(1, start + "a"), (2, start + "b"), (3, start + "a"), (4, start + "cc"), (5, "q" + start), (6, "é" * 5 + "x"), (7, None), (8, ""), (9, start), (10, start + "cc" * 5)]
+    shared = {1, 2, 3, 7, 8}  # 5 has the length of those, but another start; 6 has the bytes of 1, but no equal start
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = exact_dedup.hashed_rows(df, prefix_chars=10).collect()
+    assert sorted(r["id"] for r in hashed) == sorted(shared)
+    assert all(r["sha"] == hashlib.sha256((dict(rows)[r["id"]] or "").encode()).hexdigest() for r in hashed)
+    wide = frame(spark)
+    n = Counter((len((r["text"] or "").encode()), (r["text"] or "")[: exact_dedup.PREFIX_CHARS]) for r in wide.collect())
+    assert exact_dedup.hashed_rows(wide).count() == sum(k for k in n.values() if k > 1)
+    plan = exact_dedup.exact_dedup(wide).select("text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == plan.count("THEN sha2(")
+
+
 def test_exact_odd_rows(spark):
     df = spark.createDataFrame([(None, "x"), (1, "x"), (2, "y"), (2, "y"), (None, "z")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df).collect()), key=str)
