@@ -81,3 +81,26 @@ def test_decoding_is_the_best_path(restore, breaks):
     for _ in range(300):
         written = "".join(rng.choice(letters) * rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randrange(1, 5)))
         assert restore.word(written, breaks) == enumerated(restore, written, breaks)[1], written
+
+
+@pytest.mark.parametrize("written,least,first,last", [("!|(+!diot+!(|*", 4, 5, 5), ("aeiouloserya", 3, 5, 2), ("|+|+|diot", 4, 5, 0), ("ayeyaeiouyrey", 3, 13, 13), ("ab", 3, 1, 1)])
+def test_every_stretch_is_tried(restore, written, least, first, last):
+    """However many symbols stand at a word's ends, each number of them is tried."""
+    cells = [c * n for c, n in toxicity._cells(written)]
+    spans = [(i, j) for i in range(first + 1) for j in range(len(cells) - last, len(cells) + 1) if least <= j - i <= toxicity.MOST_LETTERS]
+    assert restore.stretches(written, least, first, last) == {restore.word("".join(cells[i:j])) for i, j in spans}
+
+
+def test_long_tokens_take_proportional_time(restore):
+    """Thousands of symbols around letters, or of spaced letters: every stretch that can be a word, and no more."""
+    import time
+
+    began = time.perf_counter()
+    words = restore.words("!|" * 2000 + "diot " + "a e " * 3000 + "l o s e r")
+    assert "idiot" in words and "loser" in words and time.perf_counter() - began < 60
+    assert all(len(w) <= toxicity.MOST_LETTERS for w in restore.features("x" * 65 + " " + "y" * 64) if not w.startswith("^")) and "y" * 64 in restore.features("y" * 64)
+
+
+def test_all_weights_count(restore):
+    weights = {f"w{chr(97 + i)}": 1.0 for i in range(9)}
+    assert toxicity._summary(restore, weights, " ".join(weights))[1] == pytest.approx(np.log1p(9.0))

@@ -46,9 +46,9 @@ _EITHER = "".join(c for c in _EDGE if c in LOOKALIKES)
 _NEVER = "".join(c for c in _EDGE if c not in LOOKALIKES)
 _BEFORE, _AFTER = re.compile(f"[{re.escape(_EITHER)}]*$"), re.compile(f"[{re.escape(_EITHER)}]*")
 _ALONE = "aeiouyr"
-#: Symbols (runs of one count once) at each end of a word, and lone letters at each end of a spaced run, that are tried.
-_ENDS = 3
-_SAME, _REPEATED = re.compile(r"(.)\1*"), re.compile(r"(.)\1+")
+#: A word has at most so many letters, here and in the lexicon; what is longer is no word.
+MOST_LETTERS = 64
+_REPEATED, _RUNS = re.compile(r"(.)\1+"), re.compile(r"(.)\1*", re.DOTALL)
 _ALPHABET = 64  # a..z are 1..26, other letters share 27..63, anything else is 0
 _TABLE = np.zeros(0x3000, np.int64)
 for _c in range(0x80, 0x3000):
@@ -104,6 +104,11 @@ def _joined(text: tuple | None) -> str:
     return "".join(reversed(parts))
 
 
+def _cells(written: str) -> list[tuple[str, int]]:
+    """Characters and how often each is repeated."""
+    return [(m.group(1), m.end() - m.start()) for m in _RUNS.finditer(written)]
+
+
 class Restorer:
     """Most likely intended spelling of a suspicious one."""
 
@@ -116,20 +121,14 @@ class Restorer:
         one = (ones + 1) / (ones.sum() + _ALPHABET)
         two = (pairs + 8 * one) / (pairs.sum(axis=1, keepdims=True) + 8)
         self.cost = -np.log((grams + 4 * two) / (grams.sum(axis=2, keepdims=True) + 4))
-        self.seen: dict[str, str] = {}
+        self.seen: dict = {}
 
-    def word(self, written: str, breaks: bool = False) -> str:
-        """Viterbi over (last two letters); runs of a letter may stand for one or two of it. With ``breaks``, blanks may be put between letters."""
-        known = f" {written}" if breaks else written
-        if known in self.seen:
-            return self.seen[known]
-        cells: list[tuple[str, int]] = []
-        for c in written:
-            if cells and cells[-1][0] == c:
-                cells[-1] = (c, cells[-1][1] + 1)
-            else:
-                cells.append((c, 1))
-        beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # texts are linked backwards
+    def _forward(self, cells: list[tuple[str, int]], breaks: bool = False) -> Iterator[dict[tuple[int, int], tuple[float, tuple | None]]]:
+        """Viterbi over (last two letters), cell by cell: cost and text (linked backwards) of each state.
+
+        A cell is a character and how often it is repeated; a run of a letter may stand for one or two of it.
+        """
+        beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for c, n in cells:
             options = []
             if c.isalpha():
@@ -155,11 +154,42 @@ class Restorer:
                     if y and ((y, 0) not in after or total < after[y, 0][0]):
                         after[y, 0] = (total, (text, " "))
             beam = after
-        best = min((cost + (self.cost[a, b, 0] if b or not breaks else 0.0), _joined(text)) for (a, b), (cost, text) in beam.items())[1]
+            yield beam
+
+    def _best(self, beam: dict[tuple[int, int], tuple[float, tuple | None]], breaks: bool = False) -> str:
+        return min((cost + (self.cost[a, b, 0] if b or not breaks else 0.0), _joined(text)) for (a, b), (cost, text) in beam.items())[1]
+
+    def _keep(self, written, value):
         if len(self.seen) > 200_000:
             self.seen.clear()
-        self.seen[known] = best
-        return best
+        self.seen[written] = value
+        return value
+
+    def word(self, written: str, breaks: bool = False) -> str:
+        """The best spelling. With ``breaks``, blanks may be put between letters."""
+        known = f" {written}" if breaks else written
+        if known in self.seen:
+            return self.seen[known]
+        beam = {(0, 0): (0.0, None)}
+        for beam in self._forward(_cells(written), breaks):
+            pass
+        return self._keep(known, self._best(beam, breaks))
+
+    def stretches(self, written: str, least: int, first: int, last: int) -> set[str]:
+        """The best spelling of every stretch that leaves out up to ``first`` cells in front and ``last`` at the end.
+
+        A stretch has from ``least`` to MOST_LETTERS cells. One pass from each
+        start gives all its ends, so this takes time in proportion to the cells.
+        """
+        known = (written, least, first, last)
+        if known in self.seen:
+            return self.seen[known]
+        cells, out = _cells(written), set()
+        for start in range(max(0, len(cells) - last - MOST_LETTERS), first + 1):
+            for at, beam in enumerate(self._forward(cells[start : start + MOST_LETTERS]), start + 1):
+                if at >= max(start + least, len(cells) - last):
+                    out.add(self._best(beam))
+        return self._keep(known, out)
 
     def unrepeated(self, letters: str) -> str:
         """``word`` of letters alone: each run is decided by its neighbours, as its last letter is the same either way."""
@@ -171,11 +201,7 @@ class Restorer:
             double = cost[a, c, c] + cost[c, c, b] + (self.REPEAT if m.end() - m.start() > 2 else 0.0)
             return m.group(1) * (1 if cost[a, c, b] + self.REPEAT <= double else 2)
 
-        if letters not in self.seen:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[letters] = _REPEATED.sub(run, letters)
-        return self.seen[letters]
+        return self.seen[letters] if letters in self.seen else self._keep(letters, _REPEATED.sub(run, letters))
 
     def edged(self, token: str, core: str) -> set[str]:
         """Restored spellings of a word whose first or last letters are written as punctuation."""
@@ -184,10 +210,9 @@ class Restorer:
         at = token.index(core)
         fore = _BEFORE.search(token[:at]).group()
         back = _AFTER.match(token[at + len(core) :]).group()
-        fore = [m.group() for m in _SAME.finditer(fore)][-_ENDS:]
-        back = [m.group() for m in _SAME.finditer(back)][:_ENDS]
-        ends = [(i, j) for i in range(len(fore) + 1) for j in range(len(back) + 1) if i or j]
-        return {self.word("".join(fore[len(fore) - i :]) + core + "".join(back[:j])) for i, j in ends}
+        if not fore and not back:
+            return set()
+        return self.stretches(fore + core + back, len(_cells(core)), len(_cells(fore)), len(_cells(back)))
 
     def spaced(self, written: str) -> set[str]:
         """Restored words of letters that are parted by blanks or marks; neighbours of one letter may belong to them or not."""
@@ -197,9 +222,8 @@ class Restorer:
             if len(letters) < 3:
                 continue
             out.update(self.word(letters, breaks=True).split())
-            first = next((i for i, c in enumerate(letters[:_ENDS]) if c not in _ALONE), _ENDS)
-            last = next((i for i, c in enumerate(letters[: -_ENDS - 1 : -1]) if c not in _ALONE), _ENDS)
-            out.update(self.word(letters[i : len(letters) - j]) for i in range(first + 1) for j in range(last + 1) if len(letters) - i - j >= 3)
+            fore, back = len(_cells(letters)) - len(_cells(letters.lstrip(_ALONE))), len(_cells(letters)) - len(_cells(letters.rstrip(_ALONE)))
+            out |= self.stretches(letters, 3, fore, back)
         return out
 
     def words(self, text: str) -> set[str]:
@@ -226,7 +250,7 @@ class Restorer:
 
     def features(self, text: str) -> set[str]:
         """Words and, marked by ^, their starts."""
-        words = self.words(text)
+        words = {w for w in self.words(text) if len(w) <= MOST_LETTERS}
         return words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in STARTS))
 
 
@@ -238,15 +262,15 @@ def restorer(docs: DataFrame, text_col: str = "text") -> Restorer:
 
 
 def _summary(restore: Restorer, weights: dict[str, float], text: str) -> list[float]:
-    """Strongest weight, sum of the five strongest, and how many count at all."""
-    words = restore.words(text)
+    """Strongest weight, sum of all (its logarithm), and how many count at all."""
     find, found = weights.get, []
-    for w in words:
+    for w in restore.words(text):
+        if len(w) > MOST_LETTERS:
+            continue
         best = max([find(w, 0.0), *(find("^" + w[:k], 0.0) for k in STARTS if len(w) > k)])
         if best > 0:
             found.append(best)
-    found.sort(reverse=True)
-    return [found[0] if found else 0.0, sum(found[:5]), math.log1p(len(found))]
+    return [max(found, default=0.0), math.log1p(math.fsum(found)), math.log1p(len(found))]
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, decay: float = 1e-3) -> np.ndarray:
