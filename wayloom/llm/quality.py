@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -24,12 +25,16 @@ from .sampling import fold, thin
 #: Bounds of the samples the model is fitted on. All rows are scored.
 POSITIVES, UNLABELLED = 12_000, 24_000
 THRESHOLD = 0.3
+#: Buckets that words are hashed into: how a text's words are spread over them is part of its features.
+WORD_BUCKETS = 128
+#: Decay of the weights of shape and of words.
+SHAPE_DECAY, WORD_DECAY = 1e-4, 1e-3
 _SYMBOLS = b"%*&$#!|.,?\"'-_/\\<>{}[]()=+:;@~^"
 _HALF_WORD = re.compile(rb"[a-z]")
 
 
 def features(text: str) -> list[float]:
-    """Shape of a text: shares of character classes, symbols, repeated words and lines, lengths."""
+    """Words of a text, hashed, and its shape: shares of character classes, symbols, repeated words and lines, lengths."""
     data = (text or "").encode("utf-8", "replace")
     n = max(1, len(data))
     seen = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
@@ -57,7 +62,8 @@ def features(text: str) -> list[float]:
     ]
     out += [np.sqrt(s / m) for s in symbols]
     out += [np.log(len(counts) + 1) / np.log(m + 1), np.sqrt(shout / m), np.sqrt(repeated / n), np.sqrt(odd / m), echoes / m, np.sqrt(echoes / m)]
-    return [float(x) for x in out]
+    buckets = np.bincount([crc32(w.lower()) % WORD_BUCKETS for w in counts], list(counts.values()), WORD_BUCKETS) if counts else np.zeros(WORD_BUCKETS)
+    return [float(x) for x in out] + np.sqrt(buckets / m).tolist()
 
 
 def nnpu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
@@ -72,7 +78,7 @@ def nnpu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tupl
     return positive, negative, -prior * ((1 - sp) @ p) / len(p), (su @ u) / len(u) - prior * (sp @ p) / len(p)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 600, rate: float = 0.05, decay: float | np.ndarray = 1e-4) -> np.ndarray:
     """Weights (last: bias) that minimise the non-negative risk, by Adam on whole samples.
 
     While the estimated negative risk is below nothing, the step goes against
@@ -88,7 +94,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, step
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     for t in range(1, steps + 1):
         _, negative, toward, away = nnpu_risk(w, p, u, prior)
-        g = (toward + away if negative >= 0 else -away) + decay * np.append(w[:-1], 0)
+        g = (toward + away if negative >= 0 else -away) + np.append(decay * w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -150,7 +156,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     scale = lambda x: np.clip((x - mean) / spread, -6, 6)
     p, u = scale(p), scale(u)
     prior = class_prior(p, u)
-    return {"mean": mean, "spread": spread, "weights": fit_nnpu(p, u, prior), "prior": np.array([prior])}
+    decay = np.full(p.shape[1], SHAPE_DECAY)
+    decay[len(decay) - WORD_BUCKETS :] = WORD_DECAY
+    return {"mean": mean, "spread": spread, "weights": fit_nnpu(p, u, prior, decay=decay), "prior": np.array([prior])}
 
 
 def quality_score(model: dict[str, np.ndarray], text: Column) -> Column:
