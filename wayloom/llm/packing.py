@@ -27,7 +27,7 @@ from .common import materialize
 CAPACITY = 4096
 END_ID = 1
 #: Distinct space-separated chunks whose ids a Python worker keeps.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 #: Pieces of one length that one task ranks, about: this many, or this fraction of all pieces if that is more.
 RANK_GROUP, RANK_FRACTION = 512, 20_000
 

@@ -71,7 +71,8 @@ def nnpu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tupl
 
     Rows of ``p`` and ``u`` end with a 1 for the bias.
     """
-    zp, zu = np.clip(p @ w, -30, 30), np.clip(u @ w, -30, 30)
+    at = w.astype(p.dtype)
+    zp, zu = np.clip(p @ at, -30, 30), np.clip(u @ at, -30, 30)
     sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
     positive = prior * np.logaddexp(0, -zp).mean()
     negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -88,8 +89,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, step
         bias = np.zeros((positive.shape[1] if positive.ndim == 2 else 0) + 1)
         bias[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
         return bias
-    p = np.hstack([positive, np.ones((len(positive), 1))])
-    u = np.hstack([unlabelled, np.ones((len(unlabelled), 1))])
+    p, u = (np.hstack([x, np.ones((len(x), 1), x.dtype)]) for x in (positive, unlabelled))
     w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     for t in range(1, steps + 1):
@@ -115,7 +115,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
         return 0.5
     fit_p, fit_u, p, u = p[: len(p) // 2], u[: len(u) // 2], p[len(p) // 2 :], u[len(u) // 2 :]
     w = fit_nnpu(fit_p, fit_u, 0.5)
-    sp, su = np.sort(p @ w[:-1]), np.sort(u @ w[:-1])
+    sp, su = (np.sort(x @ w[:-1].astype(x.dtype)) for x in (p, u))
     cuts = np.quantile(sp, np.linspace(0, 0.99, 400))
     above_p, above_u = 1 - np.searchsorted(sp, cuts) / len(sp), 1 - np.searchsorted(su, cuts) / len(su)
     slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
@@ -124,18 +124,17 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def _sampled_features(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Features of the sampled rows; the sample's bound is what bounds the broadcast and what is collected."""
+    """Features (32-bit) of the sampled rows; the sample's bound is what bounds the broadcast and what is collected."""
     picked = sample.select(F.col(id_col).alias("__pick")).distinct()
     texts = docs.select(id_col, text_col)
     chosen = texts.join(F.broadcast(picked), texts[id_col] == picked["__pick"], "left_semi").select(_features(F.col(text_col)).alias("x"))
-    rows = chosen.limit(POSITIVES + UNLABELLED).toPandas()["x"]
-    x = np.array(rows.tolist(), dtype=float).reshape(len(rows), -1) if len(rows) else np.zeros((0, len(features(""))))
-    return x[np.lexsort(x.T)]  # in whatever order rows arrive
+    rows = sorted(chosen.limit(POSITIVES + UNLABELLED).toPandas()["x"])  # in whatever order rows arrive
+    return np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), len(features(""))).copy()
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.pandas_udf(T.BinaryType())
 def _features(text: pd.Series) -> pd.Series:
-    return text.map(features)
+    return text.map(lambda t: np.array(features(t), "<f4").tobytes())
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
@@ -150,11 +149,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     unlabelled = thin(docs.select(id_col).where(F.col(id_col).isNotNull()), id_col, UNLABELLED, docs.count(), 2)
     p = _sampled_features(docs, positives, id_col, text_col)
     u = _sampled_features(docs, unlabelled, id_col, text_col)
-    both = np.vstack([p, u])
-    mean = both.mean(axis=0) if len(both) else np.zeros(both.shape[1])
-    spread = np.where((s := both.std(axis=0) if len(both) else np.ones(both.shape[1])) > 1e-9, s, 1.0)
-    scale = lambda x: np.clip((x - mean) / spread, -6, 6)
-    p, u = scale(p), scale(u)
+    n = max(1, len(p) + len(u))
+    mean = sum(x.sum(axis=0, dtype=float) for x in (p, u)) / n
+    square = sum(np.einsum("ij,ij->j", x, x, dtype=float, casting="same_kind") for x in (p, u)) / n
+    spread = np.sqrt(np.maximum(square - mean * mean, 0.0))
+    spread = np.where(spread > 1e-6, spread, 1.0)
+    for x in (p, u):  # in place: the driver holds each sample once
+        x -= mean.astype(np.float32)
+        x /= spread.astype(np.float32)
+        np.clip(x, -6, 6, out=x)
     prior = class_prior(p, u)
     decay = np.full(p.shape[1], SHAPE_DECAY)
     decay[len(decay) - WORD_BUCKETS :] = WORD_DECAY
