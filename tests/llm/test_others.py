@@ -282,7 +282,7 @@ def test_range_buckets(spark):
 def test_oracle(name, spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     want = con.sql(ORACLES[name])
     df = QUERIES[name](spark, FOLDER)
