@@ -6,6 +6,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,39 @@ def test_length_batches(spark, n, batch, workers):
     assert {r["k"]: (r["megabatch"], r["length"], r["chunk"], r["place"]) for r in got} == plain_batches(rows, batch, workers)
 
 
+def test_length_batches_are_dealt_many_at_a_time(spark):
+    """A task deals many small megabatches at once, one of a call each before; rows of a null modality are kept."""
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(1, 40), "ab"[i % 2] if i % 3 else None) for i in range(3001)]
+    df = spark.createDataFrame(rows, "k long, size int, m string")
+    dealt = sampling.length_batches(df, "k", "size", 4, 2)
+    assert "FlatMapGroupsInArrow" in dealt._jdf.queryExecution().toString() and sampling.DEALT_ROWS > len(rows)
+    assert {r["k"]: (r["megabatch"], r["length"], r["chunk"], r["place"]) for r in dealt.collect()} == plain_batches([r[:2] for r in rows], 4, 2)
+    want = {}
+    for m in ("a", "b", None):
+        want |= {k: (m, *at) for k, at in plain_batches([r[:2] for r in rows if r[2] == m], 4, 2).items()}
+    got = sampling.length_batches(df, "k", "size", 4, 2, modality=F.col("m")).collect()
+    assert {r["k"]: (r["modality"], r["megabatch"], r["length"], r["chunk"], r["place"]) for r in got} == want
+
+
+def test_deal_chunks():
+    rng = random.Random(5)
+    for workers in (1, 2, 3):
+        sizes = [rng.randrange(1, 13) for _ in range(40)]
+        lengths = [sorted((rng.randrange(9) for _ in range(n)), reverse=True) for n in sizes]
+        chunk, place = sampling.deal_chunks(np.repeat(np.arange(40), sizes), np.concatenate(lengths), workers)
+        at = 0
+        for one in lengths:
+            loads, want = [[] for _ in range(workers)], []
+            for k, n in enumerate(one):
+                free = [w for w in range(workers) if len(loads[w]) < len(one) // workers]
+                w = k % workers if len(one) % workers else min(free, key=lambda w: (sum(loads[w]), w))
+                want.append((w, len(loads[w])))
+                loads[w].append(n)
+            assert list(zip(chunk[at : at + len(one)].tolist(), place[at : at + len(one)].tolist())) == want
+            at += len(one)
+
+
 COMMANDS = "sid string, seq long, type string, action_key string, instruction_text string, x double, y double, z double"
 
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,44 +152,66 @@ def validation_rows(df: DataFrame, order: Sequence[str], n: int, head: int = 80,
     return df.where((F.col("ordinal") < head) | (F.col("ordinal") >= n - tail) | (F.col("ordinal") % step == 0)).orderBy(*order)
 
 
+#: Rows that a task deals at a time, about: megabatches are dealt together, a larger one alone.
+DEALT_ROWS = 1 << 15
+
+
+def deal_chunks(megabatch: np.ndarray, length: np.ndarray, n_chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk and place of every row, for rows in order of their megabatches: each as ``even_chunks``.
+
+    Each step deals the next row of all megabatches.
+    """
+    first = np.flatnonzero(np.r_[True, megabatch[1:] != megabatch[:-1]])
+    size = np.diff(np.r_[first, len(megabatch)])
+    room, even = size // n_chunks, size % n_chunks == 0
+    totals, sizes = np.zeros((len(first), n_chunks), np.int64), np.zeros((len(first), n_chunks), np.int64)
+    chunk, place = np.zeros(len(megabatch), np.int32), np.zeros(len(megabatch), np.int32)
+    for at in range(size.max(initial=0)):
+        m = np.flatnonzero(size > at)
+        shortest = np.where(sizes[m] < room[m, None], totals[m], np.iinfo(np.int64).max).argmin(axis=1)  # the first of equals
+        target, row = np.where(even[m], shortest, at % n_chunks), first[m] + at
+        chunk[row], place[row] = target, sizes[m, target]
+        sizes[m, target] += 1
+        totals[m, target] += length[row]
+    return chunk, place
+
+
 def even_chunks(lengths: Sequence[int], n_chunks: int) -> list[list[int]]:
     """Places dealt into chunks of equal size and about equal total length, greedily; dealt in turn if sizes can't be equal."""
-    if len(lengths) % n_chunks:
-        return [list(range(first, len(lengths), n_chunks)) for first in range(n_chunks)]
-    room, chunks, totals = len(lengths) // n_chunks, [[] for _ in range(n_chunks)], [0] * n_chunks
-    for place, length in enumerate(lengths):
-        target = min((c for c in range(n_chunks) if len(chunks[c]) < room), key=lambda c: (totals[c], c))
-        chunks[target].append(place)
-        totals[target] += length
-    return chunks
+    chunk, _ = deal_chunks(np.zeros(len(lengths), np.int64), np.array(lengths, np.int64), n_chunks)
+    return [np.flatnonzero(chunk == c).tolist() for c in range(n_chunks)]
 
 
 def length_batches(df: DataFrame, identifier: str, length: str, batch: int, workers: int, seed: int = 42, modality: Column | None = None) -> DataFrame:
     """Batch order: identifier, megabatch, chunk, place.
 
     Rows in hash order are cut into megabatches of ``batch * workers``, sorted
-    by length in each and dealt into one even chunk a worker. With a modality
-    the megabatches hold one modality each. A megabatch is the group that a
-    task sees.
+    by length in each (nulls last, as length 0) and dealt into one even chunk
+    a worker. With a modality the megabatches hold one modality each (null is
+    one). A group that a task sees is one megabatch, or as many small ones as
+    make up some ten thousand rows.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(identifier).alias("id"), F.col(length).cast("long").alias("length"), (F.lit("") if modality is None else modality.cast("string")).alias("modality"))
     rows = rows.withColumn("h", hash_key(F.col("id"), seed))
-    placed = dense_ordinals(rows, ["modality", "h", "id"])
-    starts = placed.groupBy("modality").agg(F.min("ordinal").alias("start"))
-    placed = placed.join(starts, "modality").withColumn("megabatch", F.floor((F.col("ordinal") - F.col("start")) / (batch * workers)))
+    placed = dense_ordinals(rows, ["modality", "h", "id"]).drop("h")
+    start = F.lit(0)
+    if modality is not None:
+        starts = written(placed.groupBy(F.col("modality").alias("__modality")).agg(F.min("ordinal").alias("start")), "modality-starts")
+        starts = F.broadcast(starts) if starts.count() <= FEW_ROWS else starts
+        placed, start = placed.join(starts, placed["modality"].eqNullSafe(starts["__modality"])), F.col("start")
+    placed = placed.withColumn("megabatch", F.floor((F.col("ordinal") - start) / (batch * workers)))
+    placed = placed.withColumn("block", F.floor(F.col("megabatch") / max(1, DEALT_ROWS // (batch * workers))))
     kind = dict(df.dtypes)[identifier]
 
-    def deal(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "h"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        out = []
-        for chunk, places in enumerate(even_chunks(group["length"].tolist(), workers)):
-            part = group.iloc[places][["id", "modality", "megabatch", "length"]].copy()
-            part["chunk"], part["place"] = chunk, range(len(places))
-            out.append(part)
-        return pd.concat(out)
+    def deal(group: pa.Table) -> pa.Table:
+        lengths, megabatch = group["length"].fill_null(0).to_numpy(), group["megabatch"].to_numpy()
+        order = np.lexsort((group["ordinal"].to_numpy(), -lengths, group["length"].is_null().to_numpy(), megabatch))
+        chunk, place = deal_chunks(megabatch[order], lengths[order], workers)
+        return group.select(["id", "modality", "megabatch", "length"]).take(order).append_column("chunk", pa.array(chunk)).append_column("place", pa.array(place))
 
-    return placed.groupBy("modality", "megabatch").applyInPandas(deal, f"id {kind}, modality string, megabatch long, length long, chunk int, place int").withColumnRenamed("id", identifier)
+    blocks = placed.select("id", "modality", "megabatch", "length", "ordinal", "block").groupBy("modality", "block")
+    return blocks.applyInArrow(deal, f"id {kind}, modality string, megabatch long, length long, chunk int, place int").withColumnRenamed("id", identifier)
 
 
 def map_rows(df: DataFrame, call, schema: str) -> DataFrame:
