@@ -462,3 +462,19 @@ def test_many_boxes_of_one_scene(spark):
             want[i] = min(held)[2]
     assert {r["p"]: r["level"] for r in levels.smallest_box(p, b, "scene", "p").collect()} == want and len(want) > 100
     assert levels.smallest_box(p, b.limit(0), "scene", "p").count() == 0
+
+
+def test_boxes_in_one_place(spark):
+    """Copies of boxes are met once, and pairs of points and boxes are not sorted."""
+    places = [([0.0, 0.0, 0.0], [2.0, 2.0, 2.0]), ([1.0, 0.0, 0.0], [3.0, 2.0, 2.0]), ([0.0, 0.0, 0.0], [4.0, 4.0, 4.0])]
+    boxes = [("s", 900 - i, i, *places[i % 3]) for i in range(900)]
+    b = spark.createDataFrame(boxes, "scene string, region int, level int, low array<double>, high array<double>")
+    p = spark.createDataFrame([(i, "s", i / 4, 1.0, 1.0) for i in range(20)], "p int, scene string, x double, y double, z double")
+    found = levels.smallest_box(p, b, "scene", "p")
+    want = {}
+    for i in range(20):
+        held = [((hi[0] - lo[0]) ** 3, r, lv) for _, r, lv, lo, hi in boxes if lo[0] - 0.2 <= i / 4 <= hi[0] + 0.2]
+        if held:
+            want[i] = min(held)[1:]
+    assert {r["p"]: (r["region"], r["level"]) for r in found.collect()} == want and len(want) == 17
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()

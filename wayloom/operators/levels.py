@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..folders import written
 from ..functions import geometry
 from .asof import asof, nearest
+from .ordering import dense_ordinals
+
+#: Boxes in different places, at most, that are sent to every task, in up to four cells each.
+SENT_BOXES = 75_000
 
 
 def smallest_box(points: DataFrame, boxes: DataFrame, scene: str, point_id: str, across: float = 0.2, upright: float = 0.5) -> DataFrame:
@@ -20,18 +25,25 @@ def smallest_box(points: DataFrame, boxes: DataFrame, scene: str, point_id: str,
 
     Boxes lie in cells of a grid as wide as they are (rounded up to a power of
     two), at most two each way. Points look into their cell of each grid in
-    use, so a point meets the boxes around it, not all of its scene.
+    use, so a point meets the boxes around it, not all of its scene. Boxes are
+    numbered by volume and region first: of boxes in the same place only the
+    lowest number can win and is kept, and a point keeps the lowest number it
+    meets, so no task holds or sorts the pairs that meet.
     """
     b = boxes.select(scene, "region", "level", "low", "high", geometry.box_volume(F.col("low"), F.col("high")).alias("volume"))
+    b = dense_ordinals(b, ["volume", "region"], "__rank").groupBy(scene, "low", "high")
+    b = written(b.agg(F.min_by("level", "__rank").alias("level"), F.min_by("region", "__rank").alias("region"), F.min("__rank").alias("__rank")), "boxes")
     low, high = (lambda i: F.get("low", F.lit(i)) - across), (lambda i: F.get("high", F.lit(i)) + across)
-    b = b.withColumn("__grid", F.ceil(F.log2(F.greatest(high(0) - low(0), high(2) - low(2), F.lit(1e-9)))).cast("int"))
+    cells = b.select(scene, "low", "high", "__rank", F.ceil(F.log2(F.greatest(high(0) - low(0), high(2) - low(2), F.lit(1e-9)))).cast("int").alias("__grid"))
     cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("__grid"))).cast("long")
-    cells = lambda i: F.sequence(cell(low(i)), cell(high(i)))
-    b = b.select("*", F.explode(cells(0)).alias("__cx")).select("*", F.explode(cells(2)).alias("__cz"))
-    grids = boxes.sparkSession.createDataFrame([(g,) for g in b.agg(F.collect_set("__grid")).first()[0]], "__grid int")  # exponents: some dozens at most
+    both = lambda i: F.sequence(cell(low(i)), cell(high(i)))
+    grids = boxes.sparkSession.createDataFrame([(g,) for g in cells.agg(F.collect_set("__grid")).first()[0]], "__grid int")  # exponents: some dozens at most
+    send = F.broadcast if b.count() <= SENT_BOXES else (lambda df: df)
+    cells = cells.select("*", F.explode(both(0)).alias("__cx")).select("*", F.explode(both(2)).alias("__cz"))
     p = points.join(F.broadcast(grids)).withColumn("__cx", cell(F.col("x"))).withColumn("__cz", cell(F.col("z")))
-    inside = p.join(b, [scene, "__grid", "__cx", "__cz"]).where(geometry.in_box(F.col("x"), F.col("y"), F.col("z"), F.col("low"), F.col("high"), across, upright))
-    return inside.groupBy(point_id).agg(F.min_by("level", F.struct("volume", "region")).alias("level"), F.min_by("region", F.struct("volume", "region")).alias("region"))
+    inside = p.join(send(cells), [scene, "__grid", "__cx", "__cz"]).where(geometry.in_box(F.col("x"), F.col("y"), F.col("z"), F.col("low"), F.col("high"), across, upright))
+    first = inside.groupBy(point_id).agg(F.min("__rank").alias("__rank"))
+    return first.join(send(b.select("__rank", "level", "region")), "__rank").select(point_id, "level", "region")
 
 
 def asof_level(points: DataFrame, levels: DataFrame, scene: str, point_id: str, slack: float = 0.5, **limits: int) -> DataFrame:
