@@ -478,3 +478,18 @@ def test_boxes_in_one_place(spark):
             want[i] = min(held)[1:]
     assert {r["p"]: (r["region"], r["level"]) for r in found.collect()} == want and len(want) == 17
     assert "SortAggregate" not in found._jdf.queryExecution().toString()
+
+
+def test_levels_of_points(spark):
+    """By box, else by height, else neither; points move for the boxes alone and no pairs are sorted."""
+    b = spark.createDataFrame([("s", i, i % 2, [0.0, 5.0 * (i % 2), 0.0], [2.0, 5.0 * (i % 2) + 2, 2.0]) for i in range(300)], "scene string, region int, level int, low array<double>, high array<double>")
+    at = [(1, "s", 1.0, 1.0, 1.0), (2, "s", 1.0, 6.0, 1.0), (3, "s", 9.0, 4.6, 1.0), (4, "s", 9.0, -8.0, 1.0), (5, "t", 1.0, 1.0, 1.0), (6, None, 1.0, 1.0, 1.0)]
+    p = spark.createDataFrame(at, "p int, scene string, x double, y double, z double")
+    want = {1: (0, "box"), 2: (1, "box"), 3: (1, "height"), 4: (0, "height"), 5: (None, None), 6: (None, None)}
+    for limits in ({}, {"array_rows": 1}):
+        found = levels.level_of_points(p, b, levels.level_floors(b, "scene"), "scene", "p", **limits)
+        assert found.columns == ["p", "scene", "x", "y", "z", "level", "found"]
+        assert {r["p"]: (r["level"], r["found"]) for r in found.collect()} == want
+        if not limits:
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("LeftOuter") == 2 and "SortAggregate" not in found._jdf.queryExecution().toString()

@@ -46,9 +46,14 @@ def smallest_box(points: DataFrame, boxes: DataFrame, scene: str, point_id: str,
     return first.join(send(b.select("__rank", "level", "region")), "__rank").select(point_id, "level", "region")
 
 
+def _with_level(points: DataFrame, levels: DataFrame, scene: str, slack: float = 0.5, **limits: int) -> DataFrame:
+    """Points with ``__hit``: the highest level that starts at most ``slack`` above them, else the lowest; null in scenes without levels."""
+    return asof(points, levels, [scene], F.col("y") + slack, "floor_y", ["level"], "__hit", else_first=True, **limits)
+
+
 def asof_level(points: DataFrame, levels: DataFrame, scene: str, point_id: str, slack: float = 0.5, **limits: int) -> DataFrame:
     """(point, level): the highest level that starts at most ``slack`` above the point, else the lowest level. Scenes without levels are left out."""
-    found = asof(points.select(point_id, scene, "y"), levels, [scene], F.col("y") + slack, "floor_y", ["level"], "__hit", else_first=True, **limits)
+    found = _with_level(points.select(point_id, scene, "y"), levels, scene, slack, **limits)
     return found.where("__hit IS NOT NULL").select(point_id, F.col("__hit.level").alias("level"))
 
 
@@ -58,13 +63,12 @@ def nearest_floor(points: DataFrame, floors: DataFrame, scene: str, point_id: st
     return found.where("__hit IS NOT NULL").select(point_id, F.col("__hit.floor").alias("floor"))
 
 
-def level_of_points(points: DataFrame, boxes: DataFrame, levels: DataFrame, scene: str, point_id: str) -> DataFrame:
+def level_of_points(points: DataFrame, boxes: DataFrame, levels: DataFrame, scene: str, point_id: str, **limits: int) -> DataFrame:
     """Level by box, else by height; ``found`` says which."""
     by_box = smallest_box(points, boxes, scene, point_id).select(point_id, F.col("level").alias("box_level"))
-    by_height = asof_level(points, levels, scene, point_id).select(point_id, F.col("level").alias("height_level"))
-    out = points.join(by_box, point_id, "left").join(by_height, point_id, "left")
+    out = _with_level(points, levels, scene, **limits).join(by_box, point_id, "left").withColumn("height_level", F.col("__hit.level"))
     found = F.when(F.col("box_level").isNotNull(), "box").when(F.col("height_level").isNotNull(), "height")
-    return out.withColumn("level", F.coalesce("box_level", "height_level")).withColumn("found", found).drop("box_level", "height_level")
+    return out.select(point_id, *[c for c in points.columns if c != point_id], F.coalesce("box_level", "height_level").alias("level"), found.alias("found"))
 
 
 def gap_clusters(df: DataFrame, scene: str, height: str, gap: float = 1.5, digits: int = 1) -> DataFrame:
