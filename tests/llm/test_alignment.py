@@ -58,6 +58,21 @@ def test_texts(aligner, monkeypatch):
     assert [shown(x) for x in aligner.texts(texts)] == want
 
 
+def test_new_chunks_are_encoded_in_runs_and_once(monkeypatch):
+    """A chunk is encoded and labelled where it is new, many in one call; a run with a chunk without tokens is taken apart."""
+    fresh, seen = Aligner(A, B), []
+    encode = fresh.encode
+    monkeypatch.setattr(fresh, "encode", lambda runs: (seen.append(runs), encode(runs))[1])
+    rng = random.Random(8)
+    words = ["".join(rng.choice(["a", "the", "ing", "'s", "1", "é", "日本", "́", "ﬁ", ".", "<s>", "´", "x"]) for _ in range(rng.randrange(1, 6))) for _ in range(300)] + ["a▁b"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 8))) for _ in range(400)] + ["so a▁b it is"]
+    want = [plain(fresh, t) for t in texts]
+    assert [shown(x) for x in fresh.texts(texts)] == want and None in want and any(want)
+    assert max(len(run) for run in seen[0]) > 20 and len([c for runs in seen[:1] for run in runs for c in run]) <= len(set(words))
+    seen.clear()
+    assert [shown(x) for x in fresh.texts(texts[::-1])] == want[::-1] and not any(seen)
+
+
 def test_groups_hold_the_bytes(aligner):
     for (_, _, n, groups, links), text in zip(aligner.texts(["so naïve, 日本 \U0001f600!", "plain words"]), ["so naïve, 日本 \U0001f600!", "plain words"]):
         both = [[[int(i) for i in ids.split(",")] for ids in g.split("|")] for g in groups.decode().split(";")]

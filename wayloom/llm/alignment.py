@@ -7,8 +7,10 @@ labels in a span say how many tokens of either side make up its group. Every
 label but n closes one link, the pair of the tokens that overlap there.
 
 Both tokenizers end a token before a single space between two visible
-characters, so ids are found per chunk between such spaces and kept for the
-next time; labels are made for about a megabyte of texts at once.
+characters, so a text is the chunks between such spaces, whose tokens, groups
+and links don't depend on each other. A worker finds those of a chunk once and
+keeps them; new chunks are encoded in runs, as if they were a text, and
+labelled about a megabyte at once.
 
 Corpus counts are looked up per block of documents: a block knows its distinct
 id pairs, asks for the counts of those, and its documents are summed from the
@@ -31,9 +33,11 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import hot_keys, materialize, salted_join
 
-#: Distinct chunks whose ids a worker keeps, about, and the longest that it keeps.
+#: Distinct chunks whose groups and links a worker keeps, about, and the longest that it keeps.
 CACHE_CHUNKS, CHUNK_CHARS = 300_000, 64
-#: Characters of the texts whose labels are made at a time; a longer text is labelled in parts.
+#: Characters of new chunks that are encoded as one text, about.
+RUN_CHARS = 1 << 11
+#: Characters of new chunks whose labels are made at a time, about; a longer chunk is labelled alone.
 LABEL_CHARS = 1 << 20
 #: Links of a block of documents, about; a longer document is a block of its own.
 BLOCK_LINKS = 1 << 20
@@ -43,7 +47,8 @@ PAIR_BASE = 1 << 32
 _SPAN = re.compile(rb"[^c]*c")
 _LETTERS = bytes.maketrans(bytes(range(4)), b"nabc")
 _ODD = "\\s\\x00-\\x20\\x7f-\\xa0\\xad\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u2581\\u3000\\ufeff"
-_BREAK = re.compile(f"(?<=[^{_ODD}]) (?=[^{_ODD}])")
+_ODD_CHAR = re.compile(f"[{_ODD}]")
+_BREAK = re.compile(f" (?<=[^{_ODD}] )(?=[^{_ODD}])")
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,45 +78,66 @@ class Aligner:
         written = [str(i).encode() + end for of, ends in ((self.a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";"))) for i in range(len(of)) for end in ends]
         self.written = np.array(written, dtype=object)
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces) and self.a.normalizer is None
-        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
+        self.odd = frozenset(c for c in map(chr, range(1 << 16)) if _ODD_CHAR.match(c))
+        self.cache: dict[str, tuple[int, int, int, bytes, bytes] | None] = {}
 
     def chunks(self, text: str) -> list[str]:
         """Pieces of a text whose tokens don't depend on each other; each follows a space of its own."""
         return _BREAK.split(text) if self.cuts else [text]
 
-    def encode(self, chunks: Sequence[str]) -> list[tuple[bytes, bytes] | None]:
-        """Both sides' ids (little-endian 32-bit) of space + chunk; None where either side's bytes are not those."""
-        spaced = [" " + c for c in chunks]
-        of_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        out: list[tuple[bytes, bytes] | None] = []
-        for data, a, b in zip(spaced, of_a, self.b.encode(list(chunks), num_threads=1)):
-            data = data.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b])
-            out.append((np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes()) if same else None)
-        return out
-
-    def ids(self, parts: Sequence[list[str]]) -> list[tuple[bytes, bytes] | None]:
-        """``encode`` for lists of chunks; None where a chunk's is."""
-        if len(self.cache) >= CACHE_CHUNKS:
-            self.cache.clear()
-        known = self.cache
-        missing = list({c for chunks in parts for c in chunks if c not in known})
-        found = dict(zip(missing, self.encode(missing)))
-        known.update((c, ids) for c, ids in found.items() if len(c) <= CHUNK_CHARS)
-        out: list[tuple[bytes, bytes] | None] = []
-        for chunks in parts:
-            both = [known[c] if c in known else found[c] for c in chunks]
-            out.append(None if None in both else (b"".join([x[0] for x in both]), b"".join([x[1] for x in both])))
-        return out
-
-    def align(self, parts: Sequence[list[str]]) -> list[tuple[int, int, int, bytes, np.ndarray] | None]:
-        """n_a, n_b, n_groups, groups as text (each with a separator after it) and links as pairs, for lists of chunks."""
-        both = self.ids(parts)
-        there = [x for x in both if x is not None]
+    def runs(self, chunks: Sequence[str]) -> Iterator[list[str]]:
+        """Chunks that may follow each other in a text, so that a run of them is encoded as one; others alone."""
+        run, chars = [], 0
+        for c in chunks:
+            if not self.cuts or not c or c[0] in self.odd or c[-1] in self.odd or len(c) > CHUNK_CHARS:
+                yield [c]
+                continue
+            run.append(c)
+            chars += len(c)
+            if chars >= RUN_CHARS:
+                yield run
+                run, chars = [], 0
+        if run:
+            yield run
+
+    def encode(self, runs: Sequence[list[str]]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray] | tuple[list[str], None]]:
+        """A run's chunks, both sides' ids of space + run and how many ids there are up to the end of each chunk.
+
+        None for a chunk where either side's bytes are not those. A run whose
+        bytes differ, or with a chunk whose end is no token's, is encoded chunk by chunk.
+        """
+        joined = [" ".join(run) for run in runs]
+        of_a, alone = [e.ids for e in self.a.encode_batch_fast([" " + t for t in joined], add_special_tokens=False)], []
+        for run, text, a, b in zip(runs, joined, of_a, self.b.encode(joined, num_threads=1)):
+            data = (" " + text).encode()
+            if b"".join([self.a_bytes[i] for i in a]) == data == b"".join([self.b_bytes[i] for i in b]):
+                a, b = np.array(a, np.int64), np.array(b, np.int64)
+                ends = np.cumsum([len(c) + 1 for c in run] if len(data) == len(text) + 1 else [len(c.encode()) + 1 for c in run])
+                ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+                upto_a, upto_b = np.searchsorted(ends_a, ends, side="right"), np.searchsorted(ends_b, ends, side="right")
+                if (ends_a[upto_a - 1] == ends).all() and (ends_b[upto_b - 1] == ends).all():
+                    yield run, a, b, upto_a, upto_b
+                    continue
+            if len(run) == 1:
+                yield run, None
+            else:
+                alone += [[c] for c in run]
+        if alone:
+            yield from self.encode(alone)
+
+    def align(self, chunks: Sequence[str]) -> dict[str, tuple[int, int, int, bytes, bytes] | None]:
+        """n_a, n_b, n_groups, groups as text (each with a separator after it) and links as pairs (64-bit) of every chunk; a chunk's end is a common one."""
+        out: dict[str, tuple[int, int, int, bytes, bytes] | None] = {}
+        there = []
+        for run, *found in self.encode(list(self.runs(chunks))):
+            if found[0] is None:
+                out[run[0]] = None
+            else:
+                there.append((run, *found))
         if not there:
-            return [None] * len(both)
-        a, b = (np.frombuffer(b"".join(x[side] for x in there), "<u4").astype(np.int64) for side in (0, 1))
-        upto_a, upto_b = (np.cumsum([len(x[side]) // 4 for x in there]) for side in (0, 1))
+            return out
+        a, b = (np.concatenate([x[side] for x in there]) for side in (1, 2))
+        upto_a, upto_b = (np.concatenate([x[side + 2] + n for x, n in zip(there, np.cumsum([0] + [len(x[side]) for x in there]))]) for side in (1, 2))
         ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
         marks = np.zeros(ends_a[-1] + 1, np.uint8)
         marks[ends_a] += 1
@@ -134,42 +160,42 @@ class Aligner:
 
         label = np.frombuffer(ends, np.uint8)
         end_a, end_b = label != ord("b"), label != ord("a")
-        links = a[np.cumsum(end_a) - end_a] * PAIR_BASE + b[np.cumsum(end_b) - end_b]
-        made, before = [], (0, 0, 0)
-        for upto in zip(upto_a.tolist(), upto_b.tolist(), groups.tolist()):
-            n_a, n_b, n_groups = (x - y for x, y in zip(upto, before))
-            words = b"".join(text[before[0] + before[1] : upto[0] + upto[1]])
-            made.append((n_a, n_b, n_groups, words, links[sum(before[:2]) - before[2] : sum(upto[:2]) - upto[2]]))
-            before = upto
-        of = iter(made)
-        return [None if x is None else next(of) for x in both]
+        links = (a[np.cumsum(end_a) - end_a] * PAIR_BASE + b[np.cumsum(end_b) - end_b]).astype("<i8").tobytes()
+        upto = np.stack([upto_a, upto_b, groups])
+        n_a, n_b, n_groups = np.diff(upto, prepend=0, axis=1).tolist()
+        words, ended = (upto_a + upto_b).tolist(), (8 * (upto_a + upto_b - groups)).tolist()
+        word = link = 0
+        for c, *numbers, to_word, to_link in zip((c for x in there for c in x[0]), n_a, n_b, n_groups, words, ended):
+            out[c] = (*numbers, b"".join(text[word:to_word]), links[link:to_link])
+            word, link = to_word, to_link
+        return out
 
     def texts(self, texts: Sequence[str | None]) -> list[tuple[int, int, int, bytes, np.ndarray] | None]:
-        """n_a, n_b, n_groups, groups as text and links of each text; None for one without tokens (see ``align`` below)."""
-        parts, owners, out, chars = [], [], [None] * len(texts), 0
-        pieces: list[list] = [[] for _ in texts]
-
-        def work() -> None:
-            for owner, piece in zip(owners, self.align(parts)):
-                pieces[owner].append(piece)
-            parts.clear()
-            owners.clear()
-
-        for k, text in enumerate(texts):
-            chunks = self.chunks(text) if text else []
-            each = len(chunks) * LABEL_CHARS // max(1, len(text or "")) + 1
-            for at in range(0, len(chunks), each):
-                parts.append(chunks[at : at + each])
-                owners.append(k)
-            chars += len(text or "")
+        """n_a, n_b, n_groups, groups as text and links of each text; None for one without tokens (see the function ``align``)."""
+        parts = [self.chunks(text) if text else [] for text in texts]
+        known = self.cache
+        if len(known) >= CACHE_CHUNKS:
+            known.clear()
+        part, chars, long = [], 0, []
+        for c in set().union(*parts).difference(known):
+            part.append(c)
+            chars += len(c)
+            if len(c) > CHUNK_CHARS:
+                long.append(c)
             if chars >= LABEL_CHARS:
-                work()
-                chars = 0
-        work()
-        for k, found in enumerate(pieces):
-            if found and None not in found:
-                n_a, n_b, n_groups, groups, links = zip(*found)
-                out[k] = sum(n_a), sum(n_b), sum(n_groups), b"".join(groups)[:-1], np.concatenate(links)
+                known.update(self.align(part))
+                part, chars = [], 0
+        known.update(self.align(part))
+        out: list[tuple[int, int, int, bytes, np.ndarray] | None] = []
+        for chunks in parts:
+            found = [known[c] for c in chunks]
+            if not found or not all(found):
+                out.append(None)
+                continue
+            n_a, n_b, n_groups, groups, links = zip(*found)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), b"".join(groups)[:-1], np.frombuffer(b"".join(links), "<i8")))
+        for c in long:
+            del known[c]
         return out
 
 
