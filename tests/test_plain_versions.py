@@ -464,8 +464,10 @@ def test_many_boxes_of_one_scene(spark):
     assert levels.smallest_box(p, b.limit(0), "scene", "p").count() == 0
 
 
-def test_boxes_in_one_place(spark):
-    """Copies of boxes are met once, and pairs of points and boxes are not sorted."""
+@pytest.mark.parametrize("sent", [levels.SENT_BOXES, 0])
+def test_boxes_in_one_place(spark, monkeypatch, sent):
+    """Copies of boxes are met once, and pairs of points and boxes are not sorted, whether boxes are sent or shuffled."""
+    monkeypatch.setattr(levels, "SENT_BOXES", sent)
     places = [([0.0, 0.0, 0.0], [2.0, 2.0, 2.0]), ([1.0, 0.0, 0.0], [3.0, 2.0, 2.0]), ([0.0, 0.0, 0.0], [4.0, 4.0, 4.0])]
     boxes = [("s", 900 - i, i, *places[i % 3]) for i in range(900)]
     b = spark.createDataFrame(boxes, "scene string, region int, level int, low array<double>, high array<double>")
