@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import BROADCAST_ROWS, hot_keys, materialize, salted_join, text_hash, without_repeats, without_rows
 from .components import connected_components
-from .wordhash import run_hashes, word_hashes
+from .wordhash import keep_words, run_hashes, word_hashes
+from .workers import give_back
 
 SHINGLE_WORDS = 5
 SIMILARITY = (80, 100)  # intersection : union
@@ -85,6 +86,7 @@ def sketches(df: DataFrame, shingle: int, k: int, carried: str = "h long") -> Da
     ship(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_words()
         for batch in batches:
             n, keys, kept = [], [], []
             for body in batch["body"]:
@@ -93,6 +95,7 @@ def sketches(df: DataFrame, shingle: int, k: int, carried: str = "h long") -> Da
                 keys.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
                 kept.append(hashes[:k].astype(np.int64))
             yield pd.DataFrame({"id": batch["id"], name: batch[name], "n": np.array(n, np.int64), "key": keys, "sketch": kept})
+        give_back()
 
     name = carried.split()[0]
     return df.select("id", *dict.fromkeys((name, "body"))).mapInPandas(run, f"id long, {carried}, n long, key string, sketch array<long>")
@@ -196,6 +199,7 @@ def _compare(blocks: DataFrame, texts: DataFrame, **options) -> DataFrame:
     """
 
     def run(bundle: pd.DataFrame) -> pd.DataFrame:
+        keep_words()
         order = np.lexsort((bundle["part"], bundle["list"]))
         lists, parts = bundle["list"].to_numpy()[order], bundle["part"].to_numpy()[order]
         ids, roots, n, role = (bundle[c].to_numpy()[order] for c in ("id", "root", "n", "role"))
@@ -205,6 +209,7 @@ def _compare(blocks: DataFrame, texts: DataFrame, **options) -> DataFrame:
         for first, end in zip(starts[:-1], starts[1:]):
             of = slice(first, end)
             links.update(block_links(ids[of], roots[of], n[of], kept[of], texts[of], np.flatnonzero(role[of] & 1), np.flatnonzero(role[of] & 2), sets=sets, **options))
+        give_back()
         return pd.DataFrame(sorted(links), columns=["a", "b"], dtype=np.int64)
 
     blocks = materialize(blocks, "near-blocks")

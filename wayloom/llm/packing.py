@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import materialize
+from .workers import cache, give_back, only
 
 CAPACITY = 4096
 END_ID = 1
@@ -80,11 +81,12 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_ids: dict[str, ChunkIds] = {}
+_ids: dict[str, ChunkIds] = cache({})
 
 
 def chunk_ids(path: str) -> ChunkIds:
     """One cache a worker process and tokenizer file."""
+    only(_ids)
     if path not in _ids:
         _ids[path] = ChunkIds(path)
     return _ids[path]
@@ -191,6 +193,7 @@ def tokenize_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                         tokens.append(np.frombuffer(part, "<u4").astype(np.int32))
             out = {"id": pd.Series(ids, dtype=batch["id"].dtype), "piece": np.array(pieces, np.int32), "start": np.array(starts, np.int64), "length": np.array(lengths, np.int64), "ids_crc32": np.array(crcs, np.int64)}
             yield pd.DataFrame(out | ({"ids": tokens} if with_ids else {}))
+        give_back()
 
     return rows.mapInPandas(run, schema)
 

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from .sampling import fold, thin
+from .workers import give_back, only
 
 #: Bounds of the samples the model is fitted on. All rows are scored.
 POSITIVES, UNLABELLED = 12_000, 24_000
@@ -66,6 +67,14 @@ def features(text: str) -> list[float]:
     return [float(x) for x in out] + np.sqrt(buckets / m).tolist()
 
 
+def _matrix(texts: pd.Series) -> np.ndarray:
+    """Features (32-bit) of each text, a row at a time: lists of all rows' numbers would take several times as much."""
+    out = np.empty((len(texts), len(features(""))), np.float32)
+    for row, text in zip(out, texts):
+        row[:] = features(text)
+    return out
+
+
 def nnpu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
     """Risk of the positives, estimated risk of the negatives, and the gradient of each, with logistic loss.
 
@@ -134,7 +143,10 @@ def _sampled_features(docs: DataFrame, sample: DataFrame, id_col: str, text_col:
 
 @F.pandas_udf(T.BinaryType())
 def _features(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: np.array(features(t), "<f4").tobytes())
+    only(None)
+    found = text.map(lambda t: np.array(features(t), "<f4").tobytes())
+    give_back()
+    return found
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
@@ -170,8 +182,10 @@ def quality_score(model: dict[str, np.ndarray], text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(body: pd.Series) -> pd.Series:
-        x = np.array([features(t) for t in body], dtype=np.float32).astype(float).reshape(len(body), -1)
+        only(None)
+        x = _matrix(body).astype(float)
         z = np.clip((x - mean) / spread, -6, 6) @ weights[:-1] + weights[-1] if len(body) else np.zeros(0)
+        give_back()
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return score(F.coalesce(text, F.lit("")))

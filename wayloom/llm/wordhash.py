@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .workers import cache, only
+
 #: Word hashes that a Python worker keeps.
 CACHE_WORDS = 400_000
 _ODD = np.array([0x9E3779B97F4A7C15], np.uint64)  # arrays wrap around silently, scalars warn
@@ -18,7 +20,12 @@ class WordHashes(dict):
         return h
 
 
-_known = WordHashes()
+_known = cache(WordHashes())
+
+
+def keep_words() -> None:
+    """For the start of a task: the worker drops what operators without word hashes have kept."""
+    only(_known)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
