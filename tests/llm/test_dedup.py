@@ -262,3 +262,35 @@ def test_factors():
     assert found == [(0, 52, 0, 7), (5, 55, 0, 10), (60, 110, 4, 3), (61, 111, 4, 5), (300, 350, 0, 0)]
     assert substring_dedup.merged(found) == [(0, 55), (60, 111), (300, 350)]
     assert substring_dedup.factors(source[:0], place[:0], 50) == [] and substring_dedup.merged([]) == []
+
+
+def test_near_sends_texts_once(spark):
+    """Near copies that share many lists are one bundle: a text goes there once, and lists of joined rows are not compared again."""
+    rng = random.Random(3)
+    base, rows = sentence(rng, 90, 10**6).split(" "), []
+    for i in range(24):
+        rows.append((i, edited(rng, base, 3), "en", "a", 0))
+    blocks = [(number, 0, i, i, 3) for number in range(40) for i in sorted(rng.sample(range(24), 12))]
+    held, bundles = near_dedup._bundles(spark.createDataFrame(blocks, "list long, part long, id long, root long, role int"))
+    held = held.toPandas()
+    assert bundles == 1 and sorted(held["id"]) == sorted({b[2] for b in blocks})
+    assert sorted((x, i) for i, lists in zip(held["id"], held["lists"]) for x in lists) == sorted((b[0], b[2]) for b in blocks)
+    held["body"] = [rows[i][1] for i in held["id"]]
+    sets = [near_dedup.shingle_set(body, 5) for body in held["body"]]
+    held["n"], held["sketch"] = [len(x) for x in sets], [x[:32].astype(np.int64) for x in sets]
+    links = near_dedup.bundle_links(held, shingle=5, similarity=(80, 100), k=32)
+    want = {i: w[1] for i, w in brute_near(rows, 5).items()}
+    got = components(range(24), links)
+    assert got == want and len(links) == 24 - len(set(want.values()))
+
+
+def test_found_by(spark, monkeypatch):
+    """Beyond the broadcasts a bit set keeps rows out of the shuffle; one that is too small changes nothing in the result."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "LEAST_BITS", 4)
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 12)
+    rows, right = spark.range(5000), spark.range(0, 5000, 50).withColumn("x", common.F.col("id") * 2)
+    marked = common.marked_likely(rows, ["id"], *common.bit_set(right, ["id"], "bits"))
+    assert marked.where("likely AND id % 50 = 0").count() == 100 and marked.where("likely").count() < 500
+    monkeypatch.setattr(common, "MOST_BITS", 8)
+    assert sorted(map(tuple, common.found_by(rows, right, ["id"], "bits").collect())) == [(i, 2 * i) for i in range(0, 5000, 50)]

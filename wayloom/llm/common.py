@@ -95,6 +95,37 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Dat
     return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
+#: Bounds of a bit set of keys.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+
+
+def _place(keys: Sequence[str], size: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(size)) + 1
+
+
+def bit_set(rows: DataFrame, keys: Sequence[str], label: str) -> tuple[DataFrame, int]:
+    """The rows' keys as a bit set of some 16 bits a key, in pieces of 4 KB, and its size in bits: 16 MB at most, whatever the table."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * rows.count()).bit_length()))
+    places = rows.select(_place(keys, size).alias("place")).select(F.bitmap_bucket_number("place").alias("piece"), F.bitmap_bit_position("place").alias("bit"))
+    return materialize(places.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits")), label), size
+
+
+def marked_likely(rows: DataFrame, keys: Sequence[str], bitmaps: DataFrame, size: int) -> DataFrame:
+    """Rows with ``likely``: true where the key is in the set, and for a few others."""
+    found = rows.withColumn("place", _place(keys, size)).withColumn("piece", F.bitmap_bucket_number("place")).join(F.broadcast(bitmaps), "piece", "left")
+    bit = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    likely = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1, F.lit(False))
+    return found.withColumn("likely", likely).drop("place", "piece", "bits")
+
+
+def found_by(rows: DataFrame, right: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """``rows.join(right, keys)``, where no key has many rows: ``right`` is broadcast if it has few rows, else rows pass a bit set of its keys first."""
+    if right.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(right), list(keys))
+    return marked_likely(rows, keys, *bit_set(right, keys, label)).where("likely").drop("likely").join(right, list(keys))
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores after it as it takes to be none of the table's columns, in any case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import BROADCAST_ROWS, hot_keys, materialize, salted_join, text_hash, without_repeats, without_rows
+from .common import bit_set, found_by, hot_keys, marked_likely, materialize, salted_join, text_hash, without_repeats, without_rows
 from .components import connected_components
 from .wordhash import keep_words, run_hashes, word_hashes
 from .workers import give_back
@@ -107,8 +108,11 @@ def _lists(rows: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
     total = rows.count() * k
     postings = rows.select("id", "n", F.explode("sketch").alias("value"))
     common = materialize(postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "near-common")
-    met = salted_join(postings, common, ["value"], hot_keys(common, ["value"], "df", total), "inner", ["id"])
-    shared = met.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
+    # Most values are of one sketch alone; a bit set keeps them out of the shuffle at any size, so what is sent grows with shared values only.
+    likely = marked_likely(postings, ["value"], *bit_set(common, ["value"], "near-bits")).where("likely").drop("likely")
+    met = salted_join(likely, common, ["value"], hot_keys(common, ["value"], "df", total), "inner", ["id"], few=0)
+    # One row a value is smaller on its way than the one-element arrays of a partial list would be.
+    shared = met.repartition("id").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     enough = F.least(F.lit(least_shared(k, similarity)), F.ceil(F.col("n") * share / whole)).cast("int")
     rarest = shared.withColumn("take", F.size("shared") - enough + 1).where("take > 0").select("id", F.explode(F.slice("shared", F.lit(1), F.col("take"))["value"]).alias("value"))
     rarest = materialize(rarest, "near-postings")
@@ -192,6 +196,53 @@ def block_links(
     return links
 
 
+def _bundles(blocks: DataFrame) -> tuple[DataFrame, int]:
+    """(bundle, id, root, lists, parts, roles) of blocks (see ``_compare``), each id once a bundle, and the number of bundles.
+
+    Near copies are together in many lists, so blocks that overlap are dealt
+    to one bundle and a text is sent there once: each block goes where the
+    smallest id leads that any of its rows meets in any of their blocks.
+    Places with more rows than a bundle are dealt block by block instead.
+    Which bundle a block is in never decides what is compared.
+    """
+    key = ["list", "part"]
+    blocks = materialize(blocks.groupBy(*key).agg(F.collect_list(F.struct("id", "root", "role")).alias("rows"), F.min("id").alias("lead")), "near-blocks")
+    # A row is in few blocks, so its blocks are a short list.
+    met = blocks.select(*key, "lead", F.explode("rows.id").alias("id")).groupBy("id").agg(F.min("lead").alias("lead"), F.collect_set(F.struct(*key)).alias("of"))
+    places = met.select("lead", F.explode("of").alias("of")).groupBy("of.list", "of.part").agg(F.min("lead").alias("place"))
+    placed = materialize(blocks.drop("lead").join(places, key), "near-placed")
+    sizes = materialize(placed.groupBy("place").agg(F.count("*").alias("blocks"), F.sum(F.size("rows")).alias("n")), "near-places")
+    total, rows = sizes.agg(F.sum("blocks"), F.sum("n")).first()
+    bundles = max(1, math.ceil((rows or 0) / BUNDLE))
+    large = sizes.where(F.col("n") > BUNDLE).select("place", F.lit(True).alias("large"))
+    dealt = salted_join(placed, large, ["place"], hot_keys(sizes, ["place"], "blocks", total or 0), "left", key)
+    unit = F.when(F.col("large"), F.xxhash64(*key)).otherwise(F.xxhash64("place"))
+    dealt = dealt.select(F.pmod(unit, F.lit(bundles)).alias("bundle"), *key, F.explode("rows").alias("row"))
+    held = dealt.groupBy("bundle", F.col("row.id").alias("id")).agg(F.first("row.root").alias("root"), F.collect_list(F.struct(*key, "row.role")).alias("held"))
+    return held.select("bundle", "id", "root", F.col("held.list").alias("lists"), F.col("held.part").alias("parts"), F.col("held.role").alias("roles")), bundles
+
+
+def bundle_links(bundle: pd.DataFrame, **options) -> list[tuple[int, int]]:
+    """Links within the blocks of a bundle, the largest first: rows that one block has joined are one component in the next."""
+    ids, roots, n, kept, texts = (bundle[c].to_numpy() for c in ("id", "root", "n", "sketch", "body"))
+    roots, at = roots.copy(), {i: row for row, i in enumerate(ids)}
+    lists, parts, roles = (np.concatenate(bundle[c].to_numpy()) for c in ("lists", "parts", "roles"))
+    row = np.repeat(np.arange(len(ids)), [len(x) for x in bundle["lists"]])
+    order = np.lexsort((row, parts, lists))
+    lists, parts, roles, row = lists[order], parts[order], roles[order], row[order]
+    starts = np.flatnonzero(np.concatenate([[True], (lists[1:] != lists[:-1]) | (parts[1:] != parts[:-1]), [True]]))
+    links, sets = [], {}
+    for b in np.argsort(starts[:-1] - starts[1:], kind="stable"):
+        of, role = row[starts[b] : starts[b + 1]], roles[starts[b] : starts[b + 1]]
+        if (roots[of] == roots[of[0]]).all():
+            continue
+        found = block_links(ids[of], roots[of], n[of], kept[of], texts[of], np.flatnonzero(role & 1), np.flatnonzero(role & 2), sets=sets, **options)
+        for one, other in found:
+            roots[roots == roots[at[other]]] = roots[at[one]]
+        links += found
+    return links
+
+
 def _compare(blocks: DataFrame, texts: DataFrame, **options) -> DataFrame:
     """Links (a, b) within blocks: rows (list, part, id, root, role), role 1: left, 2: right, 3: both; texts (id, n, sketch, body).
 
@@ -200,23 +251,12 @@ def _compare(blocks: DataFrame, texts: DataFrame, **options) -> DataFrame:
 
     def run(bundle: pd.DataFrame) -> pd.DataFrame:
         keep_words()
-        order = np.lexsort((bundle["part"], bundle["list"]))
-        lists, parts = bundle["list"].to_numpy()[order], bundle["part"].to_numpy()[order]
-        ids, roots, n, role = (bundle[c].to_numpy()[order] for c in ("id", "root", "n", "role"))
-        kept, texts = bundle["sketch"].to_numpy()[order], bundle["body"].to_numpy()[order]
-        starts = np.flatnonzero(np.concatenate([[True], (lists[1:] != lists[:-1]) | (parts[1:] != parts[:-1]), [True]]))
-        links, sets = set(), {}
-        for first, end in zip(starts[:-1], starts[1:]):
-            of = slice(first, end)
-            links.update(block_links(ids[of], roots[of], n[of], kept[of], texts[of], np.flatnonzero(role[of] & 1), np.flatnonzero(role[of] & 2), sets=sets, **options))
+        links = bundle_links(bundle, **options)
         give_back()
         return pd.DataFrame(sorted(links), columns=["a", "b"], dtype=np.int64)
 
-    blocks = materialize(blocks, "near-blocks")
-    bundles = max(1, math.ceil(blocks.count() / BUNDLE))
-    whole = blocks.join(texts.select("id", "n", "sketch", "body"), "id")  # a row is in few blocks, so no id is hot
-    bundle = F.pmod(F.xxhash64("list", "part"), F.lit(bundles))
-    whole = whole.withColumn("bundle", bundle).repartition(min(math.ceil(bundles / 2), MOST_TASKS), "bundle")
+    held, bundles = _bundles(blocks)
+    whole = held.join(texts.select("id", "n", "sketch", "body"), "id").repartition(min(math.ceil(bundles / 2), MOST_TASKS), "bundle")
     return whole.groupBy("bundle").applyInPandas(run, "a long, b long")
 
 
@@ -266,41 +306,48 @@ def _pools(open_rows: DataFrame, block: int, similarity: tuple[int, int], rows:
 
 
 def _links(classes: DataFrame, texts_of, shingle: int, similarity: tuple[int, int], k: int, wide: int, block: int) -> DataFrame:
-    """(node, root) of the linked classes (id, n, sketch). ``texts_of(ids)`` gives (id, n, sketch, body)."""
+    """(node, root) of the linked classes (id, n, sketch). ``texts_of(ids)`` gives tables that make up (id, n, sketch, body)."""
     options = {"shingle": shingle, "similarity": similarity}
     lists = materialize(_lists(classes, k, similarity), "near-lists")
-    texts = texts_of(lists.select("id").distinct())
+    tables = texts_of(lists.select("id").distinct())
     rows = lists.count()
 
+    def texts(of: DataFrame | None = None) -> DataFrame:
+        """(id, n, sketch, body) of all rows in lists, or of those whose id ``of`` has."""
+        if of is None:
+            return reduce(lambda a, b: a.join(b, "id"), tables)
+        ids = materialize(of.select("id").distinct(), "near-ids")
+        return reduce(lambda a, b: a.join(b, "id"), [found_by(t, ids, ["id"], "near-bits") for t in tables])
+
     def linked(components: DataFrame | None, blocks: DataFrame, texts: DataFrame, k: int) -> DataFrame:
         links = materialize(_compare(blocks, texts, k=k, **options), "near-links")
         if components is None:
             return connected_components(links)
         return components if links.isEmpty() else connected_components(components.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
-    def pooled(lists: DataFrame, texts: DataFrame) -> DataFrame:
+    def pooled(lists: DataFrame) -> DataFrame:
         """(main, id, root, n): rows of open long lists with the root of the list's largest component."""
         found = _open(lists.where(F.col("size") > block), components, rows).select("main", "id", "root").distinct()
-        return materialize(found.join(texts.select("id", "n"), "id").select("main", "id", "root", "n"), "near-pooled")
+        return materialize(found.join(classes.select("id", "n"), "id").select("main", "id", "root", "n"), "near-pooled")
 
-    components = linked(None, _chunks(lists.withColumn("root", F.col("id")), block), texts, k)
-    opened = pooled(lists, texts)
+    components = linked(None, _chunks(lists.withColumn("root", F.col("id")), block), texts(), k)
+    opened = pooled(lists)
     mains = opened.groupBy("main").agg(F.count_if(F.col("root") != F.col("main")).alias("others"), F.count("*").alias("size"))
     mains = materialize(mains.withColumn("few", F.col("others") <= FEW * (block // 2)), "near-mains")
     hot = hot_keys(mains, ["main"], "size", rows)
     any_few, any_many = mains.agg(F.max(F.col("few")), F.max(~F.col("few"))).first()
     if any_few:
         few = salted_join(opened, mains.where("few").select("main"), ["main"], hot, "left_semi", ["id"])
-        components = linked(components, _pools(few, block, similarity, rows), texts, k)
+        components = linked(components, _pools(few, block, similarity, rows), texts(few), k)
     if any_many:
-        many = salted_join(opened, mains.where("NOT few").select("main"), ["main"], hot, "left_semi", ["id"]).select("id").distinct()
-        texts = materialize(sketches(texts.join(many, "id", "left_semi"), shingle, wide, "body string"), "near-wide")
-        lists = materialize(_lists(texts, wide, similarity), "near-lists")
+        many = salted_join(opened, mains.where("NOT few").select("main"), ["main"], hot, "left_semi", ["id"])
+        tables = [materialize(sketches(texts(many), shingle, wide, "body string"), "near-wide")]
+        lists = materialize(_lists(texts(), wide, similarity), "near-lists")
         rows = lists.count()
-        components = linked(components, _chunks(_open(lists, components, rows), block), texts, wide)
-        opened = pooled(lists, texts)
+        components = linked(components, _chunks(_open(lists, components, rows), block), texts(), wide)
+        opened = pooled(lists)
         if not opened.isEmpty():
-            components = linked(components, _pools(opened, block, similarity, rows), texts, wide)
+            components = linked(components, _pools(opened, block, similarity, rows), texts(opened), wide)
     return components
 
 
@@ -311,9 +358,13 @@ def _decide(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
     all_rows = materialize(sketches(bodies, shingle, k), "near-sketches")
     counted = F.col("id").isNotNull() & (F.col("n") > 0)
 
-    # A class is a distinct set; its first row's text stands for it, and that row's id names it.
-    same_set = all_rows.where(counted).groupBy("key").agg(F.min(F.struct("id", "h")).alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialize(same_set.select("key", F.col("f.id").alias("rep"), F.col("f.h").alias("h"), "copies", "n", "sketch"), "near-classes")
+    # A class is a distinct set; its first row's text stands for it, and that row's id names it. Sets of one row alone are left where they are.
+    digests = all_rows.where(counted).groupBy(F.xxhash64("key").alias("digest")).agg(F.count("*").alias("c")).where("c > 1")
+    marked = marked_likely(all_rows.where(counted).withColumn("digest", F.xxhash64("key")), ["digest"], *bit_set(materialize(digests, "near-digests"), ["digest"], "near-bits"))
+    same_set = marked.where("likely").groupBy("key").agg(F.min(F.struct("id", "h")).alias("f"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    same_set = same_set.select("key", F.col("f.id").alias("rep"), F.col("f.h").alias("h"), "copies", "n", "sketch")
+    single = marked.where("NOT likely").select("key", F.col("id").alias("rep"), "h", F.lit(1).cast("long").alias("copies"), "n", "sketch")
+    classes = materialize(same_set.unionByName(single), "near-classes")
     clashes = materialize(classes.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep"), "near-clashes")
     named = clashes.isEmpty()
     if named:
@@ -322,16 +373,15 @@ def _decide(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
         clash = classes.join(clashes.withColumn("clash", F.lit(True)), "rep", "left")
         classes = materialize(clash.withColumn("id", F.when(F.col("clash"), F.xxhash64("key")).otherwise(F.col("rep"))).drop("clash"), "near-classes")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = materialize(classes.select("id", F.col("rep").alias("w_id"), F.col("h").alias("w_h")).join(ids, "id", "left_semi"), "near-wanted")
-        n = wanted.count()
-        if n <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
-        source = bodies.select(F.col("id").alias("b_id"), F.col("h").alias("b_h"), "body")
-        found = source.join(wanted, (F.col("b_id") == F.col("w_id")) & (F.col("b_h") == F.col("w_h"))).select("id", "body")
-        texts = materialize(found.join(classes.select("id", "n", "sketch"), "id"), "near-texts")
+    def texts_of(ids: DataFrame) -> list[DataFrame]:
+        ids = materialize(ids, "near-ids")
+        wanted = materialize(found_by(classes.select("id", "rep", "h", "n", "sketch"), ids, ["id"], "near-bits"), "near-wanted")
+        source = bodies.withColumnRenamed("id", "rep")
+        found = materialize(found_by(source, wanted.select("rep", "h", "id"), ["rep", "h"], "near-bits").select("id", "body"), "near-texts")
         # Only where rows repeat both id and text are there more.
-        return texts if texts.count() == n else materialize(texts.dropDuplicates(["id"]), "near-texts")
+        if found.count() != wanted.count():
+            found = materialize(found.dropDuplicates(["id"]), "near-texts")
+        return [found, wanted.select("id", "n", "sketch")]
 
     components = _links(classes.select("id", "n", "sketch"), texts_of, shingle, similarity, k, wide, block)
     rooted = classes.select("key", "id", "rep", "copies").join(components, F.col("id") == F.col("node"), "left").select("key", "rep", "copies", F.coalesce("root", "id").alias("component"))
